@@ -5,9 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_format
 from .common import table
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .licences import licence_scan
 from .packing import pack
+from .quality import quality_scores
 from .token_files import token_files
 
 
@@ -23,7 +27,23 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
