@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .licences import licence_scan
 from .packing import pack
 from .quality import quality_scores
+from .substrings import substring_dedup
 from .token_files import token_files
 
 
@@ -43,7 +44,11 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan)}
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan, op6_suffix_array_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
