@@ -20,8 +20,26 @@ OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u
 CHUNK = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class ChunkEncoder:
-    """Encodes batches of texts; keeps up to ``most`` chunks, then starts afresh."""
+    """Encodes batches of texts; keeps up to ``most`` chunks, then starts afresh.
+
+    New chunks go to the library many at a time, joined by a mark that it always makes a token of its own: a line feed
+    where white space is kept, else a control character between spaces. Chunks in which white space or the mark could
+    join the mark's token go alone.
+    """
 
     def __init__(self, path: str, keeps_space: bool, most: int = 600_000):
         from tokenizers import Tokenizer
@@ -29,31 +47,52 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.keeps_space, self.most = keeps_space, most
+        self.mark = "\n" if keeps_space else " \x01 "
+        self.unsafe = re.compile("(?s).[ \t\n\x0b\x0c\r]|^[\t\n\x0b\x0c\r]|^ ?$|[\x00-\x08]") if keeps_space else re.compile("[\x00-\x08]")
+        marks = self.library.encode(f"a{self.mark}b", add_special_tokens=False).ids
+        self.mark_id = marks[1] if len(marks) == 3 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict = {}
+        self.known = Numbered()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, chunks: list) -> None:
         as_text = chunks if self.keeps_space else [c.decode() for c in chunks]
-        n = len(self.known)
-        if n + len(chunks) > len(self.starts):
-            room = max(2 * len(self.starts), n + len(chunks))
+        first = len(self.known) - len(chunks)
+        if len(self.known) > len(self.starts):
+            room = max(2 * len(self.starts), len(self.known))
             self.starts, self.sizes = np.resize(self.starts, room), np.resize(self.sizes, room)
-        for at in range(0, len(chunks), 4096):
-            ids = [e.ids for e in self.library.encode_batch_fast(as_text[at : at + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
-            if self.used + len(new) > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(new)))
-            self.flat[self.used : self.used + len(new)] = new
-            lo = len(self.known)
-            self.starts[lo : lo + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[lo : lo + len(ids)] = sizes
-            self.used += len(new)
-            self.known.update(zip(chunks[at : at + 4096], range(lo, lo + len(ids)), strict=True))
+        search = self.unsafe.search
+        joined, alone = [], []
+        for i, t in enumerate(as_text):
+            (alone if self.mark_id is None or search(t) or OTHER_SPACE.search(t) else joined).append(i)
+        pools, order, sizes = [], [], []
+        for at in range(0, len(joined), 1 << 14):
+            part = joined[at : at + (1 << 14)]
+            ids = np.array([x for i in self._library([self.mark.join([as_text[i] for i in part[j : j + 256]]) + self.mark for j in range(0, len(part), 256)]) for x in i], np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(part):
+                raise ValueError("the mark is not a token of its own in this vocabulary")
+            pools.append(np.delete(ids, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            order.append(np.array(part))
+        if alone:
+            ids = self._library([as_text[i] for i in alone])
+            pools.append(np.array([x for i in ids for x in i], np.uint32))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            order.append(np.array(alone))
+        new, sizes, order = np.concatenate(pools), np.concatenate(sizes), np.concatenate(order) + first
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(new)))
+        self.flat[self.used : self.used + len(new)] = new
+        self.starts[order] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[order] = sizes
+        self.used += len(new)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets at which each text begins (one more than texts)."""
@@ -67,11 +106,10 @@ class ChunkEncoder:
                 got = CHUNK.findall(t) if self.keeps_space else t.encode().split()
             counts[i] = len(got)
             parts += got
-        get = self.known.get
-        new = list(dict.fromkeys(c for c in parts if get(c) is None))
-        if new:
-            self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         sizes = self.sizes[index].astype(np.int64)
         ends = np.cumsum(sizes)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[index] - (ends - sizes), sizes)
