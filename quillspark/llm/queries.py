@@ -9,6 +9,7 @@ from .chat import chat_format
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .language_model import language_model_scores
 from .licences import licence_scan
 from .packing import pack
 from .quality import quality_scores
@@ -48,7 +49,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan, op6_suffix_array_dedup)}
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan, op6_suffix_array_dedup, op2_language_model)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
