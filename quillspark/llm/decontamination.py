@@ -156,6 +156,16 @@ class Index:
         return best <= k
 
 
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of the query set, in blocks of about half of ``block_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * total // block_bytes))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        yield [(r.item_id, r.text) for r in rows]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (ascending ids of the benchmark items found).
 
@@ -165,13 +175,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, blo
     never found; with no items nothing is. Repeated rows are judged alike; an empty table gives no rows. Other columns
     are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * total // block_bytes))
     out = texts(docs).withColumn("item_ids", F.array().cast("array<long>"))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()  # about half of block_bytes
-        out = out.mapInArrow(_finder([(r.item_id, r.text) for r in rows], rate), "doc_id long, text string, item_ids array<long>")
+    for items in item_blocks(benchmark, block_bytes):
+        out = out.mapInArrow(_finder(items, rate), "doc_id long, text string, item_ids array<long>")
     ids = F.array_sort(F.array_distinct("item_ids"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), ids.alias("item_ids"))
 
@@ -187,3 +193,21 @@ def _finder(items: list[tuple[int, str]], rate: float):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "text", "item_ids"])
 
     return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item (see ``contamination``)."""
+
+    def cleaner(items: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(items, rate)
+            for b in slices(batches):
+                clean = np.ones(b.num_rows, bool)
+                clean[index.matches(*normal(*utf8(b.column("text"))))[:, 0]] = False
+                yield b.filter(pa.array(clean))
+
+        return run
+
+    for items in item_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(cleaner(items), docs.schema)
+    return docs

@@ -69,17 +69,28 @@ def exact_dedup(docs: DataFrame, k: int = 256) -> DataFrame:
         digests.join(F.broadcast(heavy), "digest")
         .groupBy("digest")
         .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", (-F.col("best.neg")).alias("keep_id"), "group_size")
+        .select("digest", (-F.col("best.neg")).alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
     )
-    winners = spark.createDataFrame(winners.collect(), "digest string, keep_id long, group_size long")  # k rows at most
+    winners = spark.createDataFrame(winners.collect(), "digest string, keep_id long, keep_size long, group_size long")  # k rows at most
     settled = digests.join(F.broadcast(winners), "digest")
     w = Window.partitionBy("digest")
     rest = (
         digests.join(F.broadcast(winners), "digest", "left_anti")
         .withColumn("best", F.max(rank).over(w))
         .withColumn("group_size", F.count(F.lit(1)).over(w))
-        .select("digest", "doc_id", "size", (-F.col("best.neg")).alias("keep_id"), "group_size")
+        .select("digest", "doc_id", "size", (-F.col("best.neg")).alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
     )
     return settled.select(rest.columns).unionByName(rest).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))).alias("kept"), F.col("digest").alias("text_sha256")
     )
+
+
+def keep_first(docs: DataFrame, k: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of rows that repeat a doc_id and text, one."""
+    kept = exact_dedup(docs, k).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).distinct()
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), ASCII_SPACE, ""), 256)
+    own = docs.withColumn("_digest", digest)
+    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    size = F.length(F.coalesce("text", F.lit("")))
+    first = Window.partitionBy("doc_id", "_digest").orderBy(size.desc())
+    return stay.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)

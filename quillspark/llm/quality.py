@@ -169,3 +169,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, thres
     return texts(docs).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` at least (see ``quality_scores``)."""
+    net = train(docs, labels, sample)
+    if net is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(net.score(*passages(*utf8(b.column("text")))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

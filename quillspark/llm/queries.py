@@ -11,6 +11,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .language_model import language_model_scores
 from .licences import licence_scan
+from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import quality_scores
 from .substrings import substring_dedup
@@ -53,7 +54,11 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan, op6_suffix_array_dedup, op2_language_model)}
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_best_fit_packing, op7_token_files, op8_quality_classifier, op9_decontamination, op4_chat_formatting, op10_licence_scan, op6_suffix_array_dedup, op2_language_model, op1_ngram_jaccard_join)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
