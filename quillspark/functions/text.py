@@ -7,8 +7,9 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import constants as C
 
@@ -16,7 +17,7 @@ AR = C.ARABIC
 SPACES = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -35,6 +36,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once: as the output of a generator it is not copied into what
+    is built on it, and Arrow functions may take it."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -171,13 +178,16 @@ def direction(c: Column) -> Column:
 
 def unreliable_extraction(c: Column) -> Column:
     """Arabic text that looks badly extracted: letters set apart, many single characters or very short words."""
+
+    def bad(tokens: Column) -> Column:
+        n = F.size(tokens)
+        single = F.size(F.filter(tokens, lambda t: F.length(t) == 1)) / n
+        mean = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)) / n
+        return (n == 0) | (single > 0.35) | (mean < 2.2)
+
     v = F.coalesce(c, F.lit(""))
     tokens = F.regexp_extract_all(clean_text(v), F.lit(f"([{AR}]+)"), F.lit(1))
-    n = F.size(tokens)
-    single = F.size(F.filter(tokens, lambda t: F.length(t) == 1)) / n
-    mean = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)) / n
-    bad = v.rlike(rf"(?U)(?:[{AR}]\s+){{2,}}[{AR}]") | (n == 0) | (single > 0.35) | (mean < 2.2)
-    return F.when(has_arabic(v), bad).otherwise(F.lit(False))
+    return F.when(has_arabic(v), v.rlike(rf"(?U)(?:[{AR}]\s+){{2,}}[{AR}]") | let(tokens, bad)).otherwise(F.lit(False))
 
 
 # --- Tokens -----------------------------------------------------------------------------------------------------

@@ -18,8 +18,9 @@ def norm(a: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The vector and its length enter the function as data, so a vector made by an Arrow function may be passed.
+    both = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.element_at(F.transform(both, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(x.cast("double")))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -41,7 +42,7 @@ def hashed_embedding(dims: int = 256):
 
         return hashes.map(one)
 
-    return lambda tokens: embed(F.transform(tokens, lambda t: F.xxhash64(t)))
+    return lambda tokens: embed(F.transform(tokens, lambda t: F.xxhash64(t)))  # an Arrow function cannot stand inside a higher-order one
 
 
 def checked(a: Column, dims: int) -> Column:

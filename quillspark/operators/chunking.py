@@ -36,27 +36,29 @@ def spans(c: Column, size: int, overlap: int) -> Column:
     one begins ``overlap`` before the end. ``overlap`` is at most half of ``size``, so every step moves on."""
     if not 0 <= overlap <= size // 2:
         raise ValueError("overlap must lie between 0 and half of size")
-    most = F.greatest(F.lit(1), F.ceil(F.length(c) / (size // 2 + 1 - min(overlap, size // 2)) + 1).cast("int")) if overlap < size // 2 else F.length(c)
-
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-        w = F.substring(c, start + 1, F.lit(size))
-        back = F.reverse(w)
-        space, line = F.instr(back, " "), F.instr(back, "\n\n")
-        at = F.greatest(F.when(space > 0, F.length(w) - space).otherwise(-1), F.when(line > 0, F.length(w) - line - 1).otherwise(-1))
-        inner = start + F.length(w) < F.length(c)
-        take = F.when(inner & (at > size // 2), at + 1).otherwise(F.length(w))
-        piece = F.struct(F.substring(w, F.lit(1), take).alias("text"))
-        return F.when(start < 0, acc).otherwise(
-            F.struct(
-                F.when(start + take >= F.length(c), F.lit(-1)).otherwise(F.greatest(F.lit(0), start + take - overlap)).alias("start"),
-                F.concat(acc["out"], F.array(piece)).alias("out"),
-            )
-        )
-
-    zero = F.struct(F.when(F.length(c) > 0, F.lit(0)).otherwise(F.lit(-1)).alias("start"), F.array().cast("array<struct<text:string>>").alias("out"))
-    out = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), zero, step)["out"]
-    return F.filter(F.transform(out, lambda p: T.strip(p["text"])), lambda t: t != "")
+
+    def last_break(w: Column) -> Column:
+        space = lambda back: F.when(F.instr(back, " ") > 0, F.length(w) - F.instr(back, " ")).otherwise(-1)
+        line = lambda back: F.when(F.instr(back, "\n\n") > 0, F.length(w) - F.instr(back, "\n\n") - 1).otherwise(-1)
+        return T.let(F.reverse(w), lambda back: F.greatest(space(back), line(back)))
+
+    def folded(v: Column) -> Column:
+        def moved(acc: Column, w: Column, take: Column) -> Column:
+            end = acc["start"] + take
+            return F.struct(F.when(end >= F.length(v), F.lit(-1)).otherwise(F.greatest(F.lit(0), end - overlap)).alias("start"), F.concat(acc["out"], F.array(F.substring(w, F.lit(1), take))).alias("out"))
+
+        def cut(acc: Column, w: Column) -> Column:
+            inner = acc["start"] + F.length(w) < F.length(v)
+            return T.let(last_break(w), lambda at: T.let(F.when(inner & (at > size // 2), at + 1).otherwise(F.length(w)), lambda take: moved(acc, w, take)))
+
+        def step(acc: Column, _: Column) -> Column:
+            return F.when(acc["start"] < 0, acc).otherwise(T.let(F.substring(v, acc["start"] + 1, F.lit(size)), lambda w: cut(acc, w)))
+
+        zero = F.struct(F.when(F.length(v) > 0, F.lit(0)).otherwise(F.lit(-1)).alias("start"), F.array().cast("array<string>").alias("out"))
+        most = F.ceil(F.length(v) / (size // 2 + 1 - min(overlap, size // 2))).cast("int") + 1
+        return F.aggregate(F.sequence(F.lit(1), most), zero, step)["out"]
+
+    return F.filter(F.transform(T.let(c, folded), T.strip), lambda t: t != "")
 
 
 def split_text(c: Column, size: int = 1200, overlap: int = 200) -> Column:
@@ -139,7 +141,8 @@ def semantic(pages: DataFrame, embed, size: int = 1200, threshold: float = 0.55)
     d = pages.where(~T.blank(F.col("text"))).select("fingerprint", "filename", "page_number", body.alias("body"), T.sentences(body).alias("sentences"))
     whole = (F.size("sentences") <= 1) | (F.length("body") <= size)
     one = d.where(whole).select("fingerprint", "filename", "page_number", F.lit(0).alias("pos"), "body")
-    rows = d.where(~whole).select("fingerprint", "filename", "page_number", F.posexplode("sentences").alias("i", "s")).withColumn("v", embed(T.tokenize(F.col("s"))))
+    rows = d.where(~whole).select("fingerprint", "filename", "page_number", F.posexplode("sentences").alias("i", "s"))
+    rows = T.settled(rows, "tokens", T.tokenize(F.col("s"))).withColumn("v", embed(F.col("tokens")))
     near = rows.withColumn("dot", V.dot(F.lag("v").over(Window.partitionBy("fingerprint", "filename", "page_number").orderBy("i")), F.col("v")))
     lists = near.groupBy("fingerprint", "filename", "page_number").agg(F.array_sort(F.collect_list(F.struct("i", "s", "dot"))).alias("r"))
     merged = merged_sentences(F.transform("r", lambda x: x["s"]), F.transform("r", lambda x: x["dot"]), size, threshold)

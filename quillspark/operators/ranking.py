@@ -11,9 +11,14 @@ from quillspark.functions import vectors as V
 BROADCAST_ROWS = 10_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def fits(df: DataFrame) -> bool:
+    """Whether ``df`` has at most BROADCAST_ROWS rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame, known: bool | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is small; ``known``: what a look at a larger frame has shown."""
+    return F.broadcast(df) if (fits(df) if known is None else known) else df
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -46,13 +51,14 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1
     ``docs`` has key and tokens, ``queries`` query_id and tokens. A term that a query repeats counts each time.
     Statistics cover all documents; only terms that some query has are counted, filtered before the shuffle."""
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = small(wanted.select("term").distinct())
+    few = fits(wanted)
+    terms = small(wanted.select("term").distinct(), few)
     hits = docs.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
     tf = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = wanted.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
-    scored = tf.join(small(weighted), "term")
+    scored = tf.join(small(weighted, few), "term")  # one row for each of ``wanted`` at most
     part = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return scored.groupBy("query_id", key).agg(F.sum(part).alias("bm25"))
 

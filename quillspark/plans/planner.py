@@ -16,16 +16,15 @@ CHANGE = "struct<from:string,to:string>"
 
 def fix_spelling(c: Column) -> Column:
     """struct(text, changes): sure fixes only, longest first; Latin ones as whole words in any case."""
-    out, changes = F.coalesce(c, F.lit("")), F.array().cast(f"array<{CHANGE}>")
+    out, changes = F.coalesce(c, F.lit("")), []
     for src, dst in sorted(C.SPELLING.items(), key=lambda kv: -len(kv[0])):
         if re.search("[A-Za-z]", src):
             new = F.regexp_replace(out, rf"(?U)(?i)(?<!\w){re.escape(src)}(?!\w)", dst)
         else:
             new = F.replace(out, F.lit(src), F.lit(dst))
-        change = F.array(F.struct(F.lit(src).alias("from"), F.lit(dst).alias("to")))
-        changes = F.when(new != out, F.concat(changes, change)).otherwise(changes)
+        changes.append(F.when(new != out, F.struct(F.lit(src).alias("from"), F.lit(dst).alias("to"))))
         out = new
-    return F.struct(out.alias("text"), changes.alias("changes"))
+    return F.struct(out.alias("text"), F.filter(F.array(*changes), lambda x: x.isNotNull()).alias("changes"))
 
 
 def safe_edit(original: Column, corrected: Column, changes: Column) -> Column:
@@ -45,7 +44,10 @@ def safe_edit(original: Column, corrected: Column, changes: Column) -> Column:
 def correct(c: Column, reply: Column | None = None, enabled: bool = True, least: float = 0.85) -> Column:
     """struct(original, corrected, confidence, sure, changes, applied). ``reply`` is a model's JSON answer
     {corrected, confidence, sure, changes}, taken only if sure, confident, safe and different."""
-    raw = F.coalesce(c, F.lit(""))
+    return T.let(F.coalesce(c, F.lit("")), lambda raw: T.let(fix_spelling(T.strip(raw)), lambda fixed: _correct(raw, fixed, reply, enabled, least)))
+
+
+def _correct(raw: Column, fixed: Column, reply: Column | None, enabled: bool, least: float) -> Column:
     trimmed = T.strip(raw)
 
     def result(corrected: Column, confidence, sure, changes: Column, applied) -> Column:
@@ -55,7 +57,6 @@ def correct(c: Column, reply: Column | None = None, enabled: bool = True, least:
     none = F.array().cast(f"array<{CHANGE}>")
     if not enabled:
         return result(trimmed, 0.0, False, none, False)
-    fixed = fix_spelling(trimmed)
     changed = fixed["text"] != trimmed
     plain = result(fixed["text"], F.when(changed, 1.0).otherwise(0.0), changed, fixed["changes"], changed)
     if reply is None:
@@ -68,7 +69,10 @@ def correct(c: Column, reply: Column | None = None, enabled: bool = True, least:
 
 def needs_boost(c: Column, min_words: int = 6) -> Column:
     """Few words, or mostly generic ones."""
-    w = T.words(T.strip(F.coalesce(c, F.lit(""))))
+    return T.let(T.words(T.strip(F.coalesce(c, F.lit("")))), lambda w: _few_or_generic(w, min_words))
+
+
+def _few_or_generic(w: Column, min_words: int) -> Column:
     generic = F.size(F.filter(w, lambda x: F.lower(F.regexp_replace(x, "^[?.!,،؟]+|[?.!,،؟]+$", "")).isin(C.GENERIC_WORDS)))
     n = F.size(w)
     return (n > 0) & ((n <= max(2, min_words)) | (generic >= F.greatest(F.lit(2), F.floor(n / 2))))
@@ -84,10 +88,13 @@ def context_notes(c: Column) -> Column:
 
 def expand(c: Column, min_words: int = 6, enabled: bool = True) -> Column:
     """struct(text, notes, applied): a short or generic question followed by its two context lines."""
-    q = T.strip(F.coalesce(c, F.lit("")))
-    boost = needs_boost(q, min_words) if enabled else F.lit(False)
-    notes = F.when(boost, context_notes(q)).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.when(boost, F.concat_ws("\n", q, F.array_join(notes, "\n"))).otherwise(q).alias("text"), notes.alias("notes"), boost.alias("applied"))
+
+    def of(q: Column) -> Column:
+        boost = needs_boost(q, min_words) if enabled else F.lit(False)
+        notes = F.when(boost, context_notes(q)).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(boost, F.concat_ws("\n", q, F.array_join(notes, "\n"))).otherwise(q).alias("text"), notes.alias("notes"), boost.alias("applied"))
+
+    return T.let(T.strip(F.coalesce(c, F.lit(""))), of)
 
 
 def arabic_form(c: Column, translation: Column | None = None) -> Column:
@@ -101,9 +108,10 @@ def arabic_form(c: Column, translation: Column | None = None) -> Column:
 def plan(c: Column, min_words: int = 6) -> Column:
     """The offline plan of a question: struct(needs_database, mode, search_query, keywords, query_notes, boost_applied,
     reason, original_query). Notes come once and the original question is kept."""
-    q = T.strip(F.coalesce(c, F.lit("")))
-    fixed = correct(q)["corrected"]
-    boosted = expand(fixed, min_words)
+    return T.let(T.strip(F.coalesce(c, F.lit(""))), lambda q: T.let(correct(q)["corrected"], lambda fixed: T.let(expand(fixed, min_words), lambda boosted: _plan(q, fixed, boosted))))
+
+
+def _plan(q: Column, fixed: Column, boosted: Column) -> Column:
     chat = (q == "") | (T.contains_any(F.lower(q), C.SMALL_TALK) & (F.size(T.words(q)) <= 6))
     none = F.array().cast("array<string>")
     return F.struct(

@@ -12,7 +12,7 @@ from quillspark.operators import ranking as R
 
 
 def with_tokens(df: DataFrame, compat: bool = False) -> DataFrame:
-    return df.withColumn("tokens", T.tokenize(F.col("text"), compat))
+    return T.settled(df, "tokens", T.tokenize(F.col("text"), compat))
 
 
 def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fetch: int, options: Options, filters: dict) -> DataFrame:

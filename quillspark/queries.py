@@ -37,11 +37,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    return T.settled(read(spark, sf_dir, "documents").select("doc_id", "text"), "tokens", T.tokenize(F.col("text"))).drop("text")
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokenize(F.col("text"), compat=True).alias("tokens"))
+    return T.settled(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "tokens", T.tokenize(F.col("text"), compat=True))
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +269,8 @@ _CUT = r"""
       SELECT doc_id, t, 0, 0, '', 0 FROM t0 WHERE t <> ''
       UNION ALL
       SELECT doc_id, t, step + 1, CASE WHEN e >= length(t) THEN -1 ELSE greatest(0, e - 200) END, substr(t, start + 1, e - start), e
-      FROM (SELECT *, CASE WHEN start + length(x) < length(t) AND at > 600 THEN start + at + 1 ELSE start + length(x) END AS e
-            FROM (SELECT *, greatest(CASE WHEN contains(x, ' ') THEN length(x) - instr(reverse(x), ' ') ELSE -1 END, CASE WHEN contains(x, chr(10) || chr(10)) THEN length(x) - instr(reverse(x), chr(10) || chr(10)) - 1 ELSE -1 END) AS at
+      FROM (SELECT *, CASE WHEN start + length(x) < length(t) AND brk > 600 THEN start + brk + 1 ELSE start + length(x) END AS e
+            FROM (SELECT *, greatest(CASE WHEN contains(x, ' ') THEN length(x) - instr(reverse(x), ' ') ELSE -1 END, CASE WHEN contains(x, chr(10) || chr(10)) THEN length(x) - instr(reverse(x), chr(10) || chr(10)) - 1 ELSE -1 END) AS brk
                   FROM (SELECT *, substr(t, start + 1, 1200) AS x FROM w WHERE start >= 0))))"""
 
 
