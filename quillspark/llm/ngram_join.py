@@ -3,15 +3,17 @@
 Documents with equal shingle sets are one class. Two classes with a Jaccard similarity of t at least share one of the
 first n - ceil(t*n) + 1 shingles of each under any common order (prefix filter). The order here puts shingles last that
 a count sketch of fixed size finds in many documents. Prefix shingles meet in shards by range of hash. Classes that
-agree in a minimum hash are linked to the least of them first, verified exactly, so groups of near copies become
-components without their pairs being formed. What still shares a prefix shingle across components is joined per
-shingle by signature trees: nodes hold the OR of their members' token bitmaps and their range of sizes, and a dual
-traversal drops node pairs whose maximum possible overlap is too small. Surviving pairs are verified on whole sets.
+agree in a minimum hash are linked to the least of them first, so groups of near copies become components without
+their pairs being formed. What shares a prefix shingle across components is joined per shingle by signature trees:
+nodes hold the OR of their members' token bitmaps and their range of sizes, and a dual traversal drops node pairs whose
+maximum possible overlap is too small. First links and surviving pairs are verified on whole sets, which are made for
+the classes in some pair only; components whose first links do not all hold go through the trees once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import BASE, LOWER, Hashes, mix, shingles, utf8, words
-from .common import shuffle_partitions, slices, texts, written
+from .common import bucketed, shuffle_partitions, slices, texts, written
 from .components import components
 from .language_model import packed, shards_of, unpacked
 
-#: Counters of the sketch of shingle frequencies (2**SKETCH), minimum hashes, bits of a signature, members of a tree.
-SKETCH, MINIMA, BITS, TREE = 20, 4, 1024, 2048
+#: Counters of the sketch of shingle frequencies (2**SKETCH), minimum hashes, members of a tree, largest signature class.
+SKETCH, MINIMA, TREE, WIDEST = 20, 4, 2048, 6
 BLOCK = 6 << 20
 NO_ID = -(1 << 63)
 SEEDS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
@@ -60,15 +62,15 @@ def class_ids(v: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH, np.int64)
-        names = ["doc_id", "n", "cid", "minima", "sketch"]
+        names = ["doc_id", "n", "cid", "minima", "sig", "sketch"]
         for b in slices(batches):
             v, at = shingle_sets(b.column("text"), k)
             sketch += np.bincount((v >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
             minima = np.stack([reduced(np.minimum, mix(v ^ s), at, 0) for s in SEEDS[:MINIMA]], axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, minima.size + 1, MINIMA), pa.int32()), pa.array(minima.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(class_ids(v, at)), lists, pa.nulls(b.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(class_ids(v, at)), lists, pa.array(signatures(v, at), pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
         blob = flattened(sketch)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([blob], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
     return run
 
@@ -92,13 +94,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(described: DataFrame) -> np.ndarray:
-    """0 for counters up to 4 times the mean, above that the logarithm of their excess: one byte a counter."""
+    """0 for counters that stay within the spread of a random filling, above that the logarithm of their excess in such
+    spreads: one byte a counter."""
     parts = described.where("sketch is not null").select("sketch")
     fan = max(1, int(shuffle_partitions(described.sparkSession) ** 0.5))
     row = parts.repartition(fan).mapInArrow(_merged, "sketch binary").repartition(1).mapInArrow(_merged, "sketch binary").first()
     total = restored(row.sketch)
     mean = max(1.0, total.mean())
-    return np.where(total > 4 * mean, np.log2(np.maximum(1, total / mean)), 0).astype(np.uint8)
+    excess = (total - mean) / (4 * np.sqrt(mean) + 2)
+    return np.where(excess > 1, 1 + np.log2(np.maximum(1, excess)), 0).astype(np.uint8)
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -169,21 +173,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + (1 << 16)]), pa.array(c[lo : lo + (1 << 16)])], ["key", "cid"])
 
 
-def signatures(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Token bitmaps of BITS bits, one row a set."""
-    bits = np.zeros((len(at) - 1, BITS), bool)
-    bits[np.repeat(np.arange(len(at) - 1), np.diff(at)), (mix(v) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
+def width_class(n: np.ndarray) -> np.ndarray:
+    """Sets of up to 225 * 4**j items have bitmaps of 1024 * 4**j bits."""
+    return np.clip(np.ceil(np.log(np.maximum(n, 1) / 225) / np.log(4)), 0, WIDEST).astype(int)
+
+
+def signatures(v: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Token bitmaps, as wide as the set's size asks for. A bit is named by the first bits of a hash, so OR-ing
+    neighbouring bits makes a narrower bitmap."""
+    place, out = mix(v), []
+    for lo, hi, j in zip(at[:-1], at[1:], width_class(np.diff(at)), strict=True):
+        bits = np.zeros(1024 << 2 * int(j), bool)
+        bits[(place[lo:hi] >> np.uint64(54 - 2 * int(j))).astype(np.int64)] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def folded(sigs: list[bytes], j: int) -> np.ndarray:
+    """Bitmaps of class j, one row a set, from bitmaps of that class or wider ones."""
+    rows = []
+    for s in sigs:
+        b = np.frombuffer(s, np.uint8)
+        if 8 * len(b) > 1024 << 2 * j:
+            b = np.packbits(np.unpackbits(b).reshape(1024 << 2 * j, -1).any(axis=1))
+        rows.append(b)
+    return np.stack(rows)
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             v, at = shingle_sets(b.column("text"), k)
-            keep = class_ids(v, at) == np.asarray(b.column("cid"))
-            sig = signatures(v, at)
-            i = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(i)), pa.array(np.diff(at)[i]), pa.array([v[at[j] : at[j + 1]].tobytes() for j in i], pa.binary()), pa.array([sig[j].tobytes() for j in i], pa.binary())], ["cid", "n", "items", "sig"])
+            i = np.flatnonzero(class_ids(v, at) == np.asarray(b.column("cid")))
+            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(i)), pa.array(np.diff(at)[i]), pa.array([v[at[j] : at[j + 1]].tobytes() for j in i], pa.binary())], ["cid", "n", "items"])
 
     return run
 
@@ -214,7 +236,7 @@ class SignatureTree:
     def __init__(self, sig: np.ndarray, n: np.ndarray, comp: np.ndarray):
         order = np.argsort(n, kind="stable")
         sig, n, comp = sig[order], n[order], comp[order]
-        excess = n - np.bitwise_count(sig).sum(axis=1)
+        excess = n - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
         self.order, self.levels = order, [(sig, n, n, excess, comp)]
         while len(self.levels[-1][0]) > 1:
             s, lo, hi, ex, c = self.levels[-1]
@@ -236,7 +258,7 @@ class SignatureTree:
                 p, q = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
                 apart = (c[p] != c[q]) | (c[p] == NO_ID)
                 close = 100 * np.minimum(hi[p], hi[q]) >= percent * np.maximum(lo[p], lo[q])
-                overlap = np.bitwise_count(s[p] & s[q]).sum(axis=1) + np.minimum(ex[p], ex[q])
+                overlap = np.bitwise_count(s[p] & s[q]).sum(axis=1, dtype=np.int64) + np.minimum(ex[p], ex[q])
                 overlap = np.minimum(overlap, np.minimum(hi[p], hi[q]))
                 # 100*o >= percent*(a + b - o)
                 keep.append(apart & close & ((100 + percent) * overlap >= percent * (lo[p] + lo[q])))
@@ -251,11 +273,20 @@ def _joined(percent: int):
 
     def group(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         cid, comp, n, block = (np.asarray(b.column(c)) for c in ("cid", "comp", "n", "block"))
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        pairs = SignatureTree(sig, n, comp).pairs(percent)
-        i, j = b.column("i")[0].as_py(), b.column("j")[0].as_py()
-        if i != j:
-            pairs = pairs[block[pairs[:, 0]] != block[pairs[:, 1]]]
+        sig, apart = b.column("sig"), b.column("i")[0].as_py() != b.column("j")[0].as_py()
+        found = []
+        # One tree for each class of sizes; a class takes in what may pair with its smallest members.
+        for c in range(WIDEST + 1):
+            low = 0 if c == 0 else 300 * 4 ** (c - 1)
+            high = 300 * 4**c if c < WIDEST else np.inf
+            if not ((n > low) & (n <= high)).any():
+                continue
+            own = np.flatnonzero((n * 4 > low * 3) & (n <= high))
+            if len(own) < 2:
+                continue
+            pairs = own[SignatureTree(folded(sig.take(pa.array(own)).to_pylist(), c), n[own], comp[own]).pairs(percent)]
+            found.append(pairs[block[pairs[:, 0]] != block[pairs[:, 1]]] if apart else pairs)
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         a, z = cid[pairs[:, 0]], cid[pairs[:, 1]]
         return np.minimum(a, z), np.maximum(a, z)
 
@@ -289,6 +320,22 @@ def _joined(percent: int):
     return run
 
 
+def tree_pairs(shared: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of classes of different components (``labels``: node, label) that share a prefix shingle."""
+    n = shuffle_partitions(shared.sparkSession)
+    comp = shared.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("lo <> hi")
+    # Shingles of one passage have the same members: one of them is enough.
+    mixed = mixed.groupBy("members", "size").agg(F.min("key").alias("key")).select("key", "size")
+    parts = F.ceil(F.col("size") / TREE).cast("int")  # large groups: blocks of members, one tree for each pair of blocks
+    member = comp.join(mixed, "key").select("key", "cid", "comp", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"), parts.alias("parts"))
+    member = written(member.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")), "members")
+    sigs = info.join(member.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    rows = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "block").join(sigs, "cid")
+    groups = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "cid", "comp", "block", "n", "sig")
+    return written(groups.mapInArrow(_joined(percent), "a long, b long").distinct(), "pairs")
+
+
 def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every row.
 
@@ -302,31 +349,32 @@ def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     d = texts(docs)
-    described = written(d.mapInArrow(_describe(words_in_shingle), "doc_id long, n long, cid long, minima array<long>, sketch binary"), "described")
-    info = described.where("sketch is null")
+    described = written(d.mapInArrow(_describe(words_in_shingle), "doc_id long, n long, cid long, minima array<long>, sig binary, sketch binary"), "described")
+    info = described.where("sketch is null and n > 0")
     levels = spark.sparkContext.broadcast(frequency_levels(described))  # 2**SKETCH bytes
     entries = d.mapInArrow(_prefixes(words_in_shingle, percent, n, levels), ENTRY).repartitionById(n, F.col("shard"))
     shared = written(entries.mapInArrow(_shared, "key long, cid long"), "shared")
-    classes = written(info.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima")), "classes")
-    meeting = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
-    # Whole sets, of classes that share a prefix shingle only.
-    wanted = meeting.select(F.coalesce("least", F.lit(NO_ID)).alias("doc_id"), "cid")
-    sets = written(d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, "doc_id").select("cid", "text").mapInArrow(_sets(words_in_shingle), "cid long, n long, items binary, sig binary"), "sets")
+    classes = written(info.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima")), "classes")
     # First links: to the least class with the same minimum hash.
-    keyed = meeting.select("cid", F.posexplode("minima").alias("i", "m"))
+    keyed = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.posexplode("minima").alias("i", "m"))
     centres = keyed.groupBy("i", "m").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    stars = keyed.join(centres, ["i", "m"]).where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    first = written(components(verified(stars, sets, percent)), "first-components")
-    # Then whatever shares a prefix shingle across components, by signature trees.
-    comp = shared.join(first.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
-    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    parts = F.ceil(F.col("size") / TREE).cast("int")  # large groups: blocks of members, one tree for each pair of blocks
-    member = comp.join(mixed, "key").select("key", "cid", "comp", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"), parts.alias("parts"))
-    member = member.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "block")
-    groups = member.join(sets.select("cid", "n", "sig"), "cid").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = groups.select("key", "i", "j", "cid", "comp", "block", F.col("n").cast("long").alias("n"), "sig").mapInArrow(_joined(percent), "a long, b long").distinct()
-    second = verified(written(pairs, "pairs"), sets, percent)
+    stars = written(keyed.join(centres, ["i", "m"]).where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "stars")
+    assumed = components(stars)
+    # Then whatever shares a prefix shingle across components.
+    pairs = tree_pairs(shared, assumed, info, percent)
+    ends = [t.select(F.col(c).alias("cid")) for t in (stars, pairs) for c in ("a", "b")]
+    wanted = classes.join(reduce(DataFrame.union, ends).distinct(), "cid", "left_semi").select(F.coalesce("least", F.lit(NO_ID)).alias("doc_id"), "cid")
+    # Whole sets of the classes in some pair, in buckets: joins on cid leave them where they are.
+    own = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, "doc_id").select("cid", "text")
+    sets = bucketed(own.mapInArrow(_sets(words_in_shingle), "cid long, n long, items binary").repartition(n, "cid"), "sets", "cid")
+    first = components(verified(stars, sets, percent))
+    # Components that were assumed and do not hold: their parts meet in the trees again.
+    held = assumed.join(first.withColumnRenamed("label", "true"), "node", "left").select("node", "label", F.coalesce("true", "node").alias("true"))
+    broken = held.groupBy("label").agg(F.min("true").alias("lo"), F.max("true").alias("hi")).where("lo <> hi").select("label")
+    again = written(held.join(broken, "label", "left_semi").select(F.col("node").alias("cid")), "again")
+    if not again.isEmpty():
+        pairs = pairs.unionByName(tree_pairs(shared.join(again, "cid", "left_semi"), first, info, percent)).distinct()
+    second = verified(pairs, sets, percent)
     label = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
     bridges = second.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     last = components(bridges)
@@ -335,8 +383,8 @@ def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int
     named = written(classes.select("cid", "least").join(full, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("label", "cid").alias("label")), "named")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(ids, "label").select("cid", "component_id")
-    out = info.where("n > 0").join(of_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = info.join(of_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, percent: int = 75) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import BASE, Hashes, mix, utf8
-from .common import removed, shared_path, shuffle_partitions, slices, texts, written
+from .common import bucketed, removed, slices, texts, written
 
 Q = 50
 #: Windows in a range at each level of refinement, below the whole range of an anchor.
@@ -184,15 +184,6 @@ def _kept(with_kept: bool):
     return run
 
 
-def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
-    """``df`` as a table in the shared folder, in buckets of ``keys``: later joins on them move only the other side."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    name = "quillspark_" + path.rsplit("-", 1)[1]
-    df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def substring_dedup(docs: DataFrame, length: int = 200, with_kept: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes).
 
