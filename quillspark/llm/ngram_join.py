@@ -26,7 +26,9 @@ from .components import components
 from .language_model import packed, shards_of, unpacked
 
 #: Counters of the sketch of shingle frequencies (2**SKETCH), minimum hashes, members of a tree, largest signature class.
-SKETCH, MINIMA, TREE, WIDEST = 20, 4, 2048, 6
+SKETCH, MINIMA, TREE, WIDEST = 22, 4, 2048, 6
+#: Members of an assumed component that the others are held against where its first links do not all hold.
+CENTRES = 8
 BLOCK = 6 << 20
 NO_ID = -(1 << 63)
 SEEDS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
@@ -320,6 +322,13 @@ def _joined(percent: int):
     return run
 
 
+def broken_up(assumed: DataFrame, first: DataFrame) -> DataFrame:
+    """node, label, actual: members of assumed components (node, label) that are several components in ``first``."""
+    held = assumed.join(first.withColumnRenamed("label", "actual"), "node", "left").select("node", "label", F.coalesce("actual", "node").alias("actual"))
+    broken = held.groupBy("label").agg(F.min("actual").alias("lo"), F.max("actual").alias("hi")).where("lo <> hi").select("label")
+    return written(held.join(broken, "label", "left_semi"), "broken-up")
+
+
 def tree_pairs(shared: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of classes of different components (``labels``: node, label) that share a prefix shingle."""
     n = shuffle_partitions(shared.sparkSession)
@@ -368,11 +377,19 @@ def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int
     own = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, "doc_id").select("cid", "text")
     sets = bucketed(own.mapInArrow(_sets(words_in_shingle), "cid long, n long, items binary").repartition(n, "cid"), "sets", "cid")
     first = components(verified(stars, sets, percent))
-    # Components that were assumed and do not hold: their parts meet in the trees again.
-    held = assumed.join(first.withColumnRenamed("label", "true"), "node", "left").select("node", "label", F.coalesce("true", "node").alias("true"))
-    broken = held.groupBy("label").agg(F.min("true").alias("lo"), F.max("true").alias("hi")).where("lo <> hi").select("label")
-    again = written(held.join(broken, "label", "left_semi").select(F.col("node").alias("cid")), "again")
+    # Components that were assumed and do not hold: their members are held against a few more of them, and what is
+    # still apart meets in the trees again.
+    loose = broken_up(assumed, first)
+    if not loose.isEmpty():
+        pick = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)]
+        chosen = loose.groupBy("label").agg(F.array_distinct(F.array(*pick)).alias("c")).select("label", F.explode("c").alias("b"))
+        of_centre = chosen.join(loose.select(F.col("node").alias("b"), F.col("actual").alias("b_actual")), "b")
+        more = loose.join(of_centre, "label").where("actual <> b_actual").select(F.col("node").alias("a"), "b")
+        links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(more, sets, percent))
+        first = written(components(links), "first-components")
+    again = loose if loose.isEmpty() else broken_up(assumed, first)
     if not again.isEmpty():
+        again = again.select(F.col("node").alias("cid"))
         pairs = pairs.unionByName(tree_pairs(shared.join(again, "cid", "left_semi"), first, info, percent)).distinct()
     second = verified(pairs, sets, percent)
     label = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
