@@ -101,7 +101,9 @@ class AttentionNetwork:
         return {"c": f["z"].T @ dy, "d": np.array([dy.sum()]), "w": (f["t"] * f["g"]).T @ ds, "V": f["h"].T @ dt, "U": f["h"].T @ dg, "W": f["x"].T @ du, "b": du.sum(axis=0)}
 
     def fit(self, x: np.ndarray, at: np.ndarray, target: np.ndarray, rounds: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 11) -> AttentionNetwork:
-        """Adam on the log loss. Both labels weigh the square root of their odds, so a rare label is not drowned."""
+        """Adam on the log loss, for ``rounds`` over the sample and 400 steps at least. Both labels weigh the square root
+        of their odds, so a rare label is not drowned."""
+        rounds = max(rounds, -(-400 // -(-len(target) // batch)))
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         r, n = np.random.default_rng(seed), len(target)
         share = np.clip(np.array([np.mean(target == 0), np.mean(target == 1)]), 1e-3, 1)
