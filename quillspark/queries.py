@@ -496,9 +496,10 @@ def trust_parse(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.explode(answers.relevant_indexes(text, F.lit(4))).alias("idx"))
 
 
-def _hits(spark, sf_dir):
+def _hits(spark, sf_dir, heads=True):
+    """The top 8 documents of every query, with their whole texts, or the heads that ``_HITS`` has."""
     top = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").withColumnRenamed("bm25", "score")
-    d = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("text") if heads else "text")
     i = F.col("doc_id")
     return top.join(d, "doc_id").withColumns({"filename": F.concat(F.lit("doc-"), i.cast("string")), "page_start": (i % 4).cast("int"), "page_end": (i % 4 + i % 2).cast("int")})
 
@@ -524,7 +525,7 @@ def format_sources(spark, sf_dir):
 
 @query()
 def offline_answers(spark, sf_dir):
-    hits = _hits(spark, sf_dir).join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    hits = _hits(spark, sf_dir, heads=False).join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     return answers.offline_answers(answers.offline_trust(hits))
 
 

@@ -39,3 +39,10 @@ def test_imports_without_a_session():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_offline_answers_reads_whole_documents(spark, tmp_path):
+    head = "Nothing of interest is told in the opening words of this text, which go on and on for a while. "
+    spark.createDataFrame([(1, head + "The zebra quagga grazes near Kimberley."), (2, "Other words entirely.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zebra quagga grazes Kimberley")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.answer for r in QUERIES["offline_answers"](spark, f"file://{tmp_path}").collect()] == ["The zebra quagga grazes near Kimberley. [1]"]
