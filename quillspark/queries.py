@@ -364,9 +364,11 @@ def digits_fold(spark, sf_dir):
 _MIX = f"CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN {_AR} ELSE substr(text, 1, 40) || ' ' || substr({_AR}, 1, 40) END"
 
 
-def _mixed_docs(spark, sf_dir):
-    i, ar = F.col("doc_id") % 3, F.translate(F.lower("text"), _LATIN, _ARABIC)
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, F.col("text")).when(i == 1, ar).otherwise(F.concat(F.left("text", F.lit(40)), F.lit(" "), F.left(ar, F.lit(40)))).alias("text"))
+def _mixed_docs(spark, sf_dir, heads=True):
+    """Texts in one script, the other, or both: whole, or for both scripts the heads that ``_MIX`` has."""
+    i, text, ar = F.col("doc_id") % 3, F.col("text"), F.translate(F.lower("text"), _LATIN, _ARABIC)
+    both = F.concat(F.left(text, F.lit(40)), F.lit(" "), F.left(ar, F.lit(40))) if heads else F.concat(text, F.lit(" "), ar)
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, text).when(i == 1, ar).otherwise(both).alias("text"))
 
 
 _COUNTS = rf"c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\x{{0600}}-\x{{06FF}}]'))::BIGINT AS ar, len(regexp_extract_all(text, '[A-Za-z]'))::BIGINT AS la, len(regexp_extract_all(text, '\p{{L}}'))::BIGINT AS al, length(text) AS n FROM (SELECT doc_id, {_MIX} AS text FROM documents))"
@@ -390,7 +392,7 @@ def text_direction(spark, sf_dir):
 
 @query()
 def unreliable_extraction(spark, sf_dir):
-    return _mixed_docs(spark, sf_dir).select("doc_id", T.unreliable_extraction(F.col("text")).alias("unreliable"))
+    return _mixed_docs(spark, sf_dir, heads=False).select("doc_id", T.unreliable_extraction(F.col("text")).alias("unreliable"))
 
 
 @query(r"""SELECT page_id, CASE WHEN b = '' THEN 'uploaded.bin' ELSE b END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(translate(trim(url), '\', '/'), '/+$', ''), '([^/]*)$', 1), '[\x00-\x1f\x7f<>:"|?*\\/]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS b FROM pages)""")

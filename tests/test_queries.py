@@ -46,3 +46,9 @@ def test_offline_answers_reads_whole_documents(spark, tmp_path):
     spark.createDataFrame([(1, head + "The zebra quagga grazes near Kimberley."), (2, "Other words entirely.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "zebra quagga grazes Kimberley")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.answer for r in QUERIES["offline_answers"](spark, f"file://{tmp_path}").collect()] == ["The zebra quagga grazes near Kimberley. [1]"]
+
+
+def test_unreliable_extraction_reads_whole_texts(spark, tmp_path):
+    head = "normal words stand at the beginning of every text here, "
+    spark.createDataFrame([(2, head + "more normal words"), (5, head + "a b c d e f g")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.unreliable for r in QUERIES["unreliable_extraction"](spark, f"file://{tmp_path}").collect()} == {2: False, 5: True}
