@@ -89,7 +89,8 @@ class Index:
             return none
         # Any pattern's bound needs so many hits within so many bytes; most texts end here.
         reach, least = int((self.size + self.budget).max()), max(1, int(self.bound.min()))
-        dense = np.zeros(len(at), bool)
+        if len(at) < least:
+            return none
         tail = at[least - 1 :] - at[: len(at) - least + 1] <= reach
         edges = np.zeros(len(at) + 1, np.int64)
         starts = np.flatnonzero(tail)

@@ -8,12 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from quillspark.llm.bytegrams import utf8
 from quillspark.llm.chat import chat_format
 from quillspark.llm.components import components
-from quillspark.llm.decontamination import contamination, keep_clean
+from quillspark.llm.decontamination import Index, contamination, keep_clean, normal
 from quillspark.llm.elias_fano import EliasFano
 from quillspark.llm.exact_dedup import exact_dedup, keep_first
 from quillspark.llm.language_model import language_model_scores
@@ -238,6 +240,17 @@ def test_decontamination(spark):
     assert {x.doc_id for x in keep_clean(docs, bench).collect()} == {i for i in want if not want[i]}
 
 
+def test_decontamination_of_a_slice_with_few_hits():
+    r = random.Random(4)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    index = Index([(7, item)], 0.08)
+    least = int(index.bound.min())
+    for hits in range(least + 1):  # a document alone in its slice that shares so many q-grams with the item
+        text = "#" * 20 + item[: hits + 7 if hits else 0] + "#" * 20
+        assert index.matches(*normal(*utf8(pa.array([text], pa.string())))).tolist() == []
+    assert index.matches(*normal(*utf8(pa.array([item], pa.string())))).tolist() == [[0, 0]]
+
+
 def test_licences(spark):
     texts = ["Some prose.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Qorvex License, version 4.", "Mit der Zeit.\nAll rights reserved.", None, ""]
     got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
