@@ -3,7 +3,8 @@
 Paragraphs (lines) are described by their word one- to three-grams. A sparse multinomial logistic regression, trained
 on templates and their perturbed copies against ordinary paragraphs, names the licence family or none; temperature
 scaling on held-out perturbations calibrates it, and a paragraph whose best family stays below ``least`` is unknown.
-A prediction is confirmed when the paragraph and a template of that family contain one another's words.
+A prediction is confirmed when the paragraph and a template of that family contain one another's words. Lines in which
+the model has no confirmed licence as a whole are looked through by windows of 2 to 64 words at every word.
 """
 
 from __future__ import annotations
@@ -75,11 +76,14 @@ OTHERS = [
 #: Wordings of licences that belong to no family.
 UNKNOWN = ["Licensed under the {name} License, version {n}.", "Released under the {name} License.", "This work is licensed under the {name} Public License, version {n}.", "SPDX-License-Identifier: {name}-{n}.0", "This project is licensed under the {name} License."]
 SYLLABLES = ["ba", "cor", "del", "fi", "gam", "hul", "kin", "lo", "mer", "nov", "par", "qui", "ros", "sel", "tur", "vex"]
+#: Words of the windows in which long lines are looked through.
+WINDOWS = [2, 3, 5, 7, 10, 14, 20, 28, 40, 64]
 PUNCTUATION = np.isin(np.arange(256), list(b".,;:()[]\"'`*#!?<>"))
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with words: feature bucket of every word n-gram (n = 1, 2, 3), its line, and each line's first and last byte."""
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines with words: feature bucket of every word n-gram (n = 1, 2, 3), its line, and each line's first and last
+    byte; then each n-gram's first word and n, and each word's line, first and last byte."""
     clean = LOWER[data]
     clean[PUNCTUATION[clean]] = 32
     breaks = np.flatnonzero(data == 10)
@@ -91,7 +95,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     kept = np.flatnonzero(n)
     line = np.repeat(np.cumsum(n > 0) - 1, n)
     h = Hashes(clean).of(s, e)
-    feats, owner = [h], [line]
+    feats, owner, place = [h], [line], [np.arange(len(h))]
     for k in (2, 3):
         m = max(0, len(h) - k + 1)
         same = line[:m] == line[k - 1 :] if m else np.zeros(0, bool)
@@ -100,8 +104,10 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : m + i]
         feats.append(mix(g[same]))
         owner.append(line[:m][same])
+        place.append(np.flatnonzero(same))
+    width = np.repeat([1, 2, 3], [len(x) for x in place])
     f = (np.concatenate(feats) >> np.uint64(64 - BITS)).astype(np.int64)
-    return f, np.concatenate(owner), bounds[kept], bounds[kept + 1]
+    return f, np.concatenate(owner), bounds[kept], bounds[kept + 1], np.concatenate(place), width, line, s, e
 
 
 def word_set(text: str) -> frozenset:
@@ -134,7 +140,7 @@ class LicenceModel:
             labels.append(0)
         y = np.array(labels)
         held = r.random(len(rows)) < 0.2
-        f, line, _, _ = grams(*utf8(pa.array(rows, pa.string())))
+        f, line, *_ = grams(*utf8(pa.array(rows, pa.string())))
         names = np.unique(f)
         col = np.searchsorted(names, f)
         x = np.zeros((len(rows), len(names)), np.float32)
@@ -164,33 +170,87 @@ class LicenceModel:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def paragraphs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lines in which the model sees a licence: first and last byte, best family and its probability."""
-        f, line, lo, hi = grams(data, off)
+    def paragraphs(self, data: np.ndarray, off: np.ndarray, least: float) -> list[tuple[int, int, float, bool]]:
+        """Lines and passages in lines in which the model sees a licence: first byte, best family, its probability, and
+        whether that is ``least`` at least and confirmed."""
+        f, line, lo, hi, place, width, line_of, s, e = grams(data, off)
         total = np.bincount(line, minlength=len(lo))
         f = self.column[f].astype(np.int64)
         known = f >= 0
-        f, line = f[known], line[known]
-        # A line in which fewer than a fifth of the n-grams are known is ordinary text under this model.
+        f, line, place, width = f[known], line[known], place[known], width[known]
+        # A line in which fewer than a fifth of the n-grams are known is no licence as a whole.
         rich = np.bincount(line, minlength=len(lo)) * 5 >= np.maximum(1, total)
         pick = rich[line]
-        f, line = f[pick], line[pick]
-        names, place = np.unique(line, return_inverse=True)
-        once = np.unique(place.astype(np.int64) << BITS | f)
-        place, f = once >> BITS, once & ((1 << BITS) - 1)
-        z = np.zeros((len(names), len(FAMILIES)))
-        np.add.at(z, place, self.weights[f])
-        z = z / np.sqrt(np.maximum(1, total[names]))[:, None] + self.bias
+        names, at = np.unique(line[pick], return_inverse=True)
+        yes, best, share = self._judged(at, f[pick], total[names])
+        names, best, share = names[yes], best[yes], share[yes]
+        text = lambda x, y: data[x:y].tobytes().decode("utf-8", "replace")
+        own = [(x, k, p, p >= least and self.confirmed(text(x, y), k)) for x, y, k, p in zip(lo[names].tolist(), hi[names].tolist(), best.tolist(), share.tolist(), strict=True)]
+        whole = np.zeros(len(lo), bool)
+        whole[names[np.array([sure for *_, sure in own], bool)]] = True
+        parts = self._passages(text, f, place, width, whole, line_of, s, e, least)
+        # A line that is unknown as a whole gives way to confirmed passages in it, and else counts once.
+        line = lambda x: int(np.searchsorted(lo, x, side="right")) - 1
+        better, seen = {line(x) for x, *_, sure in parts if sure}, set(names.tolist())
+        return [x for x in own if x[3] or line(x[0]) not in better] + [x for x in parts if x[3] or line(x[0]) not in seen]
+
+    def _judged(self, at: np.ndarray, f: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For paragraphs 0, 1, ... with known features ``f`` (each in paragraph ``at``) of ``total``: whether the model
+        sees a licence, the best family, its probability."""
+        once = np.unique(at.astype(np.int64) << BITS | f)
+        at, f = once >> BITS, once & ((1 << BITS) - 1)
+        z = np.zeros((len(total), len(FAMILIES)))
+        new = np.flatnonzero(np.diff(at, prepend=-1))
+        if len(new):
+            z[at[new]] = np.add.reduceat(self.weights[f].astype(float), new, axis=0)
+        z = z / np.sqrt(np.maximum(1, total))[:, None] + self.bias
         p = self._softmax(z / self.temperature)
         best = p[:, 1:].argmax(axis=1) + 1 if len(p) else np.zeros(0, int)
-        share = p[np.arange(len(p)), best]
-        yes = p[:, 0] < 0.5 if len(p) else np.zeros(0, bool)
-        return lo[names][yes], hi[names][yes], best[yes], share[yes]
+        return p[:, 0] < 0.5, best, p[np.arange(len(p)), best]
+
+    def _passages(self, text, f, place, width, whole, line_of, s, e, least: float) -> list[tuple[int, int, float, bool]]:
+        """Passages of lines that are no confirmed licence as a whole: of overlapping windows the confirmed, then the
+        likeliest."""
+        n = len(s)
+        column = np.full((3, n), -1, np.int64)
+        column[width - 1, place] = f
+        # No family gains more over none than the sum of each n-gram's best gain: most windows end at that bound.
+        gain = np.maximum(0, self.weights[:, 1:].max(axis=1) - self.weights[:, 0])
+        sums = np.concatenate([np.zeros((3, 1)), np.cumsum(np.where(column >= 0, gain[column], 0), axis=1)], axis=1)
+        need = self.bias[0] - self.bias[1:].max() - self.temperature * np.log(len(FAMILIES) - 1) - 1e-3
+        found = []
+        for w in WINDOWS:
+            m = n - w + 1
+            if m <= 0:
+                continue
+            size = sum(max(0, w - k) for k in range(3))
+            most = sum(sums[k, w - k : w - k + m] - sums[k, :m] for k in range(min(3, w)))
+            first = np.flatnonzero(most >= need * np.sqrt(size))
+            first = first[(line_of[first] == line_of[first + w - 1]) & ~whole[line_of[first]]]
+            for x in range(0, len(first), 8192):
+                part = first[x : x + 8192]
+                cells = np.concatenate([column[k][part[:, None] + np.arange(w - k)] for k in range(min(3, w))], axis=1)
+                at, c = np.nonzero(cells >= 0)
+                yes, best, share = self._judged(at, cells[at, c], np.full(len(part), size))
+                found += [(a, a + w, k, p) for a, k, p in zip(part[yes].tolist(), best[yes].tolist(), share[yes].tolist(), strict=True)]
+        judged = []
+        for a, b, k, p in found:
+            sure = p >= least and self.confirmed(text(s[a], e[b - 1]), k, part=True)
+            # A few words of a licence's vocabulary in a line of prose are a notice only if confirmed or worded as one.
+            if sure or (k == len(FAMILIES) - 1 and b - a >= 5 and p >= least):
+                judged.append((not sure, -p, b - a, a, b, k))
+        taken, out = np.zeros(n, bool), []
+        for unsure, p, _, a, b, k in sorted(judged):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                out.append((int(s[a]), k, -p, not unsure))
+        return out
 
-    def confirmed(self, text: str, family: int, least: float = 0.8) -> bool:
-        """Whether the paragraph holds most words of a template of the family, or the other way round."""
+    def confirmed(self, text: str, family: int, least: float = 0.8, part: bool = False) -> bool:
+        """Whether the paragraph holds most words of a template of the family, or the other way round (a ``part`` of a
+        line, of eight words at least)."""
         own = word_set(text)
-        return any(len(own & t) >= least * len(t) or (len(own) >= 4 and len(own & t) >= 0.9 * len(own)) for t in self.templates.get(family, []))
+        return any(len(own & t) >= least * len(t) or (len(own) >= (8 if part else 4) and len(own & t) >= 0.9 * len(own)) for t in self.templates.get(family, []))
 
 
 @cache
@@ -214,9 +274,8 @@ def licence_scan(docs: DataFrame, least: float = 0.6) -> DataFrame:
             data, off = utf8(b.column("text"))
             found: list[set] = [set() for _ in range(b.num_rows)]
             n, unknown, top = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, hi, family, share in zip(*m.paragraphs(data, off), strict=True):
+            for lo, family, share, sure in m.paragraphs(data, off, least):
                 d = int(np.searchsorted(off, lo, side="right")) - 1
-                sure = share >= least and m.confirmed(data[lo:hi].tobytes().decode("utf-8", "replace"), family)
                 found[d].add(FAMILIES[family] if sure else "unknown")
                 n[d] += 1
                 unknown[d] += not sure

@@ -19,7 +19,7 @@ from quillspark.llm.decontamination import Index, contamination, keep_clean, nor
 from quillspark.llm.elias_fano import EliasFano
 from quillspark.llm.exact_dedup import exact_dedup, keep_first
 from quillspark.llm.language_model import language_model_scores
-from quillspark.llm.licences import licence_scan
+from quillspark.llm.licences import TEMPLATES, licence_scan
 from quillspark.llm.ngram_join import SignatureTree, folded, jaccard_components, keep_representatives, signatures
 from quillspark.llm.packing import pack, plan_sequences
 from quillspark.llm.quality import quality_scores
@@ -257,6 +257,17 @@ def test_licences(spark):
     assert [list(got[i].licences) for i in range(6)] == [["mit"], ["gpl-3.0"], ["unknown"], [], [], []]
 
 
+def test_licences_within_long_lines(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abdeklmnoprstuvz") for _ in range(r.randint(3, 8))) for _ in range(n))
+    inside = lambda n, *notices: " ".join(x for t in notices for x in (prose(n), t)) + " " + prose(n)
+    cases = [(inside(n, text), [family]) for family, text in TEMPLATES for n in (20, 60)]
+    cases += [(inside(60, "Licensed under the Qorvex License, version 4."), ["unknown"]), (inside(60, "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."), ["apache-2.0", "mit"])]
+    cases += [(prose(200), []), (inside(60, "The driver must hold a valid license to drive in this part of the village and all rights are reserved."), [])]
+    got = {x.doc_id: list(x.licences) for x in licence_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "Hello there world\nsecond line here"), (1, 1, "assistant", "> Hello there world\n> second line here\nMy answer is this"), (1, 2, "user", ">> Hello there  world\n> My answer is THIS\nThanks a lot"),
