@@ -53,21 +53,23 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     Ordering by conv_id, root_turn, turn gives every reply after what it replies to. Where several earlier messages
     say what is quoted, the earliest counts; where several passages are linked, the lowest level, then the latest
-    message. A passage is looked for as a whole and then by its lines; passages of fewer than two words link nothing.
+    message. A passage is looked for as a whole, then by its lines, those without a space last; blank passages link
+    nothing.
     A null or empty text has no quotes and an empty formatted body; a null role is printed as "unknown". Rows with a
     null conv_id or turn link to none. Repeated rows (same conv_id and turn) are kept and treated alike. An empty
     table gives no rows; other columns are ignored.
     """
     m = parsed(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
-    quoted = F.filter("blocks", lambda b: (b.level > 0) & F.contains(_squeezed(b.text), F.lit(" ")))
+    quoted = F.filter("blocks", lambda b: (b.level > 0) & (_squeezed(b.text) != ""))
     base = written(
         m.select("conv_id", "turn", "role", "own", F.size(F.filter("blocks", lambda b: b.level > 0)).alias("n_quotes"), quoted.alias("quoted"), F.transform(F.filter("blocks", lambda b: b.level == 0), lambda b: b.text).alias("said")),
         "messages",
     )
-    # Keys of a quoted passage: the whole, and each of its lines (rank 1: used only where the whole is not found).
+    # Keys of a quoted passage: the whole, and each of its lines (rank 1: used only where the whole is not found; rank 2,
+    # lines without a space: only where no other line is).
     q = base.where(F.size("quoted") > 0).select("conv_id", "turn", F.posexplode("quoted").alias("n", "q"))
-    lines = lambda text: F.filter(F.split(text, "\n"), lambda x: F.contains(_squeezed(x), F.lit(" ")))
-    q = q.select("conv_id", "turn", "n", F.col("q.level").alias("level"), F.explode(F.array_union(F.array(F.struct(F.lit(0).alias("rank"), _key(F.col("q.text")).alias("key"))), F.transform(lines(F.col("q.text")), lambda x: F.struct(F.lit(1).alias("rank"), _key(x).alias("key"))))).alias("k"))
+    lines = lambda text: F.filter(F.split(text, "\n"), lambda x: _squeezed(x) != "")
+    q = q.select("conv_id", "turn", "n", F.col("q.level").alias("level"), F.explode(F.array_union(F.array(F.struct(F.lit(0).alias("rank"), _key(F.col("q.text")).alias("key"))), F.transform(lines(F.col("q.text")), lambda x: F.struct(F.when(F.contains(_squeezed(x), F.lit(" ")), 1).otherwise(2).alias("rank"), _key(x).alias("key"))))).alias("k"))
     wanted = written(q.select("conv_id", "turn", "n", "level", "k.rank", "k.key"), "quotes")
     links = None
     if not wanted.isEmpty():

@@ -281,6 +281,15 @@ def test_chat(spark):
     }
 
 
+def test_chat_links_passages_without_a_space(spark):
+    rows = [
+        (1, 0, "user", "Yes."), (1, 1, "assistant", "> Yes.\nGood to know"), (1, 2, "user", "今天天气很好"), (1, 3, "assistant", "> 今天天气很好\nIt is"), (1, 4, "user", "> \n>\t\nnothing quoted"),
+        (1, 5, "user", "two words here"), (1, 6, "user", "> two words here\n> Yes.\nboth"), (1, 7, "user", "> not said\n> Yes.\none of them"),
+    ]
+    got = {r.turn: (r.parent_turn, r.root_turn, r.depth, r.n_quotes, r.n_linked) for r in chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0, 0, 0), 1: (0, 0, 1, 1, 1), 2: (None, 2, 0, 0, 0), 3: (2, 2, 1, 1, 1), 4: (None, 4, 0, 1, 0), 5: (None, 5, 0, 0, 0), 6: (5, 5, 1, 1, 1), 7: (0, 0, 1, 1, 1)}
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, item_id long, text string, conv_id long, turn long, role string")
     path = public_tokenizers.path
