@@ -61,7 +61,7 @@ def class_ids(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(reduced(np.add, mix(v ^ np.uint64(0x1D8E4E27C47D124F)), at, 0) + np.diff(at).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
-def _describe(k: int):
+def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH, np.int64)
         names = ["doc_id", "n", "cid", "minima", "sig", "sketch"]
@@ -70,7 +70,7 @@ def _describe(k: int):
             sketch += np.bincount((v >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
             minima = np.stack([reduced(np.minimum, mix(v ^ s), at, 0) for s in SEEDS[:MINIMA]], axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, minima.size + 1, MINIMA), pa.int32()), pa.array(minima.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(class_ids(v, at)), lists, pa.array(signatures(v, at), pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(class_ids(v, at)), lists, pa.array(signatures(v, at, percent), pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
         blob = flattened(sketch)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
@@ -175,16 +175,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + (1 << 16)]), pa.array(c[lo : lo + (1 << 16)])], ["key", "cid"])
 
 
-def width_class(n: np.ndarray) -> np.ndarray:
-    """Sets of up to 225 * 4**j items have bitmaps of 1024 * 4**j bits."""
-    return np.clip(np.ceil(np.log(np.maximum(n, 1) / 225) / np.log(4)), 0, WIDEST).astype(int)
+def width_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets of up to 3 * percent * 4**j items (225 * 4**j for 75) have bitmaps of 1024 * 4**j bits: whatever may pair with
+    a set above 300 * 4**j has a wider one."""
+    return np.clip(np.ceil(np.log(np.maximum(n, 1) / (3 * percent)) / np.log(4)), 0, WIDEST).astype(int)
 
 
-def signatures(v: np.ndarray, at: np.ndarray) -> list[bytes]:
+def signatures(v: np.ndarray, at: np.ndarray, percent: int = 75) -> list[bytes]:
     """Token bitmaps, as wide as the set's size asks for. A bit is named by the first bits of a hash, so OR-ing
     neighbouring bits makes a narrower bitmap."""
     place, out = mix(v), []
-    for lo, hi, j in zip(at[:-1], at[1:], width_class(np.diff(at)), strict=True):
+    for lo, hi, j in zip(at[:-1], at[1:], width_class(np.diff(at), percent), strict=True):
         bits = np.zeros(1024 << 2 * int(j), bool)
         bits[(place[lo:hi] >> np.uint64(54 - 2 * int(j))).astype(np.int64)] = True
         out.append(np.packbits(bits).tobytes())
@@ -283,7 +284,7 @@ def _joined(percent: int):
             high = 300 * 4**c if c < WIDEST else np.inf
             if not ((n > low) & (n <= high)).any():
                 continue
-            own = np.flatnonzero((n * 4 > low * 3) & (n <= high))
+            own = np.flatnonzero((n * 100 > low * percent) & (n <= high))
             if len(own) < 2:
                 continue
             pairs = own[SignatureTree(folded(sig.take(pa.array(own)).to_pylist(), c), n[own], comp[own]).pairs(percent)]
@@ -358,7 +359,7 @@ def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     d = texts(docs)
-    described = written(d.mapInArrow(_describe(words_in_shingle), "doc_id long, n long, cid long, minima array<long>, sig binary, sketch binary"), "described")
+    described = written(d.mapInArrow(_describe(words_in_shingle, percent), "doc_id long, n long, cid long, minima array<long>, sig binary, sketch binary"), "described")
     info = described.where("sketch is null and n > 0")
     levels = spark.sparkContext.broadcast(frequency_levels(described))  # 2**SKETCH bytes
     entries = d.mapInArrow(_prefixes(words_in_shingle, percent, n, levels), ENTRY).repartitionById(n, F.col("shard"))

@@ -103,6 +103,14 @@ def test_signature_tree_loses_no_pair():
     assert same <= got and len(got) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_jaccard_components_below_75_percent(spark, tmp_path):
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n + 4))
+    rows = [(2 * i + side, text(i, n)) for i in range(150) for side, n in enumerate((190, 310))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/d.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.read.parquet(f"file://{tmp_path}/d.parquet"), percent=60).collect()}
+    assert got == {2 * i + side: (n, 2 * i) for i in range(150) for side, n in enumerate((190, 310))}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
