@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,12 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary folder only where that is unset and driver
+    and executors are one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,7 +49,16 @@ def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
     path = shared_path(spark, tag)
     name = "quillspark_" + path.rsplit("-", 1)[1]
     df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._written_path, out._table = path, name
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``bucketed`` that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._table}")
+    removed(*tables)
 
 
 def removed(*tables: DataFrame) -> None:

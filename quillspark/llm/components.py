@@ -9,7 +9,7 @@ from .common import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component) for every node of ``edges`` (a, b: long, neither null).
+    """node, label (smallest node of its component) for every node of ``edges`` (a, b: long, neither null), as a written table.
 
     Large-star and small-star steps are joins and minimum aggregates, so a node with many neighbours spreads over
     tasks; rounds grow with the logarithm of the longest path. Each round is a written table."""
@@ -28,4 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
         if marks[0] == marks[1]:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")
+    removed(now)
+    return out

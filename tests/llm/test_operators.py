@@ -20,7 +20,7 @@ from quillspark.llm.elias_fano import EliasFano
 from quillspark.llm.exact_dedup import exact_dedup, keep_first
 from quillspark.llm.language_model import language_model_scores
 from quillspark.llm.licences import TEMPLATES, licence_scan
-from quillspark.llm.ngram_join import SignatureTree, folded, jaccard_components, keep_representatives, signatures
+from quillspark.llm.ngram_join import SignatureForest, candidates, folded, jaccard_components, keep_representatives, partnered, signatures
 from quillspark.llm.packing import pack, plan_sequences
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.substrings import substring_dedup
@@ -92,15 +92,63 @@ def test_jaccard_components(docs, rows):
     assert {r.doc_id for r in keep_representatives(docs).collect()} == {i for i in s if top[i] == i}
 
 
-def test_signature_tree_loses_no_pair():
-    r = np.random.default_rng(1)
-    base = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 40, 200, 260)]
-    sets = [np.unique(np.concatenate([b[: int(len(b) * 0.95)], r.integers(0, 1 << 63, max(1, len(b) // 30), dtype=np.uint64)])) for b in base for _ in range(6)]
+def similar_sets(seed):
+    r = np.random.default_rng(seed)
+    base = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 40, 62, 200, 260, 3000)]
+    return [np.unique(np.concatenate([b[: int(len(b) * r.uniform(0.7, 1))], r.integers(0, 1 << 63, max(1, len(b) // 30), dtype=np.uint64)])) for b in base for _ in range(6)]
+
+
+@pytest.mark.parametrize("percent", [75, 60, 90])
+def test_signature_forest_loses_no_pair(percent):
+    sets = similar_sets(percent)
     at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    sig, n = folded(signatures(np.concatenate(sets), at), 0), np.diff(at)
-    got = {tuple(sorted(p)) for p in SignatureTree(sig, n, np.arange(len(sets))).pairs(75).tolist()}
-    same = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (n[i] + n[j] - c)}
-    assert same <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+    n = np.diff(at)
+    group = np.sort(np.random.default_rng(2).integers(0, 3, len(sets)))  # pairs stay within a group and between components
+    comp = np.where(np.arange(len(sets)) % 7 == 0, 5, np.arange(len(sets)) + 100)
+    t = pa.RecordBatch.from_pydict({"n": n, "comp": comp, "sig": pa.array(signatures(np.concatenate(sets), at), pa.binary())})
+    x, y, share = candidates(t, group, percent)
+    got = dict(zip(map(tuple, np.sort(np.stack([x, y], axis=1), axis=1).tolist()), share, strict=True))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if group[i] == group[j] and comp[i] != comp[j]]
+    similarity = {(i, j): (c := len(np.intersect1d(sets[i], sets[j]))) / (n[i] + n[j] - c) for i, j in pairs}
+    assert {p for p, s in similarity.items() if 100 * s >= percent} <= set(got) <= set(pairs) and len(got) < len(pairs) / 2
+    assert all(got[p] >= similarity[p] - 1e-12 for p in got)
+    whole = SignatureForest(folded(t.column("sig"), np.arange(6), 0), n[:6], comp[:6], np.array([0, 6]))
+    assert whole.levels[-1][1] == n[:6].min() and whole.levels[-1][2] == n[:6].max()
+
+
+def test_partners_within_a_group():
+    r = np.random.default_rng(3)
+    group, n = np.sort(r.integers(0, 40, 200)), r.integers(1, 60, 200)
+    order = np.lexsort((n, group))
+    group, n = group[order], n[order]
+    rest = np.array([r.integers(-(-3 * x // 4), x + 1) for x in n])
+    want = [any(i != j and group[i] == group[j] and 100 * n[j] >= 75 * n[i] and 175 * rest[i] >= 75 * (n[i] + n[j]) for j in range(200)) for i in range(200)]
+    assert partnered(group, n, rest, 75).tolist() == want
+
+
+def test_jaccard_components_of_a_large_group(spark, tmp_path, monkeypatch):
+    """Copies so far from one another that about half of their pairs link, in blocks that are smaller than the group."""
+    from quillspark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_FIRST", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_LAST", 8)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for k in r.sample(range(120), r.choice([2, 3, 9])):
+            t[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(t), "", False, 0))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/d.parquet")
+    s = sets_of(rows)
+    top = {i: i for i in s}
+    for _ in s:
+        for a, b in itertools.combinations(s, 2):
+            if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                top[a] = top[b] = min(top[a], top[b])
+    got = {x.doc_id: x.component_id for x in jaccard_components(spark.read.parquet(f"file://{tmp_path}/d.parquet")).collect()}
+    assert got == top and len(set(top.values())) > 2
 
 
 def test_jaccard_components_below_75_percent(spark, tmp_path):
