@@ -82,7 +82,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_900_000) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``most`` bytes of ``column`` (one row at least), so memory follows bytes, not rows."""
     for b in batches:
         if not b.num_rows:

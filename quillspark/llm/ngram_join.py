@@ -79,20 +79,23 @@ def _describe(k: int):
 
 
 def flattened(sketch: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(sketch.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Counters byte by byte, compressed, after the bytes that each has."""
+    wide = 4 if int(sketch.max()) < 1 << 32 else 8
+    planes = np.ascontiguousarray(sketch.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T)
+    return bytes([wide]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def restored(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=8 << SKETCH, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+    wide = blob[0]
+    planes = np.frombuffer(pa.decompress(blob[1:], decompressed_size=wide << SKETCH, codec="zstd", asbytes=True), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH, np.int64)
     for b in batches:
         for x in b.column("sketch"):
-            total += restored(x.as_py())
+            total += restored(x.as_py()).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([flattened(total)], pa.binary())], ["sketch"])
 
 
@@ -346,8 +349,9 @@ class SignatureForest:
                     ok &= x != y
                 g, x, y = g[ok], x[ok], y[ok]
             keep, most = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-            for i in range(0, len(x), 1 << 14):
-                p, q = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+            step = max(64, (4 << 20) // (8 * s.shape[1]))
+            for i in range(0, len(x), step):
+                p, q = x[i : i + step], y[i : i + step]
                 apart = (c[p] != c[q]) | (c[p] == NO_ID)
                 fit = np.flatnonzero(apart & (100 * np.minimum(hi[p], hi[q]) >= percent * np.maximum(lo[p], lo[q])))
                 p, q = p[fit], q[fit]
