@@ -1,12 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an interpolated bigram model: absolute discounting gives words and the unknown word their share, and a
-Dirichlet prior of weight ``mu`` smooths every history towards it. As an automaton: the root, the start of a text and
-every word seen in training are states; a bigram seen in training is an arc; a failure arc leads from a state to the
-root. One left-to-right traversal carries the state and adds up log-probabilities.
+The model is an interpolated trigram model: absolute discounting gives words and the unknown word their share, and a
+Dirichlet prior of weight ``mu`` smooths every history towards the next shorter one. As an automaton: the root, the
+start of a text, every word and every pair of words (or of the start and a word) seen in training are states; an n-gram
+seen in training is an arc from its history to the state of its last two words, with its log-probability; a failure arc
+leads from a state to that of its history without the first word, with the weight mu / (count + mu). One left-to-right
+traversal carries the state and adds up the weights of arcs and failure arcs.
 
 The model grows with the corpus and is never held in one place. Texts are read in blocks of bounded size. Each block
-sends the sorted identifiers of its distinct words and bigrams, with training counts, to shards by range of
+sends the sorted identifiers of its distinct words, pairs and triples, with training counts, to shards by range of
 identifier; a shard adds up its counts and answers every block; a block then builds the part of the automaton that
 its own texts can walk, and walks it. So a frequent word costs one entry a block, not one a row.
 """
@@ -27,7 +29,9 @@ from .common import shuffle_partitions, slices, texts, written
 
 #: Identifiers of the end and of the start of a text.
 END, START = np.uint64(0xE0D0C0B0A0908071), np.uint64(0x517CC1B727220A95)
-BLOCK = 6 << 20
+BLOCK = 3 << 20
+#: Shards of a task: it holds one at a time.
+SHARDS_A_TASK = 4
 
 
 def packed(v: np.ndarray) -> bytes:
@@ -66,12 +70,17 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def bigrams(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifier of (token before, token), the start before the first."""
+def ngrams(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers of (token before, token), the start before the first; of (pair before, token) for every token but
+    the first of a text; and the places of those tokens."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[at[:-1]] = START
-    return mix(before * np.uint64(BASE) + t) ^ np.uint64(0x2545F4914F6CDD1D)
+    pairs = mix(before * np.uint64(BASE) + t) ^ np.uint64(0x2545F4914F6CDD1D)
+    later = np.ones(len(t), bool)
+    later[at[:-1]] = False
+    place = np.flatnonzero(later)
+    return pairs, mix(pairs[place - 1] * np.uint64(BASE) + t[place]) ^ np.uint64(0x6A09E667F3BCC909), place
 
 
 def trained(doc_id: str = "doc_id"):
@@ -91,6 +100,12 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
+def columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
 class Blocks:
     """Numbers the blocks of a task's rows. Both passes read the same table in the same tasks, so they agree; a
     shard's answer tells how many identifiers it is for, and a block that differs fails loudly."""
@@ -111,7 +126,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield b, int(utf8(b.column("text"))[1][-1])
 
 
-ASK = "shard int, block long, spread long, words binary, word_counts binary, pairs binary, pair_counts binary, starts long"
+ASK = "shard int, block long, spread long, words binary, word_counts binary, grams binary, gram_counts binary, starts long"
 
 
 def _ask(shards: int):
@@ -119,80 +134,140 @@ def _ask(shards: int):
         blocks, now, held = Blocks(), None, []
 
         def flush() -> pa.RecordBatch:
-            w, p, train, starts = (np.concatenate(x) for x in zip(*held, strict=True))
-            (wk, wc), (pk, pc) = counted(w, train), counted(p, train)
-            wa, pa_ = shards_of(wk, shards), shards_of(pk, shards)
-            rows = []
-            for i in range(shards):
-                a, b = slice(wa[i], wa[i + 1]), slice(pa_[i], pa_[i + 1])
-                rows.append((i, now[0], now[1], packed(wk[a]), numbers(wc[a]), packed(pk[b]), numbers(pc[b]), int(starts.sum()) if i == 0 else 0))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)], [x.split()[0] for x in ASK.split(", ")])
+            w, p, train, p_train, starts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            (wk, wc), (gk, gc) = counted(w, train), counted(p, p_train)
+            wa, ga = shards_of(wk, shards), shards_of(gk, shards)
+            rows, starts = [], int(starts.sum())
+            for i in np.flatnonzero((np.diff(wa) > 0) | (np.diff(ga) > 0)).tolist():
+                a, b = slice(wa[i], wa[i + 1]), slice(ga[i], ga[i + 1])
+                rows.append((i, now[0], now[1], packed(wk[a]), numbers(wc[a]), packed(gk[b]), numbers(gc[b]), starts))
+                starts = 0
+            return columns(rows, ASK)
 
         for b, size in _sized(batches):
             block = blocks.add(size)
             if now and now != block:
                 yield flush()
-                held = []
             now = block
             t, at = tokens(b.column("text"))
+            pairs, triples, place = ngrams(t, at)
             train = np.asarray(b.column("train").cast(pa.int8()))
-            held.append((t, bigrams(t, at), np.repeat(train, np.diff(at)), train.astype(np.int64)))
+            each = np.repeat(train, np.diff(at))
+            held.append((t, np.concatenate([pairs, triples]), each, np.concatenate([each, each[place]]), train.astype(np.int64)))
         if now:
             yield flush()
 
     return run
 
 
-ANSWER = "block long, spread long, shard int, n_words int, n_pairs int, word_counts binary, pair_counts binary, n long, v long, once long, twice long, starts long"
+ANSWER = "block long, spread long, shard int, n_words int, n_grams int, word_counts binary, gram_counts binary, n long, v long, once long, twice long, starts long"
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the one shard in this task: sums of the counts, for every block that asked."""
-    asked = [r for b in batches for r in b.to_pylist()]
-    if not asked:
-        return
-    out = []
-    sums = []
-    for k in ("word", "pair"):
-        keys = [unpacked(r[f"{k}s"]) for r in asked]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([from_numbers(r[f"{k}_counts"]) for r in asked]), len(every)).astype(np.int64)
-        sums.append((total[inverse], np.concatenate([[0], np.cumsum([len(x) for x in keys])]), total))
-    (wc, wa, total), (pc, pa_, _) = sums
-    stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), sum(r["starts"] for r in asked)]
-    for i, r in enumerate(asked):
-        out.append((r["block"], r["spread"], r["shard"], int(wa[i + 1] - wa[i]), int(pa_[i + 1] - pa_[i]), numbers(wc[wa[i] : wa[i + 1]]), numbers(pc[pa_[i] : pa_[i + 1]]), *(stats if i == 0 else [0] * 5)))
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5)
-    for lo in range(0, len(out), 512):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 512], strict=True), types, strict=True)], [x.split()[0] for x in ANSWER.split(", ")])
+    """Of the shards in this task, one after the other: sums of the counts, for every block that asked."""
+
+    def answered(asked: list[dict]) -> Iterator[pa.RecordBatch]:
+        sums = []
+        for k in ("word", "gram"):
+            keys = [unpacked(r[f"{k}s"]) for r in asked]
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([from_numbers(r[f"{k}_counts"]) for r in asked]), len(every)).astype(np.int64)
+            sums.append((total[inverse], np.concatenate([[0], np.cumsum([len(x) for x in keys])]), total))
+        (wc, wa, total), (gc, ga, _) = sums
+        stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), sum(r["starts"] for r in asked)]
+        out = []
+        for i, r in enumerate(asked):
+            out.append((r["block"], r["spread"], r["shard"], int(wa[i + 1] - wa[i]), int(ga[i + 1] - ga[i]), numbers(wc[wa[i] : wa[i + 1]]), numbers(gc[ga[i] : ga[i + 1]]), *(stats if i == 0 else [0] * 5)))
+            if len(out) == 512:
+                yield columns(out, ANSWER)
+                out = []
+        if out:
+            yield columns(out, ANSWER)
+
+    asked: list[dict] = []
+    for b in batches:
+        shard = np.asarray(b.column("shard"))
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo and asked and asked[0]["shard"] != shard[lo]:
+                yield from answered(asked)
+                asked = []
+            asked += b.slice(lo, hi - lo).to_pylist()
+    if asked:
+        yield from answered(asked)
 
 
 class BackoffAutomaton:
-    """The part of the automaton that the texts of a block can walk. Words and bigrams are given by ascending
-    identifiers with their training counts; root arcs of unknown words share the unknown weight."""
+    """The part of the automaton that the texts of a block (``t``: tokens, ``at``: the tokens before each text) can walk.
+    Words and n-grams are given by ascending identifiers with their training counts.
+
+    States are numbered: 0 the root, 1 the start, then the words, then the n-grams (a triple is no state of its own).
+    Arcs are numbered like the word or n-gram that they read: the first words are the root's arcs; the arc of an n-gram
+    leaves the state of its history. A text's n-grams are numbered once, so an arc is found without a search.
+    """
 
-    def __init__(self, word_ids: np.ndarray, word_counts: np.ndarray, pair_ids: np.ndarray, pair_counts: np.ndarray, stats: dict, mu: float):
-        self.word_ids, self.pair_ids = word_ids, pair_ids
+    def __init__(self, t: np.ndarray, at: np.ndarray, words_: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray, stats: dict, mu: float):
+        self.at, self.word = at, np.searchsorted(words_, t)
+        pairs, triples, place = ngrams(t, at)
         n, v = max(1, stats["n"]), stats["v"]
         discount = stats["once"] / (stats["once"] + 2 * stats["twice"]) if stats["once"] and stats["twice"] else 0.5
-        unknown = discount * v / n if v else 1.0
-        self.mu, self.word_counts = mu, word_counts
-        self.share = np.where(word_counts > 0, (word_counts - discount) / n, unknown)  # of the unknown word: all of its share
-        self.pair_counts = pair_counts
-        self.start_count = stats["starts"]
-
-    def walk(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 weight of every step, and the training count of every token."""
-        w = np.searchsorted(self.word_ids, t)
-        count = self.word_counts[w]
-        # The state before a token: the token before it if training knows it, else the root; the start before the first.
-        state = np.zeros(len(t), np.int64)
-        state[1:] = count[:-1]
-        state[at[:-1]] = self.start_count
-        arc = self.pair_counts[np.searchsorted(self.pair_ids, bigrams(t, at))]
-        root, failure = self.share[w], self.mu / (state + self.mu)
-        taken = (arc + self.mu * root) / (state + self.mu)
-        return np.log10(np.where(arc > 0, taken, failure * root)), count
+        share = np.where(word_counts > 0, (word_counts - discount) / n, discount * v / n if v else 1.0)  # of the unknown word: all of its share
+        first, later = 2, 2 + len(words_)
+        count = np.concatenate([[n, stats["starts"]], word_counts, gram_counts])
+        exists = count > 0
+        self.failure_weight = np.log10(mu / (count + mu))
+        self.failure = np.zeros(len(count), np.int64)  # of the start and of words: the root
+        pair = later + np.searchsorted(grams, pairs)
+        self.failure[pair] = np.where(exists[first + self.word], first + self.word, 0)
+        # Arcs by order of what they read: words, pairs, triples; -1 where a text has none.
+        self.arcs = np.full((3, len(t)), -1, np.int64)
+        self.arcs[0], self.arcs[1] = first + self.word, pair
+        self.arcs[2, place] = later + np.searchsorted(grams, triples)
+        self.exists = exists
+        p, self.target = np.zeros(len(count)), np.zeros(len(count), np.int64)
+        p[first : first + len(words_)] = share
+        self.target[first : first + len(words_)] = np.where(word_counts > 0, first + np.arange(len(words_)), 0)
+        history = np.ones(len(t), np.int64)
+        history[place] = first + self.word[place - 1]
+        p[pair] = (count[pair] + mu * share[self.word]) / (count[history] + mu)
+        self.target[pair] = np.where(t != END, pair, 0)
+        # Of a pair that training has not, what its failure arc and the word's arc give.
+        lower = np.where(exists[history], p[pair], share[self.word])
+        triple = self.arcs[2, place]
+        p[triple] = (count[triple] + mu * lower[place]) / (count[pair[place - 1]] + mu)
+        self.target[triple] = np.where(t[place] != END, pair[place], 0)
+        with np.errstate(divide="ignore"):
+            self.weight = np.log10(p)
+        self.order = np.concatenate([[0, 1], np.ones(len(words_), np.int64), np.full(len(grams), 2)])
+
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading the tokens at ``place`` from ``state``, failure arcs included, and the states then."""
+        total, target, left = np.zeros(len(place)), np.zeros(len(place), np.int64), np.arange(len(place))
+        state = state.copy()
+        while len(left):
+            arc = self.arcs[self.order[state[left]], place[left]]
+            # The root's arcs read any word; the start is a state only if training has texts.
+            hit = (self.order[state[left]] == 0) | (self.exists[arc] & (arc >= 0))
+            total[left[hit]] += self.weight[arc[hit]]
+            target[left[hit]] = self.target[arc[hit]]
+            left = left[~hit]
+            total[left] += np.where(self.exists[state[left]], self.failure_weight[state[left]], 0)
+            state[left] = self.failure[state[left]]
+        return total, target
+
+    def walk(self) -> np.ndarray:
+        """Log10 weight of every step. A state is fixed by the last two tokens, so all places are walked at once: the
+        state before a token is that after the two before it, read from the root (or from the start of the text)."""
+        every = np.arange(len(self.word))
+        starts = self.at[:-1]
+        _, one = self.step(np.zeros(len(every), np.int64), every)
+        state = np.concatenate([[1], one[:-1]])
+        state[starts] = 1
+        _, two = self.step(state, every)
+        state = np.concatenate([[1], two[:-1]])
+        state[starts] = 1
+        return self.step(state, every)[0]
 
 
 def _walk(shards: int, stats: dict, mu: float):
@@ -201,13 +276,14 @@ def _walk(shards: int, stats: dict, mu: float):
     def block_scores(answers: list[dict], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         t, at = tokens(b.column("text"))
-        wk, pk = np.unique(t), np.unique(bigrams(t, at))
-        wa, pa_ = shards_of(wk, shards), shards_of(pk, shards)
+        wk, gk = np.unique(t), np.unique(np.concatenate(ngrams(t, at)[:2]))
+        wa, ga = np.diff(shards_of(wk, shards)), np.diff(shards_of(gk, shards))
         answers.sort(key=lambda r: r["shard"])
-        if [(r["shard"], r["n_words"], r["n_pairs"]) for r in answers] != [(i, wa[i + 1] - wa[i], pa_[i + 1] - pa_[i]) for i in range(shards)]:
+        if [(r["shard"], r["n_words"], r["n_grams"]) for r in answers] != [(i, wa[i], ga[i]) for i in np.flatnonzero(wa + ga)]:
             raise RuntimeError("the input was read in other blocks than before: pass a table that is read from storage")
-        wc, pc = (np.concatenate([from_numbers(r[f"{k}_counts"]) for r in answers]) for k in ("word", "pair"))
-        step, count = BackoffAutomaton(wk, wc, pk, pc, stats, mu).walk(t, at)
+        wc, gc = (np.concatenate([from_numbers(r[f"{k}_counts"]) for r in answers]) for k in ("word", "gram"))
+        automaton = BackoffAutomaton(t, at, wk, wc, gk, gc, stats, mu)
+        step, count = automaton.walk(), wc[automaton.word]
         base = np.log10((count + 0.1) / floor)
         add = lambda v: np.add.reduceat(v, at[:-1])
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("train"), pa.array(np.diff(at)), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(step))], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
@@ -224,7 +300,7 @@ def _walk(shards: int, stats: dict, mu: float):
                     answers, rows = [], []
                 now = ids[lo]
                 n = pc_.sum(pc_.is_valid(part.column("shard"))).as_py()
-                answers += part.slice(0, n).select(["shard", "n_words", "n_pairs", "word_counts", "pair_counts"]).to_pylist()
+                answers += part.slice(0, n).select(["shard", "n_words", "n_grams", "word_counts", "gram_counts"]).to_pylist()
                 if n < part.num_rows:
                     rows.append(part.slice(n).select(["doc_id", "train", "text"]))
         if now is not None:
@@ -251,7 +327,8 @@ def language_model_scores(docs: DataFrame, mu: float = 20.0) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     d = texts(docs).withColumn("train", trained())
-    asked = d.mapInArrow(_ask(n), ASK).repartitionById(n, F.col("shard"))
+    shards = SHARDS_A_TASK * n
+    asked = d.mapInArrow(_ask(shards), ASK).repartitionById(n, (F.col("shard") / SHARDS_A_TASK).cast("int")).sortWithinPartitions("shard")
     answers = written(asked.mapInArrow(_answer, ANSWER), "answers")
     row = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice", "starts"))).first()
     stats = row.asDict()
@@ -259,5 +336,5 @@ def language_model_scores(docs: DataFrame, mu: float = 20.0) -> DataFrame:
     numbered = d.mapInArrow(_numbered, schema)
     both = numbered.unionByName(answers.drop("n", "v", "once", "twice", "starts"), allowMissingColumns=True)
     dealt = both.repartitionById(n, F.pmod("spread", F.lit(n)).cast("int")).sortWithinPartitions("block", F.col("shard").asc_nulls_last())
-    out = dealt.mapInArrow(_walk(n, stats, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = dealt.mapInArrow(_walk(shards, stats, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(stats["n"]).cast("long").alias("train_tokens"), "base_score", "score")

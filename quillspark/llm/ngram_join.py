@@ -28,7 +28,7 @@ from .language_model import from_numbers, numbers, packed, unpacked
 
 #: Counters of the sketch of shingle frequencies (2**SKETCH); documents from which on a counter's shingles are dealt by
 #: class; bits of the filter of the documents whose sets are needed (2**FILTER).
-SKETCH, HOT, FILTER = 22, 1 << 17, 26
+SKETCH, HOT, FILTER = 21, 1 << 17, 26
 #: Members of a block in the first rounds and in the last one; the largest signature class.
 BLOCK_FIRST, BLOCK_LAST, WIDEST = 256, 512, 9
 #: Pairs of members that are held at a time.

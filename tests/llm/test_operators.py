@@ -18,7 +18,8 @@ from quillspark.llm.components import components
 from quillspark.llm.decontamination import Index, contamination, keep_clean, normal
 from quillspark.llm.elias_fano import EliasFano
 from quillspark.llm.exact_dedup import exact_dedup, keep_first
-from quillspark.llm.language_model import language_model_scores
+from quillspark.llm.language_model import BackoffAutomaton, counted, language_model_scores, ngrams
+from quillspark.llm.language_model import tokens as tokens_of
 from quillspark.llm.licences import TEMPLATES, licence_scan
 from quillspark.llm.ngram_join import SignatureForest, candidates, folded, jaccard_components, keep_representatives, partnered, signatures
 from quillspark.llm.packing import pack, plan_sequences
@@ -165,24 +166,63 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+class PlainModel:
+    """Interpolated trigrams by plain recursion."""
+
+    def __init__(self, texts, mu):
+        self.c = [Counter(), Counter(), Counter()]
+        self.mu, self.starts = mu, len(texts)
+        for t in texts:
+            h = [b"\0start", *t]
+            self.c[0].update(t)
+            self.c[1].update(zip(h, t, strict=False))
+            self.c[2].update(zip(h, h[1:], h[2:], strict=False))
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        once, twice = (sum(x == k for x in self.c[0].values()) for k in (1, 2))
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[0][w] - self.discount) / self.n if w in self.c[0] else self.discount * self.v / self.n
+        seen = self.starts if history == (b"\0start",) else self.c[len(history) - 1][history[0] if len(history) == 1 else history]
+        return (self.c[len(history)][*history, w] + self.mu * self.p(history[1:], w)) / (seen + self.mu)
+
+
 def test_language_model(docs, rows):
     out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     tokens = {i: [*(t or "").encode().lower().split(), b"\0end"] for i, t, *_ in rows}
-    c = Counter(w for i, t in tokens.items() if not out(i) for w in t)
-    pairs = Counter(p for i, t in tokens.items() if not out(i) for p in zip([b"\0start", *t], t, strict=False))
-    starts = sum(not out(i) for i in tokens)
-    n, v = sum(c.values()), len(c)
-    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
-    discount = once / (once + 2 * twice)
-    share = lambda w: (c[w] - discount) / n if w in c else discount * v / n
+    model = PlainModel([t for i, t in tokens.items() if not out(i)], 20.0)
+    for history in ((), (b"\0start",), (tokens[0][0],), (b"\0start", tokens[0][0]), tuple(tokens[0][:2]), (b"ha", b"ha"), (b"never", b"seen")):
+        assert np.isclose(sum(model.p(history, w) for w in [*model.c[0], b"unknown"]), 1)
     for r in language_model_scores(docs, mu=20.0).collect():
         t = tokens[r.doc_id]
-        base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        score = sum(np.log10((pairs[h, w] + 20 * share(w)) / ((starts if h == b"\0start" else c[h]) + 20)) for h, w in zip([b"\0start", *t], t, strict=False))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(t), sum(w in c for w in t), n)
+        base = sum(np.log10((model.c[0][w] + 0.1) / (model.n + 0.1 * (model.v + 1))) for w in t)
+        h = [b"\0start", *t]
+        score = sum(np.log10(model.p(tuple(h[max(0, i - 1) : i + 1]), w)) for i, w in enumerate(t))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(t), sum(w in model.c[0] for w in t), model.n)
         assert np.isclose(r.base_score, base) and np.isclose(r.score, score)
 
 
+def test_automaton_walked_token_by_token():
+    """The state that is carried from token to token gives the same weights as the walk of all places at once."""
+    texts = ["a b a b c", "b a b", "", "a b c d a b", "x a b"]
+    t, at = tokens_of(pa.array(texts))
+    train = np.repeat([1, 1, 1, 0, 0], np.diff(at))
+    pairs, triples, place = ngrams(t, at)
+    words, word_counts = counted(t, train)
+    grams, gram_counts = counted(np.concatenate([pairs, triples]), np.concatenate([train, train[place]]))
+    stats = {"n": int(word_counts.sum()), "v": int((word_counts > 0).sum()), "once": int((word_counts == 1).sum()), "twice": int((word_counts == 2).sum()), "starts": 3}
+    m = BackoffAutomaton(t, at, words, word_counts, grams, gram_counts, stats, 20.0)
+    want, state = [], np.array([1])
+    for i in range(len(t)):
+        if i in at:
+            state = np.array([1])
+        weight, state = m.step(state, np.array([i]))
+        want.append(weight[0])
+    assert np.allclose(m.walk(), want)
+    assert m.failure[m.arcs[1][1]] == m.arcs[0][1] and (m.failure_weight <= 0).all()
+
+
 @pytest.mark.parametrize("length", [200, 120])
 def test_substrings(docs, rows, length):
     data = {i: (t or "").encode() for i, t, *_ in rows}
