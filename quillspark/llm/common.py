@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here delete their shuffle files when they end: what they write is not computed from them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
@@ -48,7 +62,8 @@ def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     name = "quillspark_" + path.rsplit("-", 1)[1]
-    df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
+    with freed_shuffles(spark):
+        df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._written_path, out._table = path, name
     return out

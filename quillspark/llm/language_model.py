@@ -71,16 +71,17 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Identifiers of (token before, token), the start before the first; of (pair before, token) for every token but
-    the first of a text; and the places of those tokens."""
+    """Identifiers (56 bits) of (token before, token), the start before the first; of (pair before, token) for every
+    token but the first of a text; and the places of those tokens."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[at[:-1]] = START
-    pairs = mix(before * np.uint64(BASE) + t) ^ np.uint64(0x2545F4914F6CDD1D)
+    bits = np.uint64((1 << 64) - (1 << 8))
+    pairs = (mix(before * np.uint64(BASE) + t) ^ np.uint64(0x2545F4914F6CDD1D)) & bits
     later = np.ones(len(t), bool)
     later[at[:-1]] = False
     place = np.flatnonzero(later)
-    return pairs, mix(pairs[place - 1] * np.uint64(BASE) + t[place]) ^ np.uint64(0x6A09E667F3BCC909), place
+    return pairs, (mix(pairs[place - 1] * np.uint64(BASE) + t[place]) ^ np.uint64(0x6A09E667F3BCC909)) & bits, place
 
 
 def trained(doc_id: str = "doc_id"):
@@ -199,75 +200,69 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class BackoffAutomaton:
-    """The part of the automaton that the texts of a block (``t``: tokens, ``at``: the tokens before each text) can walk.
-    Words and n-grams are given by ascending identifiers with their training counts.
+    """The part of the automaton that the texts of a block can walk. ``end`` marks ends of texts among the tokens, ``at``
+    has the tokens before each text; ``word``, ``pair`` and ``triple`` number the words and n-grams that end at each
+    token (triples: at each of ``place``), with their training counts.
 
     States are numbered: 0 the root, 1 the start, then the words, then the n-grams (a triple is no state of its own).
     Arcs are numbered like the word or n-gram that they read: the first words are the root's arcs; the arc of an n-gram
-    leaves the state of its history. A text's n-grams are numbered once, so an arc is found without a search.
+    leaves the state of its history. As a block's n-grams are numbered once, an arc is found without a search.
     """
 
-    def __init__(self, t: np.ndarray, at: np.ndarray, words_: np.ndarray, word_counts: np.ndarray, grams: np.ndarray, gram_counts: np.ndarray, stats: dict, mu: float):
-        self.at, self.word = at, np.searchsorted(words_, t)
-        pairs, triples, place = ngrams(t, at)
+    def __init__(self, end: np.ndarray, at: np.ndarray, word: np.ndarray, pair: np.ndarray, place: np.ndarray, triple: np.ndarray, word_counts: np.ndarray, gram_counts: np.ndarray, stats: dict, mu: float):
         n, v = max(1, stats["n"]), stats["v"]
         discount = stats["once"] / (stats["once"] + 2 * stats["twice"]) if stats["once"] and stats["twice"] else 0.5
         share = np.where(word_counts > 0, (word_counts - discount) / n, discount * v / n if v else 1.0)  # of the unknown word: all of its share
-        first, later = 2, 2 + len(words_)
+        words_ = slice(2, 2 + len(word_counts))
         count = np.concatenate([[n, stats["starts"]], word_counts, gram_counts])
-        exists = count > 0
+        self.at, self.place = at, place
+        self.word, self.pair, self.triple = word + 2, pair + words_.stop, triple + words_.stop
+        self.exists = count > 0
         self.failure_weight = np.log10(mu / (count + mu))
         self.failure = np.zeros(len(count), np.int64)  # of the start and of words: the root
-        pair = later + np.searchsorted(grams, pairs)
-        self.failure[pair] = np.where(exists[first + self.word], first + self.word, 0)
-        # Arcs by order of what they read: words, pairs, triples; -1 where a text has none.
-        self.arcs = np.full((3, len(t)), -1, np.int64)
-        self.arcs[0], self.arcs[1] = first + self.word, pair
-        self.arcs[2, place] = later + np.searchsorted(grams, triples)
-        self.exists = exists
+        known = self.exists[self.word]
+        self.failure[self.pair] = np.where(known, self.word, 0)
         p, self.target = np.zeros(len(count)), np.zeros(len(count), np.int64)
-        p[first : first + len(words_)] = share
-        self.target[first : first + len(words_)] = np.where(word_counts > 0, first + np.arange(len(words_)), 0)
-        history = np.ones(len(t), np.int64)
-        history[place] = first + self.word[place - 1]
-        p[pair] = (count[pair] + mu * share[self.word]) / (count[history] + mu)
-        self.target[pair] = np.where(t != END, pair, 0)
-        # Of a pair that training has not, what its failure arc and the word's arc give.
-        lower = np.where(exists[history], p[pair], share[self.word])
-        triple = self.arcs[2, place]
-        p[triple] = (count[triple] + mu * lower[place]) / (count[pair[place - 1]] + mu)
-        self.target[triple] = np.where(t[place] != END, pair[place], 0)
-        with np.errstate(divide="ignore"):
-            self.weight = np.log10(p)
-        self.order = np.concatenate([[0, 1], np.ones(len(words_), np.int64), np.full(len(grams), 2)])
-
-    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weights of reading the tokens at ``place`` from ``state``, failure arcs included, and the states then."""
-        total, target, left = np.zeros(len(place)), np.zeros(len(place), np.int64), np.arange(len(place))
-        state = state.copy()
-        while len(left):
-            arc = self.arcs[self.order[state[left]], place[left]]
-            # The root's arcs read any word; the start is a state only if training has texts.
-            hit = (self.order[state[left]] == 0) | (self.exists[arc] & (arc >= 0))
-            total[left[hit]] += self.weight[arc[hit]]
-            target[left[hit]] = self.target[arc[hit]]
-            left = left[~hit]
-            total[left] += np.where(self.exists[state[left]], self.failure_weight[state[left]], 0)
-            state[left] = self.failure[state[left]]
-        return total, target
+        p[words_] = share
+        self.target[words_] = np.where(word_counts > 0, np.arange(words_.start, words_.stop), 0)
+        seen = np.full(len(word), stats["starts"])  # training count of the history of one token
+        seen[place] = word_counts[word[place - 1]]
+        of_word, of_pair = share[word], gram_counts[pair]
+        lower = (of_pair + mu * of_word) / (seen + mu)  # without the history: the word's share, as seen is 0
+        p[self.pair] = lower
+        self.target[self.pair] = np.where(end, 0, self.pair)
+        p[self.triple] = (gram_counts[triple] + mu * lower[place]) / (of_pair[place - 1] + mu)
+        self.target[self.triple] = np.where(end[place], 0, self.pair[place])
+        self.weight = np.zeros(len(count))
+        np.log10(p, out=self.weight, where=p > 0)
+
+    def step(self, state: int, i: int) -> tuple[float, int]:
+        """The weight of reading token ``i`` from ``state``, failure arcs included, and the state then."""
+        total, arcs = 0.0, {0: self.word[i], 1: self.pair[i]}
+        while True:
+            order = 0 if not state else 1 if state < self.pair.min() else 2
+            arc = self.triple[np.searchsorted(self.place, i)] if order == 2 else arcs[order]
+            if not order or self.exists[arc]:
+                return total + self.weight[arc], int(self.target[arc])
+            total, state = total + self.failure_weight[state], int(self.failure[state])
 
     def walk(self) -> np.ndarray:
-        """Log10 weight of every step. A state is fixed by the last two tokens, so all places are walked at once: the
-        state before a token is that after the two before it, read from the root (or from the start of the text)."""
-        every = np.arange(len(self.word))
-        starts = self.at[:-1]
-        _, one = self.step(np.zeros(len(every), np.int64), every)
-        state = np.concatenate([[1], one[:-1]])
-        state[starts] = 1
-        _, two = self.step(state, every)
-        state = np.concatenate([[1], two[:-1]])
-        state[starts] = 1
-        return self.step(state, every)[0]
+        """Log10 weight of every step of the left-to-right traversal of each text from its start. The state before a
+        token is the longest of its last two tokens that is one, so all places are walked at once, longest state first:
+        an arc where there is one, else the failure arc and on from the next shorter state."""
+        total, left = np.zeros(len(self.word)), np.ones(len(self.word), bool)
+        state = self.pair[self.place - 1]
+        some = self.exists[state]
+        hit = some & self.exists[self.triple]
+        total[self.place] = np.where(hit, self.weight[self.triple], np.where(some, self.failure_weight[state], 0))
+        left[self.place[hit]] = False
+        state = np.ones(len(self.word), np.int64)
+        state[self.place] = self.word[self.place - 1]
+        left = np.flatnonzero(left)
+        state, arc = state[left], self.pair[left]
+        some = self.exists[state]
+        total[left] += np.where(some & self.exists[arc], self.weight[arc], np.where(some, self.failure_weight[state], 0) + self.weight[self.word[left]])
+        return total
 
 
 def _walk(shards: int, stats: dict, mu: float):
@@ -276,14 +271,16 @@ def _walk(shards: int, stats: dict, mu: float):
     def block_scores(answers: list[dict], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         t, at = tokens(b.column("text"))
-        wk, gk = np.unique(t), np.unique(np.concatenate(ngrams(t, at)[:2]))
+        pairs, triples, place = ngrams(t, at)
+        wk, word = np.unique(t, return_inverse=True)
+        gk, gram = np.unique(np.concatenate([pairs, triples]), return_inverse=True)
         wa, ga = np.diff(shards_of(wk, shards)), np.diff(shards_of(gk, shards))
         answers.sort(key=lambda r: r["shard"])
         if [(r["shard"], r["n_words"], r["n_grams"]) for r in answers] != [(i, wa[i], ga[i]) for i in np.flatnonzero(wa + ga)]:
             raise RuntimeError("the input was read in other blocks than before: pass a table that is read from storage")
         wc, gc = (np.concatenate([from_numbers(r[f"{k}_counts"]) for r in answers]) for k in ("word", "gram"))
-        automaton = BackoffAutomaton(t, at, wk, wc, gk, gc, stats, mu)
-        step, count = automaton.walk(), wc[automaton.word]
+        step = BackoffAutomaton(t == END, at, word, gram[: len(t)], place, gram[len(t) :], wc, gc, stats, mu).walk()
+        count = wc[word]
         base = np.log10((count + 0.1) / floor)
         add = lambda v: np.add.reduceat(v, at[:-1])
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("train"), pa.array(np.diff(at)), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(step))], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])

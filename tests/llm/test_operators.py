@@ -18,7 +18,7 @@ from quillspark.llm.components import components
 from quillspark.llm.decontamination import Index, contamination, keep_clean, normal
 from quillspark.llm.elias_fano import EliasFano
 from quillspark.llm.exact_dedup import exact_dedup, keep_first
-from quillspark.llm.language_model import BackoffAutomaton, counted, language_model_scores, ngrams
+from quillspark.llm.language_model import END, BackoffAutomaton, counted, language_model_scores, ngrams
 from quillspark.llm.language_model import tokens as tokens_of
 from quillspark.llm.licences import TEMPLATES, licence_scan
 from quillspark.llm.ngram_join import SignatureForest, candidates, folded, jaccard_components, keep_representatives, partnered, signatures
@@ -209,18 +209,20 @@ def test_automaton_walked_token_by_token():
     t, at = tokens_of(pa.array(texts))
     train = np.repeat([1, 1, 1, 0, 0], np.diff(at))
     pairs, triples, place = ngrams(t, at)
-    words, word_counts = counted(t, train)
-    grams, gram_counts = counted(np.concatenate([pairs, triples]), np.concatenate([train, train[place]]))
+    grams = np.concatenate([pairs, triples])
+    (words, word_counts), (keys, gram_counts) = counted(t, train), counted(grams, np.concatenate([train, train[place]]))
     stats = {"n": int(word_counts.sum()), "v": int((word_counts > 0).sum()), "once": int((word_counts == 1).sum()), "twice": int((word_counts == 2).sum()), "starts": 3}
-    m = BackoffAutomaton(t, at, words, word_counts, grams, gram_counts, stats, 20.0)
-    want, state = [], np.array([1])
+    gram = np.searchsorted(keys, grams)
+    m = BackoffAutomaton(t == END, at, np.searchsorted(words, t), gram[: len(t)], place, gram[len(t) :], word_counts, gram_counts, stats, 20.0)
+    want, state, states = [], 1, set()
     for i in range(len(t)):
-        if i in at:
-            state = np.array([1])
-        weight, state = m.step(state, np.array([i]))
-        want.append(weight[0])
+        state = 1 if i in at else state
+        weight, state = m.step(state, i)
+        want.append(weight)
+        states.add(state)
     assert np.allclose(m.walk(), want)
-    assert m.failure[m.arcs[1][1]] == m.arcs[0][1] and (m.failure_weight <= 0).all()
+    assert 0 in states and {int(m.pair[0]), int(m.pair[1])} <= states  # the root and pairs were reached
+    assert m.failure[m.pair[1]] == m.word[1] and m.failure[m.word[1]] == 0 and (m.failure_weight <= 0).all()
 
 
 @pytest.mark.parametrize("length", [200, 120])
