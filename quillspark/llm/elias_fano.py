@@ -62,10 +62,25 @@ class EliasFano:
                 return ((byte * 8 + int(ones[left]) - i) << self.width) | self._low(i)
             left, byte, skip = left - len(ones), byte + step, 0
 
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo..hi-1, from the stretch of one-bits between the samples around them."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.int64)
+        begin = int(self.samples[lo // SAMPLE]) // 8
+        last = -(-hi // SAMPLE)
+        end = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
+        ones = ones[ones >= self.samples[lo // SAMPLE]][lo % SAMPLE :][: hi - lo]
+        high = (ones - np.arange(lo, hi)).astype(np.uint64) << np.uint64(self.width)
+        if not self.width:
+            return high.astype(np.int64)
+        skip = lo * self.width % 8
+        bits = np.unpackbits(self.low[lo * self.width // 8 : -(-hi * self.width // 8)], bitorder="little")[skip : skip + (hi - lo) * self.width]
+        low = (bits.reshape(hi - lo, self.width).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (high | low).astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-        low = (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if self.width else np.uint64(0)
-        return (high | low).astype(np.int64)
+        return self.select_range(0, self.n)

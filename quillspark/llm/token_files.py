@@ -27,6 +27,8 @@ MAGIC, HEAD = b"QTOK1\n", "<5Q"
 MANIFEST = "part long, seq long, file string, docs long, ids long"
 #: A manifest of up to so many files (about 10 MB) is broadcast; a longer one is joined by shuffle.
 BROADCAST_FILES = 100_000
+#: How a null doc_id is written.
+NO_ID = -(1 << 63)
 
 
 def encode_file(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> bytes:
@@ -38,8 +40,9 @@ def encode_file(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> byt
 class TokenFile:
     """Random access to the documents of one file's bytes."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, data):
+        data = memoryview(data)
+        if bytes(data[: len(MAGIC)]) != MAGIC:
             raise ValueError("not a token-id file")
         n, ids, size, code, _ = struct.unpack_from(HEAD, data, len(MAGIC))
         at = len(MAGIC) + struct.calcsize(HEAD)
@@ -60,30 +63,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         enc, part = encoder(tokenizer, True), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        held, names, bounds, n, seq = [], [], [0], 0, 0
+        held, names, sizes, n, seq = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, names, bounds, n, seq
+            nonlocal held, names, sizes, n, seq
             name = f"part-{part:06d}-{seq:06d}.ids"
-            data = encode_file(np.array(names, np.int64), np.array(bounds, np.int64), np.concatenate(held))
+            doc_ids = np.concatenate(names)
+            data = encode_file(doc_ids, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(held))
             with fs.open_output_stream(tmp := f"{root}/_{name}.{uuid.uuid4().hex}") as out:
                 out.write(data)
             fs.move(tmp, f"{root}/{name}")
-            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "docs": len(names), "ids": n}])
-            held, names, bounds, n, seq = [], [], [0], 0, seq + 1
+            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "docs": len(doc_ids), "ids": n}])
+            held, names, sizes, n, seq = [], [], [], 0, seq + 1
             return row
 
         for b in slices(batches):
             ids, at = with_end(*enc.encode(b.column("text").to_pylist()), end_id)
-            keys = b.column("doc_id").to_pylist()
-            for i, key in enumerate(keys):
-                if n and n + at[i + 1] - at[i] > file_ids:
+            keys = np.asarray(b.column("doc_id").cast(pa.int64()).fill_null(NO_ID))
+            lo = 0
+            while lo < len(keys):
+                # As many documents as the file has room for; one at least into an empty file.
+                hi = int(np.searchsorted(at, at[lo] + file_ids - n, side="right")) - 1
+                if hi > lo or not n:
+                    hi = max(hi, lo + 1)
+                    held.append(ids[at[lo] : at[hi]])
+                    names.append(keys[lo:hi])
+                    sizes.append(np.diff(at[lo : hi + 1]))
+                    n, lo = n + int(at[hi] - at[lo]), hi
+                if lo < len(keys):
                     yield flush()
-                held.append(ids[at[i] : at[i + 1]])
-                names.append(-(1 << 63) if key is None else key)
-                n += int(at[i + 1] - at[i])
-                bounds.append(n)
-        if names:
+        if n:
             yield flush()
 
     ordered = texts(docs).repartitionByRange(shuffle_partitions(spark), F.col("doc_id")).sortWithinPartitions("doc_id")
@@ -99,15 +108,16 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                f = TokenFile(data.as_py())
-                bounds = f.bounds.values()
-                out = {
-                    "file": [path.rsplit("/", 1)[-1]] * len(f.doc_ids), "doc_id": [None if x == -(1 << 63) else x for x in f.doc_ids.tolist()], "local_start": bounds[:-1], "n_tokens": np.diff(bounds),
-                    "ids_crc32": [crc32(f.ids[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)],
-                }
-                if with_ids:
-                    out["ids"] = [f.ids[lo:hi].astype(np.int64) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) if k != "doc_id" else pa.array(v, pa.int64()) for k, v in out.items()})
+                f = TokenFile(data.as_buffer())
+                name = path.rsplit("/", 1)[-1]
+                for lo in range(0, len(f.doc_ids), 4096):
+                    keys = f.doc_ids[lo : lo + 4096]
+                    bounds = f.bounds.select_range(lo, lo + len(keys) + 1)
+                    spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+                    out = [pa.array([name] * len(keys)), pa.array(keys, mask=keys == NO_ID), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array([crc32(f.ids[x:y]) for x, y in spans], pa.int64())]
+                    if with_ids:
+                        out.append(pa.array([f.ids[x:y].astype(np.int64) for x, y in spans], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
     return files.select("path", "content").mapInArrow(run, schema)

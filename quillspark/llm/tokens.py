@@ -1,7 +1,7 @@
 """Whole-text encoding with the ``tokenizers`` library, one library call per distinct chunk.
 
 Both vocabularies used here pre-split a text so that no token crosses the place where a non-space is followed by
-ASCII white space. A text is cut there, every distinct chunk is encoded once by the library, and a batch becomes a
+ASCII white space, or a letter by ASCII punctuation but the apostrophe. A text is cut there, every distinct chunk is encoded once by the library, and a batch becomes a
 gather from a pool of ids. Texts with other white space (where the cut is not safe) go to the library whole.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -17,64 +18,60 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space beyond ASCII, and the ASCII separators that some regex engines count as white space.
 OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
-CHUNK = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
-
-
-class Numbered(dict):
-    """Numbers its keys in the order in which they are first asked for, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+#: A run of letters before white space, ASCII punctuation or the end (not U+0130, whose lower case has a mark), or whatever
+#: is no white space.
+_WORD = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\x0b\x0c\r!-&(-/:-@\\[-`{-~]|\\Z)|[^ \t\n\x0b\x0c\r]+"
+#: Chunks with the white space before them, and without white space.
+CHUNK, BARE = re.compile(f"[ \t\n\x0b\x0c\r]*(?:{_WORD})|[ \t\n\x0b\x0c\r]+"), re.compile(_WORD)
 
 
 class ChunkEncoder:
-    """Encodes batches of texts; keeps up to ``most`` chunks, then starts afresh.
+    """Encodes batches of texts; keeps up to ``most`` chunks, then goes on with the half that it met first, in which
+    the frequent ones are.
 
     New chunks go to the library many at a time, joined by a mark that it always makes a token of its own: a line feed
     where white space is kept, else a control character between spaces. Chunks in which white space or the mark could
     join the mark's token go alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.keeps_space, self.most = keeps_space, most
         self.mark = "\n" if keeps_space else " \x01 "
-        self.unsafe = re.compile("(?s).[ \t\n\x0b\x0c\r]|^[\t\n\x0b\x0c\r]|^ ?$|[\x00-\x08]") if keeps_space else re.compile("[\x00-\x08]")
+        self.unsafe = re.compile(("(?s).[ \t\n\x0b\x0c\r]|^[\t\n\x0b\x0c\r]|^ ?$|" if keeps_space else "") + "[\x00-\x08]|" + OTHER_SPACE.pattern)
         marks = self.library.encode(f"a{self.mark}b", add_special_tokens=False).ids
         self.mark_id = marks[1] if len(marks) == 3 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known = Numbered()
+        self.known: dict = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
+    def _forget(self) -> None:
+        keep = self.most // 2
+        self.known = dict(islice(self.known.items(), keep))
+        self.used = int((self.starts[:keep] + self.sizes[:keep]).max(initial=0))
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list) -> None:
-        as_text = chunks if self.keeps_space else [c.decode() for c in chunks]
         first = len(self.known) - len(chunks)
         if len(self.known) > len(self.starts):
             room = max(2 * len(self.starts), len(self.known))
             self.starts, self.sizes = np.resize(self.starts, room), np.resize(self.sizes, room)
         search = self.unsafe.search
         joined, alone = [], []
-        for i, t in enumerate(as_text):
-            (alone if self.mark_id is None or search(t) or OTHER_SPACE.search(t) else joined).append(i)
+        for i, t in enumerate(chunks):
+            (alone if self.mark_id is None or search(t) else joined).append(i)
         pools, order, sizes = [], [], []
         for at in range(0, len(joined), 1 << 14):
             part = joined[at : at + (1 << 14)]
-            ids = np.array([x for i in self._library([self.mark.join([as_text[i] for i in part[j : j + 256]]) + self.mark for j in range(0, len(part), 256)]) for x in i], np.uint32)
+            ids = np.array([x for i in self._library([self.mark.join([chunks[i] for i in part[j : j + 256]]) + self.mark for j in range(0, len(part), 256)]) for x in i], np.uint32)
             ends = np.flatnonzero(ids == self.mark_id)
             if len(ends) != len(part):
                 raise ValueError("the mark is not a token of its own in this vocabulary")
@@ -82,7 +79,7 @@ class ChunkEncoder:
             sizes.append(np.diff(ends, prepend=-1) - 1)
             order.append(np.array(part))
         if alone:
-            ids = self._library([as_text[i] for i in alone])
+            ids = self._library([chunks[i] for i in alone])
             pools.append(np.array([x for i in ids for x in i], np.uint32))
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             order.append(np.array(alone))
@@ -97,19 +94,22 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets at which each text begins (one more than texts)."""
         if len(self.known) > self.most:
-            self._clear()
+            self._forget()
         parts, counts = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if OTHER_SPACE.search(t):
-                got = [t] if self.keeps_space else [t.encode()]
+                got = [t]
             else:
-                got = CHUNK.findall(t) if self.keeps_space else t.encode().split()
+                got = (CHUNK if self.keeps_space else BARE).findall(t)
             counts[i] = len(got)
             parts += got
-        index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
+        known = self.known
+        index = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(missing := np.flatnonzero(index < 0)):
+            before = len(known)
+            for i in missing.tolist():
+                index[i] = known.setdefault(parts[i], len(known))
+            self._learn(list(islice(known, before, None)))
         sizes = self.sizes[index].astype(np.int64)
         ends = np.cumsum(sizes)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[index] - (ends - sizes), sizes)

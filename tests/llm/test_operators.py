@@ -249,8 +249,8 @@ def library(name):
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_encode_as_the_library(name, keeps):
     r = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", " \n", "a", "B", "don't", "12", "!!", "\x01", "\x00", "中文", "é", "́x", "<|endoftext|>", "\xa0", " ", "\x1c", "\r\n", "İ", "🙂", "x" * 50]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    parts = [" ", "  ", "\n", "\t", " \n", "a", "B", "don't", "12", "!!", "\x01", "\x00", "中文", "é", "́x", "<|endoftext|>", "\xa0", " ", "\x1c", "\r\n", "İ", "🙂", "x" * 50, "word", "über", ",", "#", "'s", "\u0301", "ß"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
     enc = ChunkEncoder(public_tokenizers.path(name), keeps, most=500)
     for lo in range(0, len(texts), 300):
         ids, at = enc.encode(texts[lo : lo + 300])
@@ -275,6 +275,7 @@ def test_elias_fano():
         v = np.sort(r.integers(0, top, n))
         e = EliasFano.from_bytes(EliasFano.encode(v).to_bytes())
         assert (e.values() == v).all() and all(e.select(i) == v[i] for i in range(0, n, 7))
+        assert all((e.select_range(lo, min(n, lo + k)) == v[lo : lo + k]).all() for lo in range(0, n, 97) for k in (0, 1, 255, 600))
 
 
 def test_packing(docs, rows):
