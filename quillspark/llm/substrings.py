@@ -1,14 +1,16 @@
 """Removal of repeated substrings by bucket-pointer refinement over sampled suffixes.
 
 Every window of ``length`` bytes holds an anchor: the position whose q-gram has the least hash among those inside the
-window (ties: all of them). Anchors with the same q-gram form the initial buckets. For an anchor, the windows around it
-are a range of offsets; a range has a core (the bytes that all its windows share) and a hull (the bytes that any of
-them covers). Buckets are refined on the bucket identifiers, that is the q-gram identifiers, of later offsets: a
-core's or hull's identifier combines those at every q-th later offset. A core that occurs once rules its whole range
-out; a hull that occurs twice settles its whole range; what lies between is split into smaller ranges and refined
-again, down to single windows. The identifiers found so far are reused: members of a settled bucket go on as one
-witness. All counting is by aggregates with map-side combination, and what they say returns by equi-joins, so groups
-of any size spread over tasks; nothing is compared pair by pair.
+window (ties: all of them). Anchors with the same q-gram form the initial buckets, and the q-gram's identifier is a
+position's bucket pointer. Pointers are refined on those of later offsets: the pointer for twice the depth combines a
+position's pointer with that of the position one depth later, and so on from what was refined before. For an anchor, the
+windows around it are a range of offsets; a range has a core (the bytes that all its windows share) and a hull (the
+bytes that any of them covers), and the pointers at the first and the last place of deepest fit name either. Members of a
+bucket meet by sorting on these names. A core that occurs once rules its whole range out; a hull that occurs twice
+settles its whole range; what lies between is split into smaller ranges and refined again, down to single windows.
+Members of a settled bucket go on as one witness. All counting is by aggregates with map-side combination, and what they
+say returns by equi-joins of which Spark can split skewed keys, so groups of any size spread over tasks; nothing is
+compared pair by pair.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,39 +36,45 @@ NO_ID = -(1 << 63)
 
 
 def sliding(v: np.ndarray, w: int, best) -> np.ndarray:
-    """best (np.minimum or np.maximum) of every w consecutive values, by block prefixes and suffixes."""
-    n = len(v) - w + 1
-    if n <= 0:
+    """best (np.minimum or np.maximum) of every w consecutive values, from those of half as many."""
+    if len(v) < w:
         return v[:0]
-    pad = -len(v) % w
-    blocks = np.concatenate([v, np.full(pad, v[-1], v.dtype)]).reshape(-1, w)
-    prefix = best.accumulate(blocks, axis=1).ravel()
-    suffix = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(suffix[:n], prefix[w - 1 : w - 1 + n])
+    size = 1
+    while 2 * size <= w:
+        v, size = best(v[:-size], v[size:]), 2 * size
+    return best(v[: len(v) - (w - size)], v[w - size :]) if size < w else v
 
 
 def anchors(grams: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """Positions that are the least of some window that lies within a text."""
+    """Positions that are the least (by the first 32 bits) of some window that lies within a text."""
     span = length - Q + 1
     if len(grams) < span:
         return np.zeros(0, np.int64)
-    least = sliding(grams, span, np.minimum)
-    start = np.arange(len(least))
-    inside = start + length <= off[np.searchsorted(off, start, side="right")]
-    least = np.where(inside, least, 0)
+    key = (grams >> np.uint64(32)).astype(np.uint32)
+    least = sliding(key, span, np.minimum)
+    for lo, hi in zip(np.maximum(off[:-1], off[1:] - length + 1).tolist(), off[1:].tolist(), strict=True):
+        least[lo:hi] = 0
     # A position is an anchor if the greatest of the least values of the windows over it is its own.
-    around = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-    return np.flatnonzero(sliding(around, span, np.maximum)[: len(grams)] == grams)
+    none = np.zeros(span - 1, np.uint32)
+    return np.flatnonzero(sliding(np.concatenate([none, least, none]), span, np.maximum)[: len(grams)] == key)
+
+
+def pointers(grams: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket pointers of the positions ``at``, refined ``depth`` times: they tell substrings of Q * 2**depth bytes apart."""
+    if not depth:
+        return grams[at]
+    return mix(pointers(grams, at, depth - 1) * np.uint64(BASE) + pointers(grams, at + (Q << depth - 1), depth - 1))
 
 
 def region(grams: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Identifier of the bytes [lo, lo+size): the q-gram identifiers at every q-th offset and at the last one."""
-    h = size.astype(np.uint64) * np.uint64(BASE)
-    for k in range(int(size.max(initial=Q)) // Q):
-        more = k * Q < size - Q
-        at = np.where(more, lo + k * Q, lo)
-        h = np.where(more, mix(h * np.uint64(BASE) + grams[at]), h)
-    return mix(h * np.uint64(BASE) + grams[lo + size - Q]).view(np.int64)
+    """Identifier of the bytes [lo, lo+size): the deepest bucket pointers that fit at its first and its last place."""
+    h = np.zeros(len(lo), np.uint64)
+    depth = np.floor(np.log2(size / Q)).astype(int)
+    for k in np.unique(depth):
+        own = np.flatnonzero(depth == k)
+        first, n = lo[own], size[own]
+        h[own] = mix((n.astype(np.uint64) * np.uint64(BASE) + pointers(grams, first, k)) * np.uint64(BASE) + pointers(grams, first + n - (Q << int(k)), k))
+    return h.view(np.int64)
 
 
 def cells(grams, begin, end, p, a, b, length) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,14 +151,18 @@ def _refined(step: int, length: int):
 def judged(rows: DataFrame, tag: str) -> DataFrame:
     """Ranges whose core occurs twice: settled (their hull occurs twice) or open; one settled member of a bucket that
     also has open members stays open as their witness."""
-    twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # Counts are written before they are joined, so neither side of a join is an aggregate and skewed keys can be split.
+    rows = written(rows, f"{tag}-rows")
+    twice = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), f"{tag}-buckets")
     alive = written(rows.join(twice, "core", "left_semi"), f"{tag}-alive")
+    removed(rows, twice)
     me = F.struct("doc_id", "rid", "pos")
-    classes = alive.where("hull is not null").groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("first"))
-    out = alive.join(classes.where("n > 1").drop("n"), ["core", "hull"], "left")
+    classes = alive.where("hull is not null").groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("first")).where("n > 1").drop("n")
+    classes = written(classes, f"{tag}-classes")
+    out = alive.join(classes, ["core", "hull"], "left")
     settled = F.col("first").isNotNull()
     table = written(out.select("core", "doc_id", "rid", "pos", "a", "b", settled.alias("settled"), F.coalesce(F.col("first") == me, F.lit(False)).alias("first")), tag)
-    removed(alive)
+    removed(alive, classes)
     return table
 
 
@@ -165,15 +178,19 @@ def _kept(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SLICE):
             out = []
-            for text, spans, n, sha in zip(b.column("text"), b.column("spans").to_pylist(), b.column("n_bytes").to_pylist(), b.column("sha").to_pylist(), strict=True):
+            lists = b.column("spans")
+            flat = lists.flatten()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            lo, hi = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
+            first = 0
+            for text, spans, n, sha in zip(b.column("text"), size, b.column("n_bytes").to_pylist(), b.column("sha").to_pylist(), strict=True):
                 if not spans:
                     out.append((n, 0, 0, sha, text.as_buffer().to_pybytes() if with_kept else None))
                     continue
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                edge = np.zeros(len(data) + 1, np.int32)
-                at = np.array([(s["lo"], s["hi"]) for s in spans], np.int64)
-                np.add.at(edge, at[:, 0], 1)
-                np.add.at(edge, at[:, 1], -1)
+                at, end = lo[first : first + spans], hi[first : first + spans]
+                first += spans
+                edge = np.bincount(at, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = data[~gone].tobytes()
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
