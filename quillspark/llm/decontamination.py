@@ -2,8 +2,9 @@
 
 A text region within k edits of a pattern of m bytes shares at least m - q + 1 - k*q of its q-grams, all within k of
 one diagonal. Items are cut into segments of at most ``SEGMENT`` bytes. Shared q-grams are counted in overlapping
-diagonal bands; bands that meet a segment's bound are verified by banded alignment. The items are a query set: blocks
-of at most ``block_bytes`` of them are sent to the tasks one block after the other.
+diagonal bands; bands that meet a segment's bound are verified by banded alignment. Items of less than ``SHORTEST``
+bytes allow no edit and are found exactly, as whole words. The items are a query set: blocks of at most ``block_bytes``
+of them are sent to the tasks one block after the other, and what one block has found is written before the next.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import LOWER, SPACE, Hashes, utf8
-from .common import slices, texts
+from .common import slices, texts, written
 
 Q, SEGMENT, SHORTEST = 8, 160, 30
 BITS = 20
+_B = np.arange(256)
+#: Bytes of words: ASCII letters and digits, and whatever is beyond ASCII.
+WORD = ((_B >= 48) & (_B < 58)) | ((_B >= 65) & (_B < 91)) | ((_B >= 97) & (_B < 123)) | (_B >= 128)
 
 
 def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +51,22 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         data, off = normal(*utf8(pa.array([t for _, t in items], pa.string())))
-        segments, owner = [], []
+        segments, owner, brief = [], [], {}
+        whole = Hashes(data)
         for i, (lo, hi) in enumerate(zip(off[:-1], off[1:], strict=True)):
             if hi - lo >= SHORTEST:
                 cuts = np.linspace(lo, hi, max(1, -(-(hi - lo) // SEGMENT)) + 1).astype(int)
                 segments += list(zip(cuts[:-1], cuts[1:], strict=True))
                 owner += [i] * (len(cuts) - 1)
+            elif hi > lo:
+                brief.setdefault(int(hi - lo), []).append(i)
+        ids = np.array([x for x, _ in items], np.int64)
+        # Of each short length: the items' identifiers in order, and their ids.
+        self.brief = {}
+        for size, own in brief.items():
+            h = whole.of(off[own], off[own] + size)
+            order = np.argsort(h, kind="stable")
+            self.brief[size] = h[order], ids[own][order]
         self.items = np.array([x for x, _ in items])[np.array(owner, int)] if owner else np.zeros(0, int)
         self.size = np.array([b - a for a, b in segments], int)
         self.bytes = np.zeros((len(segments), max(self.size, default=0)), np.uint8)
@@ -60,7 +74,7 @@ class Index:
             row[: b - a] = data[a:b]
         self.budget = np.minimum((rate * self.size).astype(int), (self.size - Q) // Q)  # edits for which the lemma has a bound of 1 at least
         self.bound = self.size - Q + 1 - self.budget * Q
-        grams = Hashes(data).grams(Q)
+        grams = whole.grams(Q)
         hashes, seg, pos = [], [], []
         for i, (a, b) in enumerate(segments):
             hashes.append(grams[a : b - Q + 1])
@@ -72,6 +86,26 @@ class Index:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    def found(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """Distinct (text, item id) pairs."""
+        pairs = self.matches(data, off)
+        out = {(d, int(self.items[s])) for d, s in pairs.tolist()}
+        if self.brief and len(data):
+            edge = np.ones(len(data) + 1, bool)  # places between which no word goes on
+            edge[1:-1] = ~(WORD[data[1:]] & WORD[data[:-1]])
+            edge[off] = True
+            start, hashes = np.flatnonzero(edge[:-1]), Hashes(data)
+            end = off[np.searchsorted(off, start, side="right")]
+            for size, (h, ids) in self.brief.items():
+                at = start[start + size <= end]
+                at = at[edge[at + size]]
+                own = hashes.of(at, at + size)
+                lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
+                for i in np.flatnonzero(hi > lo).tolist():
+                    d = int(np.searchsorted(off, at[i], side="right")) - 1
+                    out |= {(d, int(x)) for x in ids[lo[i] : hi[i]]}
+        return sorted(out)
+
     def matches(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Distinct (text, segment) pairs in which some region is within the segment's edit budget."""
         none = np.zeros((0, 2), np.int64)
@@ -171,13 +205,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, blo
     """One row per document: doc_id, contaminated, item_ids (ascending ids of the benchmark items found).
 
     A document holds an item if a region of its normalised text is within ``rate`` edits a byte of a segment of the
-    item (an item of up to 160 bytes is one segment; a longer one has segments of 80 bytes at least). A null or empty
-    text holds nothing. Items that are null or shorter than 30 bytes once normalised are too short to tell and are
-    never found; with no items nothing is. Repeated rows are judged alike; an empty table gives no rows. Other columns
-    are ignored.
+    item (an item of up to 160 bytes is one segment; a longer one has segments of 80 bytes at least); of an item of less
+    than 30 bytes, if it stands there exactly, between ends of words. A null or empty text holds nothing. Items that are
+    null or blank are never found; with no items nothing is. Repeated rows are judged alike; an empty table gives no
+    rows. Other columns are ignored.
     """
-    out = texts(docs).withColumn("item_ids", F.array().cast("array<long>"))
+    out = first = texts(docs).withColumn("item_ids", F.array().cast("array<long>"))
     for items in item_blocks(benchmark, block_bytes):
+        if out is not first:  # of several blocks only one is held at a time
+            out = written(out, "contamination")
         out = out.mapInArrow(_finder(items, rate), "doc_id long, text string, item_ids array<long>")
     ids = F.array_sort(F.array_distinct("item_ids"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), ids.alias("item_ids"))
@@ -187,10 +223,9 @@ def _finder(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, rate)
         for b in slices(batches):
-            pairs = index.matches(*normal(*utf8(b.column("text"))))
             got = b.column("item_ids").to_pylist()
-            for d, s in pairs.tolist():
-                got[d] = [*got[d], int(index.items[s])]
+            for d, item in index.found(*normal(*utf8(b.column("text")))):
+                got[d] = [*got[d], item]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "text", "item_ids"])
 
     return run
@@ -204,11 +239,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_
             index = Index(items, rate)
             for b in slices(batches):
                 clean = np.ones(b.num_rows, bool)
-                clean[index.matches(*normal(*utf8(b.column("text"))))[:, 0]] = False
+                clean[[d for d, _ in index.found(*normal(*utf8(b.column("text"))))]] = False
                 yield b.filter(pa.array(clean))
 
         return run
 
+    out = docs
     for items in item_blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(cleaner(items), docs.schema)
-    return docs
+        if out is not docs:  # of several blocks only one is held at a time
+            out = written(out, "clean")
+        out = out.mapInArrow(cleaner(items), docs.schema)
+    return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, shuffle_partitions, texts, written
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, k: int = 256) -> DataFrame:
 
     Texts are equal when identical without ASCII white space; a null text is empty, and all empty texts are one
     group. Of equal texts the longest original (code points), then the smallest doc_id stays (a null doc_id comes
-    last). Rows that repeat a doc_id and text carry the same decision. An empty table gives no rows. Other columns
+    last). Rows that repeat a doc_id and text carry the same decision, as nothing tells them apart. An empty table gives no rows. Other columns
     of the input are ignored.
     """
     spark = docs.sparkSession
@@ -63,34 +63,30 @@ def exact_dedup(docs: DataFrame, k: int = 256) -> DataFrame:
         d.select("doc_id", F.length("text").cast("long").alias("size"), F.sha2(F.translate("text", ASCII_SPACE, ""), 256).alias("digest")),
         "digests",
     )
-    rank = F.struct(F.col("size"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"))
+    rank = F.struct(F.col("size"), F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("back"))
     heavy = spark.createDataFrame([(x,) for x in heavy_candidates(digests, k)], "digest string")
     winners = (
         digests.join(F.broadcast(heavy), "digest")
         .groupBy("digest")
         .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", (-F.col("best.neg")).alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
+        .select("digest", F.bitwise_not("best.back").alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
     )
     winners = spark.createDataFrame(winners.collect(), "digest string, keep_id long, keep_size long, group_size long")  # k rows at most
     settled = digests.join(F.broadcast(winners), "digest")
-    w = Window.partitionBy("digest")
-    rest = (
-        digests.join(F.broadcast(winners), "digest", "left_anti")
-        .withColumn("best", F.max(rank).over(w))
-        .withColumn("group_size", F.count(F.lit(1)).over(w))
-        .select("digest", "doc_id", "size", (-F.col("best.neg")).alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
-    )
+    others = digests.join(F.broadcast(winners), "digest", "left_anti")
+    best = others.groupBy("digest").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = others.join(best, "digest").select("digest", "doc_id", "size", F.bitwise_not("best.back").alias("keep_id"), F.col("best.size").alias("keep_size"), "group_size")
     return settled.select(rest.columns).unionByName(rest).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def keep_first(docs: DataFrame, k: int = 256) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of rows that repeat a doc_id and text, one."""
-    kept = exact_dedup(docs, k).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).distinct()
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), ASCII_SPACE, ""), 256)
-    own = docs.withColumn("_digest", digest)
-    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    size = F.length(F.coalesce("text", F.lit("")))
-    first = Window.partitionBy("doc_id", "_digest").orderBy(size.desc())
-    return stay.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of rows that repeat a doc_id and text, one (that of
+    the longest original; rows that agree in this too are told apart by nothing but chance)."""
+    kept = exact_dedup(docs, k).where("kept").select(F.struct("doc_id", F.col("text_sha256").alias("digest")).alias("key")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    # Key and row are structs, so no column of the input can clash.
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.translate(text, ASCII_SPACE, ""), 256).alias("digest"))
+    stay = docs.select(key.alias("key"), F.length(text).alias("size"), F.struct("*").alias("row")).join(kept, "key", "left_semi")
+    return stay.groupBy("key").agg(F.max_by("row", "size").alias("row")).select("row.*")

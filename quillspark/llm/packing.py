@@ -198,6 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    ranked = cut.join(by_part.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # The bases grow with the number of tasks: joined by sorting, never broadcast.
+    ranked = cut.join(by_part.select("part", "length", "base").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
     return ranked.select(*names, "rank").mapInArrow(place, schema)

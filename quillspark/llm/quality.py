@@ -18,6 +18,8 @@ from .bytegrams import Hashes, utf8, words
 from .common import slices, texts
 
 PASSAGE = 50
+#: Passages of a text that training sees; every passage counts for a score.
+TRAINED = 64
 _B = np.arange(256)
 #: Byte classes whose shares describe a passage.
 CLASSES = np.stack([(_B >= 65) & (_B < 91), (_B >= 97) & (_B < 123), (_B >= 48) & (_B < 58), _B == 33, _B == 124, np.isin(_B, list(b".,;:?'\"-")), np.isin(_B, list(b"#$%&*+/<=>@[\\]^_`{}~()")), _B >= 128, _B == 10])
@@ -131,17 +133,18 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled_passages(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, offsets and labels of at most ``sample`` labelled documents outside the held-out fifth, chosen by the
-    hash of their ids."""
+    hash of their ids: one row of each, and at most ``TRAINED`` passages, evenly spaced, of a text."""
     pick = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
     pick = pick.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x, at = passages(*utf8(b.column("text")))
-            rows = [x[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+            rows = [x[np.unique(np.linspace(lo, hi - 1, min(hi - lo, TRAINED)).astype(int))].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = texts(docs).join(F.broadcast(pick), "doc_id").mapInArrow(run, "doc_id long, label int, x binary").collect()  # ``sample`` rows at most
+    found = texts(docs).join(F.broadcast(pick), "doc_id").mapInArrow(run, "doc_id long, label int, x binary")
+    rows = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()  # ``sample`` rows of ``TRAINED`` passages at most
     rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))
     x = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
     at = np.concatenate([[0], np.cumsum([len(i) for i in x])]).astype(int)

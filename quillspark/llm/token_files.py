@@ -8,6 +8,7 @@ document is longer. They are written under a temporary name and moved, so a retr
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -61,7 +62,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, True), TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
         fs.create_dir(root, recursive=True)
         held, names, sizes, n, seq = [], [], [], 0, 0
 

@@ -69,6 +69,11 @@ def test_exact_dedup(docs, rows):
         best = min(group, key=lambda i: (-size[i], i))
         assert (r.keep_id, r.group_size, r.kept) == (best, len(group), r.doc_id == best)
         assert r.text_sha256 == hashlib.sha256(plain[r.doc_id].encode()).hexdigest()
+    lowest = -(1 << 63)
+    ends = docs.sparkSession.createDataFrame([(lowest, "same"), (5, "same"), (6, "other")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup(ends).collect()} == {(lowest, lowest), (5, lowest), (6, 6)}
+    clash = docs.sparkSession.createDataFrame([(1, "a b", "mine", 9, 8), (2, "ab", "mine", 9, 8)], "doc_id long, text string, _digest string, key long, row long")
+    assert [tuple(r) for r in keep_first(clash).collect()] == [(1, "a b", "mine", 9, 8)]
     kept = keep_first(docs.unionByName(docs))
     assert kept.count() == len(set(plain.values())) and kept.columns == docs.columns
 
@@ -99,6 +104,11 @@ def similar_sets(seed):
     return [np.unique(np.concatenate([b[: int(len(b) * r.uniform(0.7, 1))], r.integers(0, 1 << 63, max(1, len(b) // 30), dtype=np.uint64)])) for b in base for _ in range(6)]
 
 
+def test_representatives_with_clashing_columns(spark):
+    d = spark.createDataFrame([(2, "one two three four five six", "x", 1, 2), (1, "one two three four five six", "y", 3, 4)], "doc_id long, text string, _kept_id string, key long, row long")
+    assert [tuple(r) for r in keep_representatives(d).collect()] == [(1, "one two three four five six", "y", 3, 4)]
+
+
 @pytest.mark.parametrize("percent", [75, 60, 90])
 def test_signature_forest_loses_no_pair(percent):
     sets = similar_sets(percent)
@@ -328,11 +338,12 @@ def test_decontamination(spark):
     prose = lambda n: " ".join("".join(r.choice("aeinorst") for _ in range(r.randint(2, 7))) for _ in range(n))
     items = [prose(22) for _ in range(3)] + ["short", None]
     edit = lambda t, k: "".join(c for i, c in enumerate(t) if i not in set(r.sample(range(len(t)), k)))
-    texts = [prose(40), f"{prose(9)} {items[0].upper()}\n{prose(9)}", f"{prose(5)} {edit(items[1], 4)} {prose(5)}", edit(items[2], 40), items[2].replace(" ", "  \n"), None, "", "short"]
+    # "short" is found as a whole word only.
+    texts = [prose(40), f"{prose(9)} {items[0].upper()}\n{prose(9)}", f"{prose(5)} {edit(items[1], 4)} {prose(5)}", edit(items[2], 40), items[2].replace(" ", "  \n"), None, "", "short", f"{prose(3)} (Short) {prose(3)}", "shorts ashort éshort"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     squeezed = lambda t: " ".join((t or "").lower().split())
-    want = {i: [k for k, q in enumerate(items[:3]) if distance(squeezed(q), squeezed(t)) <= 0.08 * len(squeezed(q))] for i, t in enumerate(texts)}
+    want = {i: [k for k, q in enumerate(items[:3]) if distance(squeezed(q), squeezed(t)) <= 0.08 * len(squeezed(q))] + [3] * (i in (7, 8)) for i, t in enumerate(texts)}
     for block in (8 << 20, 200):
         got = {x.doc_id: list(x.item_ids) for x in contamination(docs, bench, block_bytes=block).collect()}
         assert got == want and want[1] == [0] and want[2] == [1] and want[4] == [2]
