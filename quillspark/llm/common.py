@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,32 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to or comes from a Python worker.
+BATCH = 8 << 20
+
+
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries that run here delete their shuffle files when they end: what they write is not computed from them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here delete their shuffle files when they end, as what they write is not computed from them
+    again, and hand Python workers batches of bounded size."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, tag)
-    with freed_shuffles(df.sparkSession):
+    with frugal(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
@@ -62,7 +74,7 @@ def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     name = "quillspark_" + path.rsplit("-", 1)[1]
-    with freed_shuffles(spark):
+    with frugal(spark):
         df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._written_path, out._table = path, name
@@ -97,7 +109,23 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_900_000) -> Iterator[pa.RecordBatch]:
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library has no such call
+        return None
+
+
+def freed() -> None:
+    """Give memory that a task of this worker no longer uses back to the system: workers are reused, and several wait
+    beside those that run."""
+    pa.default_memory_pool().release_unused()
+    if trim := _libc():
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 950_000) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``most`` bytes of ``column`` (one row at least), so memory follows bytes, not rows."""
     for b in batches:
         if not b.num_rows:
@@ -108,6 +136,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+        del b
+    freed()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import BASE, LOWER, Hashes, mix, utf8, words
-from .common import shuffle_partitions, slices, texts, written
+from .common import freed, shuffle_partitions, slices, texts, written
 
 #: Identifiers of the end and of the start of a text.
 END, START = np.uint64(0xE0D0C0B0A0908071), np.uint64(0x517CC1B727220A95)
@@ -197,6 +197,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked += b.slice(lo, hi - lo).to_pylist()
     if asked:
         yield from answered(asked)
+    del asked
+    freed()
 
 
 class BackoffAutomaton:
@@ -302,6 +304,8 @@ def _walk(shards: int, stats: dict, mu: float):
                     rows.append(part.slice(n).select(["doc_id", "train", "text"]))
         if now is not None:
             yield block_scores(answers, rows)
+        del answers, rows
+        freed()
 
     return run
 

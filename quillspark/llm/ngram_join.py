@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import BASE, LOWER, Hashes, mix, shingles, utf8, words
-from .common import bucketed, dropped, removed, shuffle_partitions, slices, texts, written
+from .common import bucketed, dropped, freed, removed, shuffle_partitions, slices, texts, written
 from .components import components
 from .language_model import from_numbers, numbers, packed, unpacked
 
@@ -32,7 +32,7 @@ SKETCH, HOT, FILTER = 21, 1 << 17, 26
 #: Members of a block in the first rounds and in the last one; the largest signature class.
 BLOCK_FIRST, BLOCK_LAST, WIDEST = 256, 512, 9
 #: Pairs of members that are held at a time.
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 BLOCK = 6 << 20
 NO_ID = -(1 << 63)
 SEEDS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
@@ -97,6 +97,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column("sketch"):
             total += restored(x.as_py()).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([flattened(total)], pa.binary())], ["sketch"])
+    del total
+    freed()
 
 
 def frequency_levels(described: DataFrame) -> np.ndarray:
@@ -216,6 +218,8 @@ def _shared(percent: int):
             g, c = g[keep].view(np.int64), c[keep]
             for lo in range(0, len(g), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + (1 << 16)]), pa.array(c[lo : lo + (1 << 16)])], ["grp", "cid"])
+            del k, c, n, r, g, order, keep
+        freed()
 
     return run
 
@@ -231,6 +235,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = spot(np.asarray(b.column("doc_id")))
             np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
     yield pa.RecordBatch.from_arrays([pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["bits"])
+    del bits
+    freed()
 
 
 def spot(doc_id: np.ndarray) -> np.ndarray:
@@ -268,7 +274,7 @@ def folded(column: pa.Array, rows: np.ndarray, j: int) -> np.ndarray:
     size = (off[1:] - off[:-1])[rows]
     for width in np.unique(size):
         own = np.flatnonzero(size == width)
-        step = max(1, (4 << 20) // int(width))
+        step = max(1, (1 << 20) // int(width))
         for x in range(0, len(own), step):
             part = own[x : x + step]
             b = data[off[rows[part]][:, None] + np.arange(width)]

@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
             if with_ids:
                 out["ids"] = [ids[lo : lo + n].astype(np.int64) for lo, n in zip(begin, length, strict=True)]
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
+        enc.rest()
 
     return texts(docs).mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
 

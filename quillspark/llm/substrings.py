@@ -31,7 +31,7 @@ from .common import bucketed, removed, slices, texts, written
 Q = 50
 #: Windows in a range at each level of refinement, below the whole range of an anchor.
 STEPS = (38, 7, 1)
-SLICE = 2 << 20
+SLICE = 1_000_000
 NO_ID = -(1 << 63)
 
 

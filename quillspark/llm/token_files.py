@@ -95,6 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     yield flush()
         if n:
             yield flush()
+        enc.rest()
 
     ordered = texts(docs).repartitionByRange(shuffle_partitions(spark), F.col("doc_id")).sortWithinPartitions("doc_id")
     manifest = written(ordered.mapInArrow(run, MANIFEST), "manifest")  # one row a file

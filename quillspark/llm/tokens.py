@@ -34,7 +34,7 @@ class ChunkEncoder:
     join the mark's token go alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,6 +51,11 @@ class ChunkEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
+    def rest(self) -> None:
+        """Between tasks: hold no more than after forgetting."""
+        if len(self.known) > self.most // 2:
+            self._forget()
+
     def _forget(self) -> None:
         keep = self.most // 2
         self.known = dict(islice(self.known.items(), keep))
