@@ -1,10 +1,10 @@
 """Jaccard join on word shingles with signature trees.
 
 Documents with equal shingle sets are one class. Two classes with a Jaccard similarity of t at least share one of the
-first n - ceil(t*n) + 1 shingles of each under any common order (prefix filter). The order here puts shingles last that
-a count sketch of fixed size finds in many documents. Prefix shingles meet in shards by range of hash; there a class
-stays in a shingle's group only if its size and the shingle's place leave it a possible partner. Groups with the same
-members are one.
+first n - ceil(t*n) + 1 shingles of each under any common order (prefix filter), and k of the first n - ceil(t*n) + k.
+The order here puts shingles last that a count sketch of fixed size finds in many documents. Prefix shingles meet in
+shards by range of hash; there a class stays in a shingle's group only if its size and the shingle's place leave it a
+possible partner, and on the whole only if it stays in the groups of k shingles. Groups with the same members are one.
 
 Groups are joined by signature trees: nodes hold the OR of their members' token bitmaps and their range of sizes, and a
 dual traversal drops node pairs whose maximum possible overlap is too small. Two rounds look within blocks of a group
@@ -28,7 +28,7 @@ from .language_model import from_numbers, numbers, packed, unpacked
 
 #: Counters of the sketch of shingle frequencies (2**SKETCH); documents from which on a counter's shingles are dealt by
 #: class; bits of the filter of the documents whose sets are needed (2**FILTER).
-SKETCH, HOT, FILTER = 21, 1 << 17, 26
+SKETCH, HOT, FILTER = 22, 1 << 17, 26
 #: Members of a block in the first rounds and in the last one; the largest signature class.
 BLOCK_FIRST, BLOCK_LAST, WIDEST = 256, 512, 9
 #: Pairs of members that are held at a time.
@@ -113,8 +113,14 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     return np.where(excess > 1, 1 + np.log2(np.maximum(1, excess)), 0).astype(np.uint8) | np.where(total - mean > HOT, 128, 0).astype(np.uint8)
 
 
+def least_common(percent: int) -> int:
+    """Shingles that two different sets share at least if they link (o / (o + 1) reaches the threshold), up to three:
+    so many must be among the prefix shingles of both."""
+    return min(3, max(1, -(-percent // max(1, 100 - percent))))
+
+
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    return np.where(n > 0, np.minimum(n, n - -(-percent * n // 100) + least_common(percent)), 0)
 
 
 ENTRY = "shard int, hot boolean, keys binary, cids binary, sizes binary, rests binary"
@@ -170,7 +176,7 @@ def _prefixes(k: int, percent: int, shards: int, levels):
 
 def partnered(group: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
     """Of members (ordered by group, then size): whether the group has another member whose size lies where ``rest``
-    shingles, those from the shared one on, can still meet the threshold: (100 + percent) * rest >= percent * (n + m)."""
+    common shingles can still meet the threshold: (100 + percent) * rest >= percent * (n + m)."""
     at = group << 32 | n
     low, high = -(-percent * n // 100), np.minimum((100 + percent) * rest // percent - n, (1 << 32) - 1)
     found = np.searchsorted(at, group << 32 | np.maximum(high, 0), side="right") - np.searchsorted(at, group << 32 | low)
@@ -178,7 +184,10 @@ def partnered(group: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int)
 
 
 def _shared(percent: int):
-    """Of one shard: the groups of classes that share a prefix shingle and may have partners there, named by members."""
+    """Of one shard: the groups of classes that share a prefix shingle and may have partners there, named by members,
+    and how many shingles have that group. A link shows in the groups of its first few common shingles, of which all but
+    the last may stand before a shingle in question."""
+    spare = least_common(percent) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {False: [], True: []}
@@ -205,7 +214,7 @@ def _shared(percent: int):
                     group = np.cumsum(np.diff(k, prepend=k[:1]) != 0)
                     order = np.lexsort((n, group))
                     k, c, n, r, group = (x[order] for x in (k, c, n, r, group))
-                    some = partnered(group, n, r, percent)
+                    some = partnered(group, n, np.minimum(n, r + spare), percent)
                     k, c, n, r = (x[some] for x in (k, c, n, r))
                 first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
                 size = np.diff(np.append(first, len(k)))
@@ -215,10 +224,13 @@ def _shared(percent: int):
             g, c = g[order], c[order]
             keep = np.ones(len(g), bool)
             keep[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            g, c = g[keep].view(np.int64), c[keep]
+            first = np.flatnonzero(keep)
+            times = np.diff(np.append(first, len(g)))
+            g, c = g[first].view(np.int64), c[first]
             for lo in range(0, len(g), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + (1 << 16)]), pa.array(c[lo : lo + (1 << 16)])], ["grp", "cid"])
-            del k, c, n, r, g, order, keep
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(g[part]), pa.array(c[part]), pa.array(times[part])], ["grp", "cid", "times"])
+            del k, c, n, r, g, order, keep, first, times
         freed()
 
     return run
@@ -528,7 +540,12 @@ def jaccard_components(docs: DataFrame, words_in_shingle: int = 5, percent: int
     info = described.where("sketch is null and n > 0")
     levels = spark.sparkContext.broadcast(frequency_levels(described))  # 2**SKETCH bytes
     entries = d.mapInArrow(_prefixes(words_in_shingle, percent, n, levels), ENTRY).repartitionById(n, F.col("shard"))
-    shared = written(entries.mapInArrow(_shared(percent), "grp long, cid long").distinct(), "shared")
+    met = written(entries.mapInArrow(_shared(percent), "grp long, cid long, times long").groupBy("grp", "cid").agg(F.sum("times").alias("times")), "met")
+    # Only classes that share enough prefix shingles, and groups that still have two of them.
+    enough = met.groupBy("cid").agg(F.sum("times").alias("times")).where(F.col("times") >= least_common(percent)).select("cid")
+    some = written(met.join(enough, "cid", "left_semi").select("grp", "cid"), "met-enough")
+    shared = written(some.join(some.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("grp"), "grp", "left_semi"), "shared")
+    removed(met, some)
     classes = written(info.groupBy("cid").agg(F.min("doc_id").alias("least")), "classes")
     # Whole sets and bitmaps of the classes in some group, in buckets: joins on cid leave them where they are.
     wanted = written(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select(F.coalesce("least", F.lit(NO_ID)).alias("doc_id"), "cid"), "wanted")
@@ -565,4 +582,5 @@ def keep_representatives(docs: DataFrame, words_in_shingle: int = 5, percent: in
     together: they stay if one of them does."""
     stay = jaccard_components(docs, words_in_shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("key")).distinct()
     whole = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("key"), F.struct("*").alias("row"))
-    return whole.join(stay, "key", "left_semi").select("row.*")
+    # Joined by sorting at every size: what stays grows with the input.
+    return whole.join(stay.hint("merge"), "key", "left_semi").select("row.*")

@@ -21,7 +21,7 @@ from quillspark.llm.exact_dedup import exact_dedup, keep_first
 from quillspark.llm.language_model import END, BackoffAutomaton, counted, language_model_scores, ngrams
 from quillspark.llm.language_model import tokens as tokens_of
 from quillspark.llm.licences import TEMPLATES, licence_scan
-from quillspark.llm.ngram_join import SignatureForest, candidates, folded, jaccard_components, keep_representatives, partnered, signatures
+from quillspark.llm.ngram_join import SignatureForest, candidates, folded, jaccard_components, keep_representatives, least_common, partnered, prefix_sizes, signatures
 from quillspark.llm.packing import pack, plan_sequences
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.substrings import substring_dedup
@@ -127,6 +127,16 @@ def test_signature_forest_loses_no_pair(percent):
     assert whole.levels[-1][1] == n[:6].min() and whole.levels[-1][2] == n[:6].max()
 
 
+def test_links_share_enough_prefix_shingles():
+    for percent in (50, 60, 75, 90):
+        k = least_common(percent)
+        for a in range(1, 40):
+            for b in range(a, 40):
+                o = -(-percent * (a + b) // (100 + percent))  # the least overlap that links
+                if o <= a and (a, b) != (o, o):
+                    assert o >= k and all(prefix_sizes(np.array([n]), percent)[0] >= min(n, n - o + k) for n in (a, b))
+
+
 def test_partners_within_a_group():
     r = np.random.default_rng(3)
     group, n = np.sort(r.integers(0, 40, 200)), r.integers(1, 60, 200)
