@@ -29,6 +29,7 @@ KEYWORD_STOPWORDS = ["a", "an", "the", "is", "are", "what", "who", "how", "does"
 SUMMARY_EN = ["summarize", "summary", "sum up", "tl;dr", "tldr"]
 SUMMARY_AR = ["لخص", "ملخص", "اختصر", "خلاصة"]
 SMALL_TALK = ["hello", "hi", "hey", "thanks", "thank you", "good morning", "good evening", "who are you", "what can you do", "مرحبا", "السلام عليكم", "أهلا", "اهلا", "شكرا", "من أنت", "من انت", "كيف حالك"]
+PLANNER_SMALL_TALK = ["hello", "hi", "hey", "thanks", "thank you", "who are you", "what can you do", "مرحبا", "السلام", "شكرا", "من أنت", "من انت", "ماذا تستطيع"]
 QUESTION_STARTS = ["what", "who", "where", "when", "why", "how", "tell", "explain", "ما", "من", "أين", "اين", "متى", "لماذا", "كيف", "هل", "أخبر", "اشرح", "عن", "موضوع"]
 WEB_DIRECT = ["search the web", "search online", "look up online", "browse", "google", "internet", "online", "ابحث في الويب", "ابحث على الإنترنت", "ابحث اونلاين", "تصفح", "الانترنت", "أونلاين"]
 PROFILE_EN = ["profile", "account", "handle", "username", "portfolio", "page", "channel", "public repos", "public repository", "public repositories", "public work"]

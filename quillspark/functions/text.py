@@ -116,21 +116,32 @@ def repair_visual_order(c: Column) -> Column:
     return let(c, lambda v: F.when(v.rlike(f"[{AR}]"), chosen(v)).otherwise(v))
 
 
+#: Anything but ASCII and accented Latin letters that have no compatibility form.
+BEYOND_LATIN = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3]"
+
+
 def normalize_arabic(c: Column, *, diacritics: bool = False, alef: bool = True, ya: bool = True, teh: bool = True, tatweel: bool = True, compat: bool = True) -> Column:
     """Letters unified for retrieval. ``compat=False`` leaves NFKC out, for text that has been cleaned before."""
-    v = F.coalesce(c, F.lit(""))
-    v = nfkc(v) if compat else v
     drop = C.TATWEEL if tatweel else ""
     src, dst = (C.ALEF_VARIANTS, "ا" * len(C.ALEF_VARIANTS)) if alef else ("", "")
     src, dst = (src + "ى", dst + "ي") if ya else (src, dst)
     src, dst = (src + "ة", dst + "ه") if teh else (src, dst)
-    v = F.translate(v, src + drop, dst)
-    v = F.regexp_replace(v, C.DIACRITICS, "") if diacritics else v
-    return _tidy(v)
+
+    def whole(v: Column) -> Column:
+        v = F.translate(v, src + drop, dst)
+        return _tidy(F.regexp_replace(v, C.DIACRITICS, "") if diacritics else v)
+
+    # A text of plain Latin letters alone, as most are, needs its spacing unified and nothing else.
+    v = F.coalesce(c, F.lit(""))
+    return let(nfkc(v) if compat else v, lambda v: F.when(v.rlike(BEYOND_LATIN), whole(v)).otherwise(_spaced(v)))
 
 
 def _tidy(v: Column) -> Column:
     v = repair_visual_order(collapse_spaced_letters(F.regexp_replace(v, C.INVISIBLE, "")))
+    return _spaced(v)
+
+
+def _spaced(v: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(v, r"[ \t\f\x0b]+", " "), r"\n{3,}", "\n\n"))
 
 
@@ -196,7 +207,7 @@ def tokenize(c: Column, compat: bool = False) -> Column:
     characters left out. ``compat`` for text that has not been cleaned."""
     v = F.translate(normalize_arabic(c, diacritics=True, compat=compat), C.DIGITS_FROM, C.DIGITS_TO)
     raw = F.regexp_extract_all(F.lower(v), F.lit(f"([A-Za-z0-9{AR}]+)"), F.lit(1))
-    bare = F.transform(raw, lambda t: F.when((F.length(t) > 3) & F.startswith(t, F.lit("ال")), F.substring(t, 3, 1 << 20)).otherwise(t))
+    bare = F.transform(raw, lambda t: F.when((F.length(t) > 3) & F.startswith(t, F.lit("ال")), F.substring(t, F.lit(3), F.length(t))).otherwise(t))
     return F.filter(bare, lambda t: (F.length(t) > 1) & ~t.isin(C.STOPWORDS))
 
 

@@ -112,7 +112,7 @@ def plan(c: Column, min_words: int = 6) -> Column:
 
 
 def _plan(q: Column, fixed: Column, boosted: Column) -> Column:
-    chat = (q == "") | (T.contains_any(F.lower(q), C.SMALL_TALK) & (F.size(T.words(q)) <= 6))
+    chat = (q == "") | (T.contains_any(F.lower(q), C.PLANNER_SMALL_TALK) & (F.size(T.words(q)) <= 6))
     none = F.array().cast("array<string>")
     return F.struct(
         (~chat).alias("needs_database"), F.lit("read").alias("mode"), F.when(chat, F.lit("")).otherwise(boosted["text"]).alias("search_query"), F.when(chat, none).otherwise(T.keywords(fixed)).alias("keywords"),

@@ -361,14 +361,13 @@ def digits_fold(spark, sf_dir):
     return d.select("doc_id", F.translate(F.translate("text", "0123456789", C.DIGITS_FROM[:10]), C.DIGITS_FROM, C.DIGITS_TO).alias("text"))
 
 
-_MIX = f"CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN {_AR} ELSE substr(text, 1, 40) || ' ' || substr({_AR}, 1, 40) END"
+_MIX = f"CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN {_AR} ELSE text || ' ' || {_AR} END"
 
 
-def _mixed_docs(spark, sf_dir, heads=True):
-    """Texts in one script, the other, or both: whole, or for both scripts the heads that ``_MIX`` has."""
+def _mixed_docs(spark, sf_dir):
+    """Whole texts in one script, the other, or both."""
     i, text, ar = F.col("doc_id") % 3, F.col("text"), F.translate(F.lower("text"), _LATIN, _ARABIC)
-    both = F.concat(F.left(text, F.lit(40)), F.lit(" "), F.left(ar, F.lit(40))) if heads else F.concat(text, F.lit(" "), ar)
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, text).when(i == 1, ar).otherwise(both).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, text).when(i == 1, ar).otherwise(F.concat(text, F.lit(" "), ar)).alias("text"))
 
 
 _COUNTS = rf"c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\x{{0600}}-\x{{06FF}}]'))::BIGINT AS ar, len(regexp_extract_all(text, '[A-Za-z]'))::BIGINT AS la, len(regexp_extract_all(text, '\p{{L}}'))::BIGINT AS al, length(text) AS n FROM (SELECT doc_id, {_MIX} AS text FROM documents))"
@@ -392,7 +391,7 @@ def text_direction(spark, sf_dir):
 
 @query()
 def unreliable_extraction(spark, sf_dir):
-    return _mixed_docs(spark, sf_dir, heads=False).select("doc_id", T.unreliable_extraction(F.col("text")).alias("unreliable"))
+    return _mixed_docs(spark, sf_dir).select("doc_id", T.unreliable_extraction(F.col("text")).alias("unreliable"))
 
 
 @query(r"""SELECT page_id, CASE WHEN b = '' THEN 'uploaded.bin' ELSE b END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(translate(trim(url), '\', '/'), '/+$', ''), '([^/]*)$', 1), '[\x00-\x1f\x7f<>:"|?*\\/]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS b FROM pages)""")
@@ -498,10 +497,10 @@ def trust_parse(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.explode(answers.relevant_indexes(text, F.lit(4))).alias("idx"))
 
 
-def _hits(spark, sf_dir, heads=True):
-    """The top 8 documents of every query, with their whole texts, or the heads that ``_HITS`` has."""
+def _hits(spark, sf_dir):
+    """The top 8 documents of every query, with their whole texts."""
     top = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").withColumnRenamed("bm25", "score")
-    d = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("text") if heads else "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     return top.join(d, "doc_id").withColumns({"filename": F.concat(F.lit("doc-"), i.cast("string")), "page_start": (i % 4).cast("int"), "page_end": (i % 4 + i % 2).cast("int")})
 
@@ -510,7 +509,7 @@ def _label(one, many, none):
     return f"CASE WHEN ps <> 0 AND pe <> 0 AND ps <> pe THEN '{many} ' || ps || '-' || pe WHEN ps <> 0 THEN '{one} ' || ps ELSE '{none}' END"
 
 
-_HITS = f"{_BM25}, {_top('bm', 'bm25', 8, 't')}, h AS (SELECT query_id, t.rank, doc_id % 4 AS ps, doc_id % 4 + doc_id % 2 AS pe, 'doc-' || doc_id AS f, substr(text, 1, 80) AS text, bm25 FROM t JOIN documents USING (doc_id))"
+_HITS = f"{_BM25}, {_top('bm', 'bm25', 8, 't')}, h AS (SELECT query_id, t.rank, doc_id % 4 AS ps, doc_id % 4 + doc_id % 2 AS pe, 'doc-' || doc_id AS f, text, bm25 FROM t JOIN documents USING (doc_id))"
 
 
 @query(f"WITH {_HITS} SELECT query_id, string_agg('[' || rank || '] ' || f || ' · ' || {_label('Page', 'Pages', 'Page ?')} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
@@ -527,7 +526,7 @@ def format_sources(spark, sf_dir):
 
 @query()
 def offline_answers(spark, sf_dir):
-    hits = _hits(spark, sf_dir, heads=False).join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    hits = _hits(spark, sf_dir).join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     return answers.offline_answers(answers.offline_trust(hits))
 
 
@@ -546,10 +545,10 @@ def eval_by_theme(spark, sf_dir):
     return evaluation.report(d, "lang").select(F.coalesce("lang", F.lit("overall")).alias("theme"), "passed", "total", F.round("score", 6).alias("score"), "ok")
 
 
-@query(f"WITH {_HITS}, b AS (SELECT query_id, string_agg(text, chr(10)) AS blob FROM h GROUP BY 1) SELECT item_id, contains(blob, substr(text, 1, 20)) AS passed FROM benchmark JOIN b ON item_id = query_id")
+@query(f"WITH {_HITS}, b AS (SELECT query_id, string_agg(text, chr(10)) AS blob FROM h GROUP BY 1) SELECT item_id, contains(blob, text) AS passed FROM benchmark JOIN b ON item_id = query_id")
 def eval_passes(spark, sf_dir):
     blob = _hits(spark, sf_dir).groupBy("query_id").agg(F.array_join(F.collect_list("text"), "\n").alias("blob"))
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.array(F.left("text", F.lit(20))).alias("expect"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.array("text").alias("expect"))
     return b.join(blob, F.col("item_id") == F.col("query_id")).select("item_id", evaluation.passes(F.col("blob"), F.col("expect")).alias("passed"))
 
 
