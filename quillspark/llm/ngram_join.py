@@ -81,21 +81,25 @@ def _describe(k: int):
 def flattened(sketch: np.ndarray) -> bytes:
     """Counters byte by byte, compressed, after the bytes that each has."""
     wide = 4 if int(sketch.max()) < 1 << 32 else 8
-    planes = np.ascontiguousarray(sketch.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T)
+    planes = np.empty((wide, len(sketch)), np.uint8)
+    for lo in range(0, len(sketch), 1 << 18):
+        planes[:, lo : lo + (1 << 18)] = sketch[lo : lo + (1 << 18)].astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
     return bytes([wide]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def restored(blob: bytes) -> np.ndarray:
+def added(total: np.ndarray, blob: bytes) -> None:
+    """Add the counters of ``blob`` to ``total``."""
     wide = blob[0]
-    planes = np.frombuffer(pa.decompress(blob[1:], decompressed_size=wide << SKETCH, codec="zstd", asbytes=True), np.uint8).reshape(wide, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel()
+    planes = np.frombuffer(pa.decompress(memoryview(blob)[1:], decompressed_size=wide << SKETCH, codec="zstd"), np.uint8).reshape(wide, -1)
+    for lo in range(0, len(total), 1 << 18):
+        total[lo : lo + (1 << 18)] += np.ascontiguousarray(planes[:, lo : lo + (1 << 18)].T).view(f"<u{wide}").ravel().astype(np.int64)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH, np.int64)
     for b in batches:
         for x in b.column("sketch"):
-            total += restored(x.as_py()).astype(np.int64)
+            added(total, x.as_py())
     yield pa.RecordBatch.from_arrays([pa.array([flattened(total)], pa.binary())], ["sketch"])
     del total
     freed()
@@ -107,7 +111,8 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     parts = described.where("sketch is not null").select("sketch")
     fan = max(1, int(shuffle_partitions(described.sparkSession) ** 0.5))
     row = parts.repartition(fan).mapInArrow(_merged, "sketch binary").repartition(1).mapInArrow(_merged, "sketch binary").first()
-    total = restored(row.sketch)
+    total = np.zeros(1 << SKETCH, np.int64)
+    added(total, row.sketch)
     mean = max(1.0, total.mean())
     excess = (total - mean) / (4 * np.sqrt(mean) + 2)
     return np.where(excess > 1, 1 + np.log2(np.maximum(1, excess)), 0).astype(np.uint8) | np.where(total - mean > HOT, 128, 0).astype(np.uint8)
