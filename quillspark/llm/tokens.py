@@ -34,7 +34,7 @@ class ChunkEncoder:
     join the mark's token go alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -52,12 +52,11 @@ class ChunkEncoder:
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def rest(self) -> None:
-        """Between tasks: hold no more than after forgetting."""
-        if len(self.known) > self.most // 2:
-            self._forget()
+        """Between tasks: hold no more than a third."""
+        if len(self.known) > self.most // 3:
+            self._forget(self.most // 3)
 
-    def _forget(self) -> None:
-        keep = self.most // 2
+    def _forget(self, keep: int) -> None:
         self.known = dict(islice(self.known.items(), keep))
         self.used = int((self.starts[:keep] + self.sizes[:keep]).max(initial=0))
 
@@ -99,7 +98,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets at which each text begins (one more than texts)."""
         if len(self.known) > self.most:
-            self._forget()
+            self._forget(self.most // 2)
         parts, counts = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if OTHER_SPACE.search(t):
