@@ -1,7 +1,9 @@
 """Training-data pipeline over ``documents``: quality, exact and near duplicates, benchmark leaks, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
-columns of ``docs``, the last one the packed pieces. An empty table passes through every stage.
+columns of ``docs``, the last one the packed pieces. An empty table passes through every stage. A null text counts as
+empty, texts are read whole, and columns of any name pass through; what a stage does with ties, repeated rows and rows
+without doc_id is said at its operator (``keep_good``, ``keep_first``, ``keep_representatives``, ``keep_clean``, ``pack``).
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact duplicates", exact_duplicates), ("near duplicates", near_duplicates), ("benchmark leaks", benchmark_leaks), ("packing", packing)]
 
-#: The classifier and the alignment have no SQL; tests hold every stage against a brute-force version.
+#: The classifier and the alignment have no SQL; tests hold the operators against brute-force versions and the stages
+#: against what must be gone or kept.
 ORACLE_SQL = None
 
 
