@@ -147,10 +147,13 @@ def test_partners_within_a_group():
     assert partnered(group, n, rest, 75).tolist() == want
 
 
-def test_jaccard_components_of_a_large_group(spark, tmp_path, monkeypatch):
-    """Copies so far from one another that about half of their pairs link, in blocks that are smaller than the group."""
+@pytest.mark.parametrize("hot", [1 << 17, 20])
+def test_jaccard_components_of_a_large_group(spark, tmp_path, monkeypatch, hot):
+    """Copies so far from one another that about half of their pairs link, in blocks that are smaller than the group;
+    also with shingles that are so frequent that they are dealt by class."""
     from quillspark.llm import ngram_join
 
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK_FIRST", 8)
     monkeypatch.setattr(ngram_join, "BLOCK_LAST", 8)
     r = random.Random(8)
