@@ -1,10 +1,11 @@
 """License scan: a trained paragraph classifier with template comparison.
 
-Paragraphs (lines) are described by their word one- to three-grams. A sparse multinomial logistic regression, trained
-on templates and their perturbed copies against ordinary paragraphs, names the licence family or none; temperature
-scaling on held-out perturbations calibrates it, and a paragraph whose best family stays below ``least`` is unknown.
-A prediction is confirmed when the paragraph and a template of that family contain one another's words. Lines in which
-the model has no confirmed licence as a whole are looked through by windows of 2 to 64 words at every word.
+Paragraphs (runs of lines with words) are described by the word one- to three-grams of their lines and of windows over
+them. A sparse multinomial logistic regression, trained on templates and their perturbed copies against ordinary
+paragraphs, names the licence family or none; temperature scaling on held-out perturbations calibrates it, and what stays
+below ``least`` is unknown. A prediction is confirmed when the passage and a template of that family contain one
+another's words. Paragraphs are looked through by windows of 2 to 64 words at every word, across their line breaks, but
+for lines that hold a whole template; so notices that are wrapped over lines count as one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ TEMPLATES = [
     ("apache-2.0", "This project is licensed under the Apache License 2.0."),
     ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("bsd-2-clause", "Released under the BSD 2-Clause License."),
     ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("bsd-2-clause", "This software is licensed under the simplified BSD license."),
@@ -82,10 +84,14 @@ PUNCTUATION = np.isin(np.arange(256), list(b".,;:()[]\"'`*#!?<>"))
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Lines with words: feature bucket of every word n-gram (n = 1, 2, 3), its line, and each line's first and last
-    byte; then each n-gram's first word and n, and each word's line, first and last byte."""
+    """Lines with words: feature bucket of every word n-gram (n = 1, 2, 3) within a paragraph, its line (-1: more than
+    one), and each line's first and last byte; then each n-gram's first word and n, and each word's line, paragraph, first
+    and last byte."""
     clean = LOWER[data]
     clean[PUNCTUATION[clean]] = 32
+    # Marks of a comment (//, /*) are no words.
+    edge = np.concatenate([[True], (clean == 47) | (clean <= 32), [True]])
+    clean[(clean == 47) & (edge[:-2] | edge[2:])] = 32
     breaks = np.flatnonzero(data == 10)
     lines = np.unique(np.concatenate([off[:-1], breaks + 1]))
     lines = lines[lines < len(data)] if len(data) else lines[:0]
@@ -94,20 +100,22 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     n = np.diff(first)
     kept = np.flatnonzero(n)
     line = np.repeat(np.cumsum(n > 0) - 1, n)
+    opens = np.isin(lines, off[:-1]) | (np.concatenate([[0], n])[: len(n)] == 0)  # after a blank line
+    paragraph = np.repeat(np.cumsum(opens), n)
     h = Hashes(clean).of(s, e)
     feats, owner, place = [h], [line], [np.arange(len(h))]
     for k in (2, 3):
         m = max(0, len(h) - k + 1)
-        same = line[:m] == line[k - 1 :] if m else np.zeros(0, bool)
+        same = paragraph[:m] == paragraph[k - 1 :] if m else np.zeros(0, bool)
         g = h[:m].copy()
         for i in range(1, k):
             g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : m + i]
         feats.append(mix(g[same]))
-        owner.append(line[:m][same])
+        owner.append(np.where(line[:m] == line[k - 1 :], line[:m], -1)[same] if m else line[:0])
         place.append(np.flatnonzero(same))
     width = np.repeat([1, 2, 3], [len(x) for x in place])
     f = (np.concatenate(feats) >> np.uint64(64 - BITS)).astype(np.int64)
-    return f, np.concatenate(owner), bounds[kept], bounds[kept + 1], np.concatenate(place), width, line, s, e
+    return f, np.concatenate(owner), bounds[kept], bounds[kept + 1], np.concatenate(place), width, line, paragraph, s, e
 
 
 def word_set(text: str) -> frozenset:
@@ -124,7 +132,7 @@ class LicenceModel:
             w = text.split()
             for i in range(24):
                 keep = [x for x in w if i % 2 == 0 or r.random() > 0.05]
-                pre = ["oner", "thand", "lorem", "the", "of"][: r.integers(0, 4)] if i > 12 else []
+                pre = ["".join(r.choice(SYLLABLES, r.integers(1, 4))) for _ in range(r.integers(0, 4))] if i > 12 else []
                 rows.append(" ".join(pre + keep))
                 labels.append(FAMILIES.index(family))
         for i in range(240):  # licences of names that no family has
@@ -171,28 +179,37 @@ class LicenceModel:
         return z / z.sum(axis=1, keepdims=True)
 
     def paragraphs(self, data: np.ndarray, off: np.ndarray, least: float) -> list[tuple[int, int, float, bool]]:
-        """Lines and passages in lines in which the model sees a licence: first byte, best family, its probability, and
-        whether that is ``least`` at least and confirmed."""
-        f, line, lo, hi, place, width, line_of, s, e = grams(data, off)
-        total = np.bincount(line, minlength=len(lo))
+        """Lines and passages in which the model sees a licence: first byte, best family, its probability, and whether
+        that is ``least`` at least and confirmed."""
+        f, line, lo, hi, place, width, line_of, paragraph, s, e = grams(data, off)
+        total = np.bincount(line[line >= 0], minlength=len(lo))
         f = self.column[f].astype(np.int64)
         known = f >= 0
         f, line, place, width = f[known], line[known], place[known], width[known]
         # A line in which fewer than a fifth of the n-grams are known is no licence as a whole.
-        rich = np.bincount(line, minlength=len(lo)) * 5 >= np.maximum(1, total)
-        pick = rich[line]
+        rich = np.bincount(line[line >= 0], minlength=len(lo)) * 5 >= np.maximum(1, total)
+        pick = (line >= 0) & rich[line]
         names, at = np.unique(line[pick], return_inverse=True)
         yes, best, share = self._judged(at, f[pick], total[names])
         names, best, share = names[yes], best[yes], share[yes]
         text = lambda x, y: data[x:y].tobytes().decode("utf-8", "replace")
-        own = [(x, k, p, p >= least and self.confirmed(text(x, y), k)) for x, y, k, p in zip(lo[names].tolist(), hi[names].tolist(), best.tolist(), share.tolist(), strict=True)]
-        whole = np.zeros(len(lo), bool)
-        whole[names[np.array([sure for *_, sure in own], bool)]] = True
-        parts = self._passages(text, f, place, width, whole, line_of, s, e, least)
-        # A line that is unknown as a whole gives way to confirmed passages in it, and else counts once.
-        line = lambda x: int(np.searchsorted(lo, x, side="right")) - 1
-        better, seen = {line(x) for x, *_, sure in parts if sure}, set(names.tolist())
-        return [x for x in own if x[3] or line(x[0]) not in better] + [x for x in parts if x[3] or line(x[0]) not in seen]
+        own, whole, closed = [], np.zeros(len(lo), bool), np.zeros(len(lo), bool)
+        for i, x, y, k, p in zip(names.tolist(), lo[names].tolist(), hi[names].tolist(), best.tolist(), share.tolist(), strict=True):
+            sure = p >= least and self.confirmed(text(x, y), k)
+            own.append((i, x, k, p, sure))
+            whole[i] = sure
+            closed[i] = sure and self.confirmed(text(x, y), k, entire=True)
+        parts = self._passages(text, f, place, width, whole, closed, line_of, paragraph, s, e, least)
+        # A line gives way to a confirmed passage over several lines, an unknown one also to a passage within it; else it
+        # counts once.
+        wrapped, better, seen = set(), set(), set(names.tolist())
+        for a, b, _, _, sure in parts:
+            if line_of[a] != line_of[b - 1]:
+                wrapped.update(range(line_of[a], line_of[b - 1] + 1))
+            elif sure:
+                better.add(int(line_of[a]))
+        out = [(x, k, p, sure) for i, x, k, p, sure in own if i not in wrapped and (sure or i not in better)]
+        return out + [(int(s[a]), k, p, sure) for a, _, k, p, sure in parts if sure or (int(line_of[a]) not in seen and int(line_of[a]) not in wrapped)]
 
     def _judged(self, at: np.ndarray, f: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For paragraphs 0, 1, ... with known features ``f`` (each in paragraph ``at``) of ``total``: whether the model
@@ -208,8 +225,9 @@ class LicenceModel:
         best = p[:, 1:].argmax(axis=1) + 1 if len(p) else np.zeros(0, int)
         return p[:, 0] < 0.5, best, p[np.arange(len(p)), best]
 
-    def _passages(self, text, f, place, width, whole, line_of, s, e, least: float) -> list[tuple[int, int, float, bool]]:
-        """Passages of lines that are no confirmed licence as a whole: of overlapping windows the confirmed, then the
+    def _passages(self, text, f, place, width, whole, closed, line_of, paragraph, s, e, least: float) -> list[tuple[int, int, int, float, bool]]:
+        """Passages (first word, word after the last, family, probability, sure) within lines that are no confirmed
+        licence as a whole and over lines that hold no whole template: of overlapping windows the confirmed, then the
         likeliest."""
         n = len(s)
         column = np.full((3, n), -1, np.int64)
@@ -226,7 +244,10 @@ class LicenceModel:
             size = sum(max(0, w - k) for k in range(3))
             most = sum(sums[k, w - k : w - k + m] - sums[k, :m] for k in range(min(3, w)))
             first = np.flatnonzero(most >= need * np.sqrt(size))
-            first = first[(line_of[first] == line_of[first + w - 1]) & ~whole[line_of[first]]]
+            last = first + w - 1
+            one = line_of[first] == line_of[last]
+            shut = np.concatenate([[0], np.cumsum(closed[line_of])])
+            first = first[np.where(one, ~whole[line_of[first]], (paragraph[first] == paragraph[last]) & (shut[last + 1] == shut[first]))]
             for x in range(0, len(first), 8192):
                 part = first[x : x + 8192]
                 cells = np.concatenate([column[k][part[:, None] + np.arange(w - k)] for k in range(min(3, w))], axis=1)
@@ -235,22 +256,30 @@ class LicenceModel:
                 found += [(a, a + w, k, p) for a, k, p in zip(part[yes].tolist(), best[yes].tolist(), share[yes].tolist(), strict=True)]
         judged = []
         for a, b, k, p in found:
-            sure = p >= least and self.confirmed(text(s[a], e[b - 1]), k, part=True)
+            one = line_of[a] == line_of[b - 1]
+            sure = p >= least and self.confirmed(text(s[a], e[b - 1]), k, part=one, entire=not one)
             # A few words of a licence's vocabulary in a line of prose are a notice only if confirmed or worded as one.
-            if sure or (k == len(FAMILIES) - 1 and b - a >= 5 and p >= least):
+            if sure or (one and k == len(FAMILIES) - 1 and b - a >= 5 and p >= least):
                 judged.append((not sure, -p, b - a, a, b, k))
         taken, out = np.zeros(n, bool), []
         for unsure, p, _, a, b, k in sorted(judged):
             if not taken[a:b].any():
-                taken[a:b] = True
-                out.append((int(s[a]), k, -p, not unsure))
+                lo, hi = a, b
+                if not unsure:  # the notice goes on as far as the words of its templates do
+                    near = frozenset().union(*self.templates[k])
+                    while lo and paragraph[lo - 1] == paragraph[a] and word_set(text(s[lo - 1], e[lo - 1])) <= near:
+                        lo -= 1
+                    while hi < n and paragraph[hi] == paragraph[a] and word_set(text(s[hi], e[hi])) <= near:
+                        hi += 1
+                taken[lo:hi] = True
+                out.append((a, b, k, -p, not unsure))
         return out
 
-    def confirmed(self, text: str, family: int, least: float = 0.8, part: bool = False) -> bool:
-        """Whether the paragraph holds most words of a template of the family, or the other way round (a ``part`` of a
-        line, of eight words at least)."""
+    def confirmed(self, text: str, family: int, least: float = 0.8, part: bool = False, entire: bool = False) -> bool:
+        """Whether the passage holds most words of a template of the family, or, unless ``entire``, the other way round (a
+        ``part`` of a line, of eight words at least)."""
         own = word_set(text)
-        return any(len(own & t) >= least * len(t) or (len(own) >= (8 if part else 4) and len(own & t) >= 0.9 * len(own)) for t in self.templates.get(family, []))
+        return any(len(own & t) >= least * len(t) or (not entire and len(own) >= (8 if part else 4) and len(own & t) >= 0.9 * len(own)) for t in self.templates.get(family, []))
 
 
 @cache
