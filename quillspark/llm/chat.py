@@ -3,8 +3,9 @@
 Lines that begin with ``>`` are quotations; the number of marks is their level. Quoted passages are normalised and
 hashed and joined, within a conversation, to the earliest message that says the same in its own words. The closest
 quoted level decides which message a message replies to. Reply threads are ordered by their root and then by turn:
-a reply always follows what it replies to. Every step is an equi-join or an aggregate with map-side combination on
-(conv_id, hash) or (conv_id, turn), so no conversation is gathered in one task.
+a reply always follows what it replies to. Every step of linking is an equi-join or an aggregate with map-side
+combination on (conv_id, hash) or (conv_id, turn); ``conversations`` then builds rows of a bounded number of messages, so
+no long conversation is gathered in one task.
 """
 
 from __future__ import annotations
@@ -105,3 +106,30 @@ def roots(links: DataFrame) -> DataFrame:
         now = step.drop("moved")
         if step.where("moved").isEmpty():
             return links.join(now.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
+
+
+def conversations(messages: DataFrame, most: int = 256) -> DataFrame:
+    """Conversations without quotes, from the rows of ``chat_format``: conv_id, root_turn, part, n_messages, n_linked,
+    conversation (the formatted messages in reply order, a blank line between them), messages (turn, role, parent_turn,
+    root_turn, depth, n_quotes, n_linked of each, in that order).
+
+    Reply order is by root_turn, then turn; without quotes that is the order of turns. A conversation of at most ``most``
+    messages is one row (root_turn and part are null); a longer one has a row for every thread and ``most`` turns in
+    it, and its rows in the order of root_turn and part make the whole. Rows with a null conv_id or turn are a
+    conversation each; repeated rows (same conv_id and turn) all stay, in the order of their text. An empty table gives no
+    rows.
+    """
+    item = F.struct("root_turn", "turn", "formatted", "role", "parent_turn", "depth", "n_quotes", "n_linked")
+    complete = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    sizes = messages.where(complete).groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
+    long = F.col("size") > most
+    none = F.lit(None).cast("long")
+    m = messages.where(complete).join(sizes, "conv_id").withColumns({"_root": F.when(long, F.col("root_turn")).otherwise(none), "_part": F.when(long, F.floor(F.col("turn") / most)).otherwise(none)})
+    rows = m.groupBy("conv_id", "_root", "_part").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    single = messages.where(~complete).select("conv_id", none.alias("_root"), none.alias("_part"), F.array(item).alias("m"))
+    lean = lambda x: F.struct(x.turn.alias("turn"), x.role.alias("role"), x.parent_turn.alias("parent_turn"), x.root_turn.alias("root_turn"), x.depth.alias("depth"), x.n_quotes.alias("n_quotes"), x.n_linked.alias("n_linked"))
+    return rows.unionByName(single).select(
+        "conv_id", F.col("_root").alias("root_turn"), F.col("_part").alias("part"), F.size("m").cast("long").alias("n_messages"),
+        F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x.n_linked).alias("n_linked"),
+        F.array_join(F.transform("m", lambda x: x.formatted), "\n\n").alias("conversation"), F.transform("m", lean).alias("messages"),
+    )

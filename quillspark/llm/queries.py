@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import chat_format
+from .chat import chat_format, conversations
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
@@ -39,7 +39,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format(table(spark, sf_dir, "conversations"))
+    return conversations(chat_format(table(spark, sf_dir, "conversations")))
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm.bytegrams import utf8
-from quillspark.llm.chat import chat_format
+from quillspark.llm.chat import chat_format, conversations
 from quillspark.llm.components import components
 from quillspark.llm.decontamination import Index, contamination, keep_clean, normal
 from quillspark.llm.elias_fano import EliasFano
@@ -391,6 +391,33 @@ def test_licences_within_long_lines(spark):
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_licences_of_wrapped_notices(spark, mark):
+    around = "Plain words about the weather\nand the sea.\n{}\n\nint main() and more words"
+    cases = [(f, around.format("\n".join(mark + x for x in t.split("\n")))) for f, t in WRAPPED]
+    got = {r.doc_id: list(r.licences) for r in licence_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [[f] for f, _ in cases]
+
+
+def test_conversations(spark):
+    rows = [(1, 0, "user", "First one here"), (1, 1, "user", "Second one here"), (1, 2, "bot", "> First one here\nTo the first"), (2, 0, "user", None), (None, 3, None, "lost"), (None, 3, None, "lost"), (1, 2, "bot", "> First one here\nTo the first")]
+    d = chat_format(spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, size string"))
+    short = sorted(((r.conv_id or 0, r.n_messages, r.n_linked, r.conversation) for r in conversations(d).collect()))
+    lost = (0, 1, 0, "<|unknown|>\nlost")
+    assert short == [lost, lost, (1, 4, 2, "<|user|>\nFirst one here\n\n<|bot|>\nTo the first\n\n<|bot|>\nTo the first\n\n<|user|>\nSecond one here"), (2, 1, 0, "<|user|>\n")]
+    parts = sorted((r.root_turn, r.part, [m.turn for m in r.messages]) for r in conversations(d, 2).where("conv_id = 1").collect())
+    assert parts == [(0, 0, [0]), (0, 1, [2, 2]), (1, 0, [1])]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "Hello there world\nsecond line here"), (1, 1, "assistant", "> Hello there world\n> second line here\nMy answer is this"), (1, 2, "user", ">> Hello there  world\n> My answer is THIS\nThanks a lot"),
@@ -418,7 +445,7 @@ def test_empty_tables(spark, empty):
     path = public_tokenizers.path
     for out in (
         exact_dedup(empty), jaccard_components(empty), language_model_scores(empty), substring_dedup(empty), token_files(empty, path("byte_bpe_50k.json")), pack(empty, path("word_bpe_49k.json")),
-        quality_scores(empty, none), contamination(empty, none), licence_scan(empty), chat_format(none),
+        quality_scores(empty, none), contamination(empty, none), licence_scan(empty), chat_format(none), conversations(chat_format(none)),
     ):
         assert out.count() == 0
 
