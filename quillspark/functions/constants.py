@@ -76,3 +76,15 @@ MIME_BY_EXTENSION = {
 MAGIC = [("25504446", "application/pdf"), ("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"), ("474946383761", "image/gif"), ("474946383961", "image/gif")]
 UNSAFE_IN_NAMES = r'[\x00-\x1f\x7f<>:"|?*\\/]+'
 UUID_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+# Messages where nothing was retrieved, and the plan text of a route.
+NOT_IN_DOCUMENTS = {"ar": "تعذر تحديد الإجابة من المستندات المرفوعة.", "en": "The answer cannot be determined from the uploaded documents."}
+NOT_IN_KNOWLEDGE = {"ar": "تعذر العثور على معلومات كافية في قاعدة المعرفة.", "en": "Not enough information was found in the knowledge database."}
+ROUTE_PLANS = {
+    "query_documents": "Retrieve → trust-layer read → grounded answer + citations",
+    "summarize_document": "Ingest (if needed) → summarize document",
+    "query_knowledge_base": "Database → READ-only query plan → hybrid BM25+vector retrieve → answer",
+    "web_search": "Search Internet → live web lookup → grounded answer",
+    "call_model": "General conversation",
+}
+EMPTY_KNOWLEDGE_PLAN = "Database selected but knowledge base is empty — general chat"

@@ -1,10 +1,13 @@
 """Chunk collections: Parquet tables with last-write-wins upsert by key.
 
-A collection is a folder of append-only batches with a version; reading keeps the latest row of each key. Writing
-never rewrites what is there, so a batch that is run twice changes nothing, and ``compact`` folds batches together."""
+A collection is a folder of batches with a version; reading keeps the latest row of each key. A batch that is run twice
+replaces its own rows only. The number of places of its vectors is recorded beside the batches when a collection is
+created; ``compact`` folds batches together and removes the folded ones."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +36,58 @@ class Collections:
             raise ValueError(f"invalid collection name: {name}")
         return f"{self.folder}/{name}"
 
-    def _exists(self, path: str) -> bool:
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def upsert(self, name: str, rows: DataFrame, version: int) -> None:
-        """Add a batch (chunk_id, ..., embedding); of keys that a batch repeats the last by text stays."""
-        if self.dims is not None and "embedding" in rows.columns:
-            ok = F.assert_true(F.size("embedding") == self.dims, f"vectors must have {self.dims} places")
-            rows = rows.where(F.coalesce(ok.cast("boolean"), F.lit(True)))
-        one = latest(rows.withColumn("version", F.lit(version).cast("long")), "chunk_id", "version", "text").drop("version")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def _versions(self, name: str) -> list[int]:
+        fs, p = self._fs(self._path(name))
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(x.removeprefix("version=")) for x in names if x.startswith("version=")]
+
+    def create(self, name: str) -> None:
+        """Create a collection if it is missing, with its vector size and metric; an error if it has another size."""
+        fs, p = self._fs(f"{self._path(name)}/_collection.json")
+        if fs.exists(p):
+            stream = fs.open(p)
+            try:
+                known = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["dims"]
+            finally:
+                stream.close()
+            if None not in (known, self.dims) and known != self.dims:
+                raise ValueError(f"collection {name} has vectors of {known} places, not {self.dims}")
+            return
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(json.dumps({"dims": self.dims, "metric": "cosine"}).encode()))
+        finally:
+            out.close()
+
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        if self.dims is None or "embedding" not in rows.columns:
+            return rows
+        ok = F.assert_true(F.size("embedding") == self.dims, f"vectors must have {self.dims} places")
+        return rows.where(F.coalesce(ok.cast("boolean"), F.lit(True)))
+
+    def upsert(self, name: str, rows: DataFrame, version: int, order: str = "text") -> None:
+        """Add a batch (chunk_id, ..., embedding); of keys that a batch repeats the last by column ``order`` stays."""
+        self.create(name)
+        one = latest(self._checked(rows).withColumn("version", F.lit(version).cast("long")), "chunk_id", "version", order).drop("version")
         one.write.mode("overwrite").parquet(f"{self._path(name)}/version={version}")
 
     def append(self, name: str, rows: DataFrame, version: int) -> None:
-        """Add a batch without looking for repeated keys."""
-        rows.write.mode("append").parquet(f"{self._path(name)}/version={version}")
+        """Add a batch without looking for repeated keys; running it again replaces it."""
+        self.create(name)
+        self._checked(rows).write.mode("overwrite").parquet(f"{self._path(name)}/version={version}")
 
     def read(self, name: str) -> DataFrame | None:
         """The latest rows, or None if there is no such collection; reading creates nothing."""
         path = self._path(name)
-        return latest(self.spark.read.parquet(path), "chunk_id", "version").drop("version") if self._exists(path) else None
+        return latest(self.spark.read.parquet(path), "chunk_id", "version").drop("version") if self._versions(name) else None
 
     def scan(self, name: str, least: int = 100, most: int | None = None) -> DataFrame | None:
         """Rows with texts of ``least`` characters or more, without vectors."""
@@ -76,7 +111,44 @@ class Collections:
         return self.count(into)
 
     def compact(self, name: str, version: int) -> None:
-        """One batch of the latest rows under a new version."""
-        rows = self.read(name)
-        if rows is not None:
-            rows.write.mode("overwrite").parquet(f"{self._path(name)}/version={version}")
+        """One batch of the latest rows under a new, greatest version; the batches before it go once it is written."""
+        old = self._versions(name)
+        if not old:
+            return
+        if version <= max(old):
+            raise ValueError(f"version {version} is not above {max(old)}")
+        self.read(name).write.mode("overwrite").parquet(f"{self._path(name)}/version={version}")
+        for v in old:
+            fs, p = self._fs(f"{self._path(name)}/version={v}")
+            fs.delete(p, True)
+
+
+#: Stores by name; others register here.
+STORES = {"parquet": Collections}
+
+
+def open_store(spark: SparkSession, kind: str = "parquet", **options):
+    """The store of a kind; an unknown kind is an error."""
+    if kind.lower() not in STORES:
+        raise ValueError(f"unknown store: {kind} (known: {', '.join(sorted(STORES))})")
+    return STORES[kind.lower()](spark, **options)
+
+
+def write_points(rows: DataFrame, connect, batch: int = 8) -> None:
+    """Send chunks to an external vector store: ``connect()`` is called in each partition and gives a function of a list
+    of points {id (UUID of the chunk_id), vector, payload}. Points have stable ids, so a retried task sends the same."""
+    others = [c for c in rows.columns if c not in ("embedding", "tokens")]
+    points = rows.select(T.uuid5(F.col("chunk_id")).alias("_id"), "embedding", F.struct(*others).alias("_payload"))
+
+    def send(part) -> None:
+        upsert, held = None, []
+        for r in part:
+            upsert = upsert or connect()
+            held.append({"id": r["_id"], "vector": list(r["embedding"]), "payload": r["_payload"].asDict(recursive=True)})
+            if len(held) == batch:
+                upsert(held)
+                held = []
+        if held:
+            upsert(held)
+
+    points.foreachPartition(send)

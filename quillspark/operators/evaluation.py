@@ -29,6 +29,14 @@ def grounded(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     return cases.join(hit, "qid", "left_semi")
 
 
+def evaluated(cases: DataFrame, hits: DataFrame, fold: bool = False) -> DataFrame:
+    """Cases (qid, expect_any, ...) with ``passed``: whether any expected token is in the texts of the case's hits
+    (query_id, rank, text). A case without hits has not passed. A case has its top k hits, so a group is small."""
+    blob = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("_blob"))
+    d = cases.join(blob.withColumnRenamed("query_id", "qid"), "qid", "left")
+    return d.withColumn("passed", F.coalesce(passes(F.col("_blob"), F.col("expect_any"), fold), F.lit(False))).drop("_blob")
+
+
 def report(results: DataFrame, theme: str = "theme", ok: str = "passed", threshold: float = 0.9) -> DataFrame:
     """theme (null: overall), passed, total, score, ok."""
     n = F.count(F.lit(1))

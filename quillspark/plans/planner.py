@@ -105,10 +105,42 @@ def arabic_form(c: Column, translation: Column | None = None) -> Column:
     return F.when(~T.has_arabic(c) & T.has_arabic(line), line).otherwise(c)
 
 
-def plan(c: Column, min_words: int = 6) -> Column:
-    """The offline plan of a question: struct(needs_database, mode, search_query, keywords, query_notes, boost_applied,
-    reason, original_query). Notes come once and the original question is kept."""
-    return T.let(T.strip(F.coalesce(c, F.lit(""))), lambda q: T.let(correct(q)["corrected"], lambda fixed: T.let(expand(fixed, min_words), lambda boosted: _plan(q, fixed, boosted))))
+REPLY = "needs_database boolean, search_query string, keywords array<string>, reason string"
+
+
+def plan(c: Column, min_words: int = 6, reply=None, translate=None) -> Column:
+    """The plan of a question: struct(needs_database, mode, search_query, keywords, query_notes, boost_applied, reason,
+    original_query). ``reply``, a column function from the boosted question to a model's JSON, may plan; where it gives no
+    object, and without it, the offline plan holds. ``translate``, a column function, gives a search text in Arabic where
+    the model gave none. Notes come once and the original question is kept."""
+    return T.let(T.strip(F.coalesce(c, F.lit(""))), lambda q: T.let(correct(q)["corrected"], lambda fixed: T.let(expand(fixed, min_words), lambda boosted: _either(q, fixed, boosted, reply, translate))))
+
+
+def merged_keywords(own: Column, notes: Column, most: int = 12) -> Column:
+    """``own``, then the words of the notes that are not among them, as long as there are fewer than ``most``."""
+    every = F.array_union(own, T.keywords(F.array_join(notes, " ")))
+    return F.when(F.size(notes) > 0, F.slice(every, 1, F.greatest(F.lit(most), F.size(own)))).otherwise(own)
+
+
+def _either(q: Column, fixed: Column, boosted: Column, reply, translate) -> Column:
+    offline = _plan(q, fixed, boosted)
+    if reply is None:
+        return offline
+    r = F.from_json(F.regexp_extract(F.coalesce(reply(boosted["text"]), F.lit("")), r"(?s)\{.*\}", 0), REPLY)
+    none = F.array().cast("array<string>")
+    needs = F.coalesce(r["needs_database"], F.lit(False))
+    asked = T.strip(F.coalesce(r["search_query"], F.lit("")))
+    asked = F.when(T.has_arabic(asked), asked).otherwise(arabic_form(boosted["text"], translate(boosted["text"]) if translate else None))
+    search = F.when(F.size(boosted["notes"]) > 0, F.concat(asked, F.lit("\n"), F.array_join(F.slice(boosted["notes"], 1, 2), "\n"))).otherwise(asked)
+    words = F.slice(F.filter(F.transform(F.coalesce(r["keywords"], none), T.strip), lambda x: x != ""), 1, 8)
+    words = F.when((F.size(words) > 0) & ~F.exists(words, T.has_arabic), T.keywords(search)).otherwise(words)
+    reason = T.strip(F.coalesce(r["reason"], F.lit("")))
+    usual = F.when(~needs, "No DB needed").when(boosted["applied"], "READ-only Arabic retrieval plan + query booster notes for ambiguity").otherwise("READ-only Arabic retrieval plan")
+    theirs = F.struct(
+        needs.alias("needs_database"), F.lit("read").alias("mode"), F.when(needs, search).otherwise("").alias("search_query"), F.when(needs, merged_keywords(words, boosted["notes"])).otherwise(none).alias("keywords"),
+        F.when(needs, boosted["notes"]).otherwise(none).alias("query_notes"), (needs & boosted["applied"]).alias("boost_applied"), F.when(reason != "", reason).otherwise(usual).alias("reason"), q.alias("original_query"),
+    )
+    return F.when((q == "") | r.isNull() | (r["needs_database"].isNull() & r["search_query"].isNull()), offline).otherwise(theirs)
 
 
 def _plan(q: Column, fixed: Column, boosted: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import Options
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import ranking as R
+from quillspark.plans import planner
 
 
 def with_tokens(df: DataFrame, compat: bool = False) -> DataFrame:
@@ -71,7 +72,20 @@ def build_index(pages: DataFrame, options: Options = Options(), embed=None) -> D
     return with_tokens(rows).withColumn("embedding", embed(F.col("tokens")))
 
 
-def prepare_queries(queries: DataFrame, embed=None) -> DataFrame:
-    """query_id, text, tokens, embedding of raw questions (query_id, text)."""
+def rewritten(c: Column, translate=None) -> Column:
+    """A question for an Arabic corpus: Arabic or mixed text gives way to its Arabic form, other text is followed by it.
+    ``translate`` is a column function; without it the text stays."""
+    if translate is None:
+        return c
+    form = T.strip(planner.arabic_form(c, translate(c)))
+    lang = T.detect_language(c)
+    return F.when(F.coalesce(form, F.lit("")) == "", c).when(lang.isin("ar", "mixed"), form).when((lang == "en") & (form != c), F.concat_ws(" ", c, form)).otherwise(c)
+
+
+def prepare_queries(queries: DataFrame, embed=None, translate=None) -> DataFrame:
+    """query_id, text, tokens, embedding of raw questions (query_id, text). Blank questions are left out: they find
+    nothing."""
     embed = embed or V.hashed_embedding()
-    return with_tokens(queries.select("query_id", "text"), compat=True).withColumn("embedding", embed(F.col("tokens")))
+    q = queries.select("query_id", rewritten(F.coalesce("text", F.lit("")), translate).alias("text"))
+    q = q.where(T.strip(T.normalize_arabic(F.col("text"))) != "")
+    return with_tokens(q, compat=True).withColumn("embedding", embed(F.col("tokens")))

@@ -157,3 +157,13 @@ def report(spark: SparkSession, path: str) -> DataFrame:
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Append result rows as JSON lines."""
     rows.write.mode("append").json(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Replace a report by ``rows``, as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_text(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Write one string column as lines of text."""
+    rows.write.mode("append" if append else "overwrite").text(path)

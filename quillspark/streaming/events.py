@@ -17,6 +17,32 @@ def node_name(c: Column) -> Column:
     return F.regexp_replace(event_name(c), "^graph:", "")
 
 
+def event_node(c: Column) -> Column:
+    """The node of an event (JSON): from its metadata, else its name; null where there is none."""
+    return F.coalesce(*[F.when(F.get_json_object(c, p) != "", F.get_json_object(c, p)) for p in ("$.metadata.langgraph_node", "$.name")])
+
+
+def event_output(c: Column) -> Column:
+    """The output object of an event's data (JSON), else the data; an empty object without either."""
+    is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{"))
+    out, data = F.get_json_object(c, "$.data.output"), F.get_json_object(c, "$.data")
+    return F.when(is_object(out), out).when(is_object(data), data).otherwise("{}")
+
+
+def message_text(c: Column) -> Column:
+    """The text of a message's content (JSON): a string, or the texts of a list of parts, a line each."""
+    parts = F.from_json(c, "array<string>")
+    text = F.transform(parts, lambda x: F.when(F.startswith(F.ltrim(x), F.lit("{")), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x))
+    whole = F.coalesce(F.get_json_object(F.concat(F.lit('{"c":'), c, F.lit("}")), "$.c"), c)
+    joined = F.array_join(F.filter(text, lambda x: x != ""), "\n")
+    return F.trim(F.coalesce(F.when(F.startswith(F.ltrim(c), F.lit("[")), joined).otherwise(whole), F.lit("")))
+
+
+def event_stream(spark, folder: str, schema: str = "run_id string, mode string, payload string, ts timestamp") -> DataFrame:
+    """A stream of run events from JSON lines that arrive in a folder; the checkpoint of its query resumes it."""
+    return spark.readStream.schema(schema).json(folder)
+
+
 def unique_events(events: DataFrame, keys: list[str], delay: str = "10 minutes", time: str = "ts") -> DataFrame:
     """First event of each key within the watermark; works on streams and tables."""
     if events.isStreaming:

@@ -3,12 +3,14 @@ import datetime as dt
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import Options
 from quillspark.functions import vectors as V
-from quillspark.operators.collections import Collections
-from quillspark.plans import retrieve
+from quillspark.operators import evaluation
+from quillspark.operators.collections import Collections, open_store
+from quillspark.plans import planner, questions, retrieve
 from quillspark.sources import documents as S
 from quillspark.streaming import events, ingest
 
@@ -64,6 +66,58 @@ def test_ingest_stream_and_retrieval(spark, tmp_path):
     assert {r.query_id: r.filename for r in weighted} == {1: "ships.txt", 2: "cats.txt"}
 
 
+def test_collections_record_their_size_and_compact(spark, tmp_path):
+    store = open_store(spark, "parquet", folder=f"file://{tmp_path}", dims=2)
+    rows = spark.createDataFrame([("k1", "a", 2, [1.0, 0.0]), ("k1", "b", 1, [1.0, 0.0])], "chunk_id string, text string, n int, embedding array<float>")
+    store.upsert("c", rows, 1, order="n")
+    store.append("d", rows, 1)
+    store.append("d", rows, 1)
+    assert spark.read.parquet(f"file://{tmp_path}/d").count() == 2
+    store.upsert("c", rows.withColumn("chunk_id", F.lit("k2")), 2)
+    store.compact("c", 3)
+    assert {r.chunk_id: r.text for r in store.read("c").collect()} == {"k1": "a", "k2": "b"}
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("version")) == ["version=3"]
+    with pytest.raises(ValueError, match="2 places"):
+        Collections(spark, f"file://{tmp_path}", dims=3).create("c")
+    with pytest.raises(ValueError, match="unknown store"):
+        open_store(spark, "other")
+
+
+def test_questions(spark, tmp_path):
+    pages = spark.createDataFrame([("f1", "cats.txt", 1, "The cat sat on the mat and purred loudly all day.", ""), ("f2", "ships.txt", 1, "A ship crossed the ocean with a cargo of spices.", "")], "fingerprint string, filename string, page_number int, text string, html string")
+    retrieve.build_index(pages).write.parquet(f"file://{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"file://{tmp_path}/chunks")
+    q = spark.createDataFrame([(1, "Which ship had a cargo of spices?"), (2, "  "), (3, "quantum chromodynamics lagrangian")], "query_id long, question string")
+    got = {r.query_id: r for r in questions.document_questions(chunks, q).collect()}
+    assert "A ship crossed the ocean with a cargo of spices. [1]" in got[1].answer and "used: [1]" in got[1].answer and "ships.txt" in got[1].answer
+    assert got[2].answer.startswith("The answer cannot be determined") and got[2].used == [] and got[3].used == []
+    judge = lambda question, context: F.lit('{"sources": [{"index": 1, "verdict": "RELEVANT"}]}')
+    reply = lambda question, analysis, language, places: F.concat(F.lit("By model, "), language, F.lit(": "), places, F.lit("\n\nSources: mine"))
+    told = {r.query_id: r for r in questions.knowledge_questions(chunks, q, judge=judge, answer=reply).collect()}
+    assert told[1].answer.startswith("By model, en: [1] ships.txt p.1") and "Sources: mine" not in told[1].answer
+    assert questions.knowledge_questions(None, q).where("query_id = 1").first().answer.startswith("Not enough information")
+
+
+def test_plans_by_a_model_and_decisions(spark):
+    d = spark.createDataFrame([("who is the king",), ("hello",), ("a longer question about the trade routes of that century",)], "text string")
+    reply = lambda text: F.when(F.contains(text, F.lit("hello")), "no json").otherwise('{"needs_database": true, "search_query": "من هو الملك", "keywords": ["الملك", " "], "reason": ""}')
+    got = [r.p for r in d.select(planner.plan(F.col("text"), reply=reply).alias("p")).collect()]
+    assert got[0].search_query.startswith("من هو الملك\n") and got[0].keywords[0] == "الملك" and 1 < len(got[0].keywords) <= 12 and got[0].boost_applied
+    assert not got[1].needs_database and got[1].reason == "small talk"
+    assert got[2].keywords == ["الملك"] and got[2].reason == "READ-only Arabic retrieval plan"
+    turns = spark.createDataFrame([("what is this", "eA==", False), ("hello", "", True)], "text string, pdf_data_base64 string, use_knowledge_base boolean")
+    assert [r.task_plan_summary.split(" ")[0] + r.agent_route for r in questions.decisions(turns).collect()] == ["Retrievequery_documents", "Databasecall_model"]
+
+
+def test_event_json_and_evaluation(spark):
+    e = spark.createDataFrame([('{"metadata": {"langgraph_node": "plan"}, "name": "x", "data": {"output": {"a": 1}}}', '[{"text": "a"}, "b", {"x": 1}]'), ('{"name": "x", "data": {"output": [1]}}', '" hi "'), ("{}", "plain")], "e string, m string")
+    got = e.select(events.event_node(F.col("e")).alias("n"), events.event_output(F.col("e")).alias("o"), events.message_text(F.col("m")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("plan", '{"a":1}', "a\nb"), ("x", '{"output":[1]}', "hi"), (None, "{}", "plain")]
+    cases = spark.createDataFrame([(1, ["spice"]), (2, ["spice"]), (3, ["x"])], "qid int, expect_any array<string>")
+    hits = spark.createDataFrame([(1, 1, "no"), (1, 2, "spices"), (2, 1, "none")], "query_id int, rank int, text string")
+    assert {r.qid: r.passed for r in evaluation.evaluated(cases, hits).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_run_events(spark):
     t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     rows = [("r", "plan", "start", t(1)), ("r", "plan", "start", t(1)), ("r", "plan", "end", t(2)), ("r", "query", "start", t(3))]
