@@ -83,19 +83,16 @@ def test_collections_record_their_size_and_compact(spark, tmp_path):
         open_store(spark, "other")
 
 
-def test_questions(spark, tmp_path):
-    pages = spark.createDataFrame([("f1", "cats.txt", 1, "The cat sat on the mat and purred loudly all day.", ""), ("f2", "ships.txt", 1, "A ship crossed the ocean with a cargo of spices.", "")], "fingerprint string, filename string, page_number int, text string, html string")
-    retrieve.build_index(pages).write.parquet(f"file://{tmp_path}/chunks")
-    chunks = spark.read.parquet(f"file://{tmp_path}/chunks")
+def test_questions(spark):
+    hits = spark.createDataFrame([(1, 1, "ships.txt", 1, 1, 0.4, "A ship crossed the ocean with a cargo of spices."), (1, 2, "cats.txt", 1, 1, 0.1, "The cat purred."), (3, 1, "cats.txt", 1, 1, 0.1, "The cat purred.")], "query_id long, rank int, filename string, page_start int, page_end int, score double, text string")
     q = spark.createDataFrame([(1, "Which ship had a cargo of spices?"), (2, "  "), (3, "quantum chromodynamics lagrangian")], "query_id long, question string")
-    got = {r.query_id: r for r in questions.document_questions(chunks, q).collect()}
-    assert "A ship crossed the ocean with a cargo of spices. [1]" in got[1].answer and "used: [1]" in got[1].answer and "ships.txt" in got[1].answer
-    assert got[2].answer.startswith("The answer cannot be determined") and got[2].used == [] and got[3].used == []
     judge = lambda question, context: F.lit('{"sources": [{"index": 1, "verdict": "RELEVANT"}]}')
     reply = lambda question, analysis, language, places: F.concat(F.lit("By model, "), language, F.lit(": "), places, F.lit("\n\nSources: mine"))
-    told = {r.query_id: r for r in questions.knowledge_questions(chunks, q, judge=judge, answer=reply).collect()}
-    assert told[1].answer.startswith("By model, en: [1] ships.txt p.1") and "Sources: mine" not in told[1].answer
-    assert questions.knowledge_questions(None, q).where("query_id = 1").first().answer.startswith("Not enough information")
+    told = {r.query_id: r for r in questions.answered(hits, q, judge, reply).collect()}
+    assert told[1].answer.startswith("By model, en: [1] ships.txt p.1, [2] cats.txt p.1") and "Sources: mine" not in told[1].answer
+    assert told[2].answer.startswith("The answer cannot be determined") and told[2].used == []
+    got = {r.query_id: r for r in questions.answered(hits, q).collect()}
+    assert got[1].answer.startswith("A ship crossed the ocean with a cargo of spices. [1]") and "used: [1]" in got[1].answer and got[3].used == []
 
 
 def test_plans_by_a_model_and_decisions(spark):
