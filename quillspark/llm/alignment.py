@@ -5,8 +5,9 @@ come again and again, so groups are interned: blocks of documents list their dis
 all blocks are summed into one dictionary, links are made once for each distinct group and multiplied by its frequency,
 and what a group is worth goes back to the blocks that hold it, by group key.
 
-Texts are cut before a space or line feed that follows a character that is no white space: no token of either vocabulary
-crosses such a place (B: checked when it is loaded), so a distinct chunk is encoded once per worker.
+Texts are cut before a space or line feed that follows a character that is no white space, and between a Latin letter and
+ASCII punctuation: no token of either vocabulary crosses such a place (B: checked when it is loaded), so a distinct chunk
+is encoded once per worker.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of text in a block, and chunks that a worker remembers.
 BLOCK, REMEMBERED = 8 << 20, 300_000
 
-#: A space or line feed, and all up to the next one that follows no white space.
-_WHITE = "\\s\u180e\u200b\ufeff"
-CHUNK = re.compile(f"[ \n][^ \n]*(?:(?<=[{_WHITE}])[ \n][^ \n]*)*")
+_WHITE, _LETTER, _MARK = "\\s\u180e\u200b\ufeff", "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
+#: From one place where texts are cut to the next.
+CHUNK = re.compile(f"(?s:.)(?:[^ \n{_MARK}]+|(?<=[{_WHITE}])[ \n]|(?<![{_LETTER}])[{_MARK}])*")
+#: What no piece of B may have: letters before a space or line feed, or a letter before punctuation.
+CROSSING = re.compile(f"[^▁]▁|\n|[{_LETTER}][{_MARK}]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,41 +62,40 @@ class Vocabularies:
         entries = [self.a.id_to_token(i) or "" for i in range(size)]
         self.a_bytes = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(re.search("[^▁]▁|\n", p) for p in pieces):
+        if any(CROSSING.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))):
             raise ValueError("pieces of this vocabulary cross the places where texts are cut")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
 
     def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of chunks as ``CHUNK`` cuts them. B puts a space before whatever it gets, which stands for a chunk's own
-        first space and is taken away again before a line feed."""
+        first space. Other chunks are given to B behind a line feed, whose token joins no other; both are taken away."""
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [(x, ([self.space] if c == " " else y) if c[0] == " " else y[1:]) for c, x, y in zip(chunks, a, b, strict=True)]
+        extra = [0 if c[0] == " " else 1 if c[0] == "\n" else 2 for c in chunks]
+        b = self.b.encode([c[1:] if n == 0 else c if n == 1 else "\n" + c for c, n in zip(chunks, extra, strict=True)], num_threads=1)
+        return [(x, [self.space] if c == " " else y[n:]) for c, x, y, n in zip(chunks, a, b, extra, strict=True)]
 
-    def groups(self, chunk: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The chunk's groups; None if the tokens of A or B do not spell it."""
+    def groups(self, chunk: str, a: list[int], b: list[int]) -> list[str] | None:
+        """The keys ``a1,a2|b1`` of the chunk's groups; None if the tokens of A or B do not spell it."""
         whole = chunk.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        out, i, j, x, y, first_a, first_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            x += len(self.a_bytes[a[i]])
-            i += 1
-            while y < x:
-                y += len(self.b_bytes[b[j]])
+        if len(a) == 1 or len(b) == 1:
+            return [f"{','.join(map(str, a))}|{','.join(map(str, b))}"]
+        out, j, ahead, first_b, held = [], 0, 0, 0, ""  # ahead: bytes that A has before B
+        for i in a:
+            ahead += self.a_size[i]
+            while ahead > 0:
+                ahead -= self.b_size[b[j]]
                 j += 1
-            if x == y:
-                out.append((a[first_a:i], b[first_b:j]))
-                first_a, first_b = i, j
+            held = f"{held},{i}" if held else str(i)
+            if not ahead:
+                out.append(f"{held}|{','.join(map(str, b[first_b:j]))}")
+                first_b, held = j, ""
         return out
 
 
-def spelled(a: list[int], b: list[int]) -> str:
-    """The key of a group: ``a1,a2|b1``."""
-    return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-
-
 def grown(old: np.ndarray, size: int) -> np.ndarray:
     return old if size <= len(old) else np.resize(old, max(2 * len(old), size))
 
@@ -132,7 +134,7 @@ class GroupCache:
             found = self.v.groups(chunk, a, b)
             if found is None:
                 self.unspelled.add(number)
-            keys = [spelled(*g) for g in found or ()]
+            keys = found or []
             self.names.append(";".join(keys).encode())
             self.sizes[number] = len(a), len(b)
             new += [self.groups.setdefault(k, len(self.groups)) for k in keys]
@@ -140,20 +142,16 @@ class GroupCache:
         self.members = grown(self.members, at + len(new))
         self.members[at : at + len(new)] = new
 
-    def look_up(self, text: str) -> list[int] | None:
-        """Numbers of the chunks of a text; None if it is empty or its tokens do not spell it."""
-        if not text:
-            return None
-        parts = CHUNK.findall(" " + text)
+    def look_up(self, several: list[str]) -> list[np.ndarray | None]:
+        """For each text the numbers of its chunks; None if it is empty or its tokens do not spell it."""
+        parts = [CHUNK.findall(" " + t) if t else [] for t in several]
         known = self.known
-        index = list(map(known.get, parts, repeat(-1)))
-        if -1 in index:
-            before = len(known)
-            for c in parts:
-                known.setdefault(c, len(known))
-            self._learn(list(islice(known, before, None)))
-            index = list(map(known.__getitem__, parts))
-        return None if self.unspelled and not self.unspelled.isdisjoint(index) else index
+        new = list(dict.fromkeys(c for p in parts for c in p if c not in known))
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self._learn(new)
+        found = [np.fromiter(map(known.__getitem__, p), np.int64, len(p)) for p in parts]
+        return [None if not len(x) or self.unspelled and not self.unspelled.isdisjoint(x.tolist()) else x for x in found]
 
     def members_of(self, at: np.ndarray) -> np.ndarray:
         """Group numbers of chunks, one after the other."""
@@ -207,21 +205,20 @@ def _encoded(a_path: str, b_path: str):
         cache, docs, held, number = _caches[key], [], 0, TaskContext.get().partitionId() << 32
         cache.trim()
         for b in slices(batches):
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                index = cache.look_up(t)
-                if index is None:
+            several = b.column("text").to_pylist()
+            for doc_id, t, at in zip(b.column("doc_id").to_pylist(), several, cache.look_up(several), strict=True):
+                if at is None:
                     docs.append((doc_id, (0, 0), 0, none, none, ""))
                 else:
-                    at = np.array(index)
                     members = cache.members_of(at)
                     groups, times = np.unique(members, return_counts=True)
-                    digest = hashlib.sha256(b";".join(map(cache.names.__getitem__, index))).hexdigest()
+                    digest = hashlib.sha256(b";".join(map(cache.names.__getitem__, at.tolist()))).hexdigest()
                     docs.append((doc_id, tuple(cache.sizes[at].sum(axis=0).tolist()), len(members), groups, times, digest))
                 held += len(t) + 256
-                if held >= BLOCK:
-                    yield _block_row(number, docs, cache)
-                    docs, held, number = [], 0, number + 1
-                    cache.trim()
+            if held >= BLOCK:
+                yield _block_row(number, docs, cache)
+                docs, held, number = [], 0, number + 1
+                cache.trim()
         if docs:
             yield _block_row(number, docs, cache)
         freed()

@@ -148,7 +148,7 @@ def test_alignment_of_documents(spark):
 def test_a_small_cache_changes_nothing(spark):
     v = Vocabularies(A, B)
     large, small = GroupCache(v), GroupCache(v, most=40, room=300)
-    told = lambda c, t: None if (i := c.look_up(t)) is None else (b";".join(c.names[k] for k in i), [list(c.groups)[k] for k in c.members_of(np.array(i))])
+    told = lambda c, t: None if (i := c.look_up([t])[0]) is None else (b";".join(c.names[k] for k in i), [list(c.groups)[k] for k in c.members_of(i)])
     for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect():
         assert told(large, r.text[:2000]) == told(small, r.text[:2000])
         small.trim()
