@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +26,51 @@ def passes_fingerprint(blob: Column, fingerprint: Column, expect_any: Column) ->
     return F.coalesce(F.when(F.length(fp) > 0, found), F.lit(False)) | passes(blob, expect_any)
 
 
+#: Characters of the tokens of one automaton.
+AUTOMATON = 4 << 20
+
+
+def token_blocks(tokens: DataFrame, most: int = AUTOMATON) -> Iterator[list[str]]:
+    """The distinct, non-empty texts of ``tokens`` (token) in blocks of at most ``most`` characters (one at least); the
+    driver holds a block at a time."""
+    block, size = [], 0
+    for r in tokens.where(F.coalesce(F.length("token"), F.lit(0)) > 0).select("token").distinct().toLocalIterator():
+        if block and size + len(r.token) > most:
+            yield block
+            block, size = [], 0
+        block.append(r.token)
+        size += len(r.token)
+    if block:
+        yield block
+
+
+def found_tokens(chunks: DataFrame, tokens: list[str]) -> DataFrame:
+    """token: those of ``tokens`` that some text holds. One automaton for all of them reads each text once; a task reports
+    a token once, and stops looking for what it has found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, left = ahocorasick.Automaton(), set(range(len(tokens)))
+        for i, t in enumerate(tokens):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        for b in batches:
+            seen = set()
+            for t in b.column("text").to_pylist():
+                if left and t:
+                    seen.update(i for _, i in automaton.iter(t) if i in left)
+            left -= seen
+            yield pa.RecordBatch.from_pydict({"token": pa.array([tokens[i] for i in seen], pa.string())})
+
+    return chunks.select("text").mapInArrow(run, "token string").distinct()
+
+
 def grounded(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cases with an expected token in some chunk. Cases are a bounded query set and go to the chunks; each task
-    reports a case once."""
+    """Cases (qid, expect_any) with an expected token in some chunk (text). Tokens go to the texts in blocks of bounded
+    size, one automaton each; an empty or null token is in no text. A case set of many blocks reads the texts once for
+    each."""
     tokens = cases.select("qid", F.explode("expect_any").alias("token"))
-    hit = chunks.select("text").crossJoin(F.broadcast(tokens)).where(F.contains("text", F.col("token"))).select("qid").distinct()
-    return cases.join(hit, "qid", "left_semi")
+    found = reduce(DataFrame.unionByName, (found_tokens(chunks, block) for block in token_blocks(tokens)), tokens.select("token").where("false"))
+    return cases.join(tokens.join(found, "token", "left_semi").select("qid").distinct(), "qid", "left_semi")
 
 
 def evaluated(cases: DataFrame, hits: DataFrame, fold: bool = False) -> DataFrame:

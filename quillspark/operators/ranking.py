@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import vectors as V
+from quillspark import tables
+from quillspark.functions import text as T
 
 #: Queries up to so many rows (counted at run time) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 10_000
@@ -21,9 +27,25 @@ def small(df: DataFrame, known: bool | None = None) -> DataFrame:
     return F.broadcast(df) if (fits(df) if known is None else known) else df
 
 
+def postings(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens", *also: str) -> DataFrame:
+    """key, dl (number of tokens), terms (array of term and tf) and the columns ``also``. A document's tokens are sorted
+    and counted within its own row: nothing is shuffled."""
+    d = T.settled(docs.select(key, *also, F.coalesce(tokens, F.array().cast("array<string>")).alias("_t")), "_s", F.sort_array("_t"))
+    n = F.size("_s")
+    first = lambda i: (i == 0) | (F.get(F.col("_s"), i) != F.get(F.col("_s"), i - 1))
+    d = T.settled(d.drop("_t"), "_at", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), first)).otherwise(F.array().cast("array<int>")))
+    term = lambda p, i: F.struct(F.get(F.col("_s"), p).alias("term"), (F.coalesce(F.get(F.col("_at"), i + 1), n) - p).cast("long").alias("tf"))
+    return d.select(key, *also, n.alias("dl"), F.transform("_at", term).alias("terms"))
+
+
+def indexed(docs: DataFrame, key: str = "doc_id", *also: str) -> DataFrame:
+    """Postings as a stored table: texts are tokenised and counted once, whatever reads them. A table of postings stays."""
+    return docs if "terms" in docs.columns else tables.written(postings(docs, key, "tokens", *also), "postings")
+
+
 def term_frequencies(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """key, term, tf."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return postings(docs, key, tokens).select(key, F.inline("terms"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -32,8 +54,9 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """One row: n documents, their mean length."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(tokens)), F.lit(0.0)).alias("avgdl"))
+    """One row: n documents, their mean length; of documents with tokens or of postings."""
+    size = F.col("dl") if "dl" in docs.columns else F.size(tokens)
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -45,22 +68,23 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = 1.5, b: float
     return tf * (k1 + 1) / F.greatest(tf + k1 * (1 - b + b * dl / avgdl), F.lit(1e-9))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, also: tuple[str, ...] = ()) -> DataFrame:
     """query_id, key, bm25 of documents that share a term with a query; others score 0 and are left out.
 
-    ``docs`` has key and tokens, ``queries`` query_id and tokens. A term that a query repeats counts each time.
-    Statistics cover all documents; only terms that some query has are counted, filtered before the shuffle."""
+    ``docs`` has key and tokens, or is a table of postings (``indexed``); ``queries`` has query_id and tokens. A term that
+    a query repeats counts each time. Statistics cover all documents; only terms that some query has are counted,
+    filtered before the shuffle. Columns ``also`` of a document stand beside its score."""
+    docs = indexed(docs, key, *also)
     wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = fits(wanted)
     terms = small(wanted.select("term").distinct(), few)
-    hits = docs.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    tf = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    tf = docs.select(key, *also, "dl", F.inline("terms")).join(terms, "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = wanted.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
     scored = tf.join(small(weighted, few), "term")  # one row for each of ``wanted`` at most
     part = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    return scored.groupBy("query_id", key).agg(F.sum(part).alias("bm25"))
+    return scored.groupBy("query_id", key, *also).agg(F.sum(part).alias("bm25"))
 
 
 def bm25_of_candidates(candidates: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -82,20 +106,116 @@ def top_k(scored: DataFrame, score: str, k: int, *ties: str, rank: str = "rank")
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", metric: str = "cosine") -> DataFrame:
-    """query_id, key, score of every vector for every query of a bounded batch. Queries go to the vectors; they are a
-    stated query set against all rows."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    q = q.withColumn("q", V.normalized(F.col("q"))) if metric == "cosine" else q
-    e = V.normalized(F.col("embedding")) if metric == "cosine" else F.col("embedding")
-    return vectors.select(key, e.alias("e")).crossJoin(F.broadcast(q)).select("query_id", key, V.dot(F.col("e"), F.col("q")).alias("score"))
+#: Rows of a block of vectors, and of queries that meet it in one matrix product.
+VECTORS, QUERIES = 4096, 1024
+#: Query blocks that are broadcast (1024 vectors each); with more, blocks meet by a shuffle. Rows that a task keeps.
+BROADCAST_BLOCKS, KEPT = 16, 200_000
+#: Scores are rounded to so many decimals before they are ranked, so that copies tie whatever order sums were made in.
+DIGITS = 6
+
+
+def _packed(df: DataFrame, columns: dict[str, str], size: int, unit: bool) -> DataFrame:
+    """Blocks of at most ``size`` rows: the ``columns`` (name: type) as arrays, the vectors as one matrix. Nothing moves."""
+    types = {c: f"array<{t}>" for c, t in columns.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                b = batch.slice(lo, size)
+                rows = [np.asarray(x if x is not None else [], np.float64) for x in b.column("embedding").to_pylist()]
+                m = np.zeros((len(rows), max(map(len, rows))))
+                for i, r in enumerate(rows):
+                    m[i, : len(r)] = np.nan_to_num(r)
+                if unit:
+                    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), b.column(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()])], names=[*columns, "places", "matrix"])
+
+    return df.select(*columns, "embedding").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()) + ", places int, matrix binary")
+
+
+def _best(scores: np.ndarray, order: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k of each group: greatest score, then least ``order``."""
+    some = np.arange(len(scores))
+    if len(scores) > k and groups.min() == groups.max():
+        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    some = some[np.lexsort((order[some], -scores[some], groups[some]))]
+    g = groups[some]
+    begins = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return some[np.arange(len(g)) - np.repeat(begins, np.diff(np.r_[begins, len(g)])) < k]
+
+
+def _ranks(a: pa.Array) -> np.ndarray:
+    return pc.rank(a, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", metric: str = "cosine", by: str | None = None, rank: str = "rank") -> DataFrame:
+    """query_id, key, score and rank of the best k vectors for each query (``by``: of each group of vectors, which
+    follows the key): greatest score, rounded to six decimals, then least key. A null vector counts as zero.
+
+    ``queries`` (query_id, embedding) are a stated set against all ``vectors`` (key, embedding). Both come in blocks; a
+    pair of blocks is one matrix product. A task goes on with the best rows it has seen, so what is shuffled is k rows a
+    query and task, not a row for each pair."""
+    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, key))} | {"group": vectors.schema[by].dataType.simpleString() if by else "int"}
+    v = _packed(vectors.select(F.col(key).alias("key"), (F.col(by) if by else F.lit(0)).alias("group"), "embedding"), {"key": kind[key], "group": kind["group"]}, VECTORS, metric == "cosine")
+    q = tables.written(_packed(queries, {"query_id": kind["query_id"]}, QUERIES, metric == "cosine"), "query-blocks")
+    few = q.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    q = q.select("query_id", F.col("places").alias("q_places"), F.col("matrix").alias("q_matrix"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        emit = lambda: (pa.RecordBatch.from_arrays([pa.array([name] * len(s), b.schema.field("query_id").type.value_type), n, g, pa.array(s)], names=["query_id", "key", "group", "score"]) for name, (s, n, g) in held.items())
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, groups, names = b.column("key")[i].values, b.column("group")[i].values, b.column("query_id")[i].values
+                m, n = (np.frombuffer(b.column(c)[i].as_py(), np.float64).reshape(rows, -1) for c, rows in (("matrix", len(keys)), ("q_matrix", len(names))))
+                d = min(m.shape[1], n.shape[1])  # places beyond a shorter vector's are zeros
+                scores, order, kinds = np.round(n[:, :d] @ m[:, :d].T, DIGITS) + 0.0, _ranks(keys), _ranks(groups)
+                for row, name in zip(scores, names.to_pylist(), strict=True):
+                    top = _best(row, order, kinds, k)
+                    s, x, g = row[top], keys.take(pa.array(top)), groups.take(pa.array(top))
+                    if name in held:
+                        s, x, g = np.concatenate([held[name][0], s]), pa.concat_arrays([held[name][1], x]), pa.concat_arrays([held[name][2], g])
+                        top = _best(s, _ranks(x), _ranks(g), k)
+                        s, x, g = s[top], x.take(pa.array(top)), g.take(pa.array(top))
+                    held[name] = s, x, g
+                if sum(len(x[0]) for x in held.values()) > KEPT:
+                    yield from emit()
+                    held.clear()
+        yield from emit()
+
+    pairs = v.crossJoin(F.broadcast(q) if few else q)
+    out = pairs.mapInArrow(run, f"query_id {kind['query_id']}, key {kind[key]}, group {kind['group']}, score double")
+    w = Window.partitionBy("query_id", *(["group"] if by else [])).orderBy(F.col("score").desc(), "key")
+    out = out.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return out.select("query_id", F.col("key").alias(key), *([F.col("group").alias(by)] if by else []), "score", rank)
+
+
+#: Steps of a search in a sorted array: arrays of fewer than 2^17 elements.
+STEPS = [1 << i for i in range(16, -1, -1)]
+
+
+def count_before(rows: DataFrame, marks: DataFrame, by: list[str], key: Column) -> DataFrame:
+    """by, mark and before: for each distinct key of ``marks`` how many ``rows`` of its group have a smaller one.
+
+    The marks of a group (the hits of a question, say) are one sorted array; a row finds its place among them by halving,
+    and only counts by place are shuffled. Groups of any size are fine, a group has fewer than 2^17 marks."""
+    lists = marks.groupBy(*by).agg(F.sort_array(F.collect_set(key)).alias("_marks"))
+    d = rows.select(*by, key.alias("_key")).join(small(lists), by)
+    further = lambda at, step: (at + step <= F.size("_marks")) & (F.get(F.col("_marks"), at + step - 1) <= F.col("_key"))
+    place = F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+    counts = d.groupBy(*by, place.alias("_place")).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.collect_list(F.struct("_place", "_n")).alias("_counts"))
+    found = lists.join(counts, by, "left").select(*by, "_counts", F.posexplode("_marks").alias("_i", "mark"))
+    before = F.aggregate(F.coalesce("_counts", F.array().cast("array<struct<_place:int,_n:bigint>>")), F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["_place"] <= F.col("_i"), x["_n"]).otherwise(0))
+    return found.select(*by, "mark", before.alias("before"))
 
 
 def min_max(scored: DataFrame, score: str, out: str, *by: str) -> DataFrame:
-    """Scores of a group scaled to 0..1; all 0 where they are equal."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return scored.withColumn(out, F.when(hi - lo < 1e-12, 0.0).otherwise((F.col(score) - lo) / (hi - lo)))
+    """Scores of a group scaled to 0..1; all 0 where they are equal. Extremes are aggregated before they are shuffled."""
+    ends = scored.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return scored.join(ends, list(by)).withColumn(out, F.when(hi - lo < 1e-12, 0.0).otherwise((F.col(score) - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
 def rrf(ranked: list[DataFrame], key: str = "doc_id", k: int = 60) -> DataFrame:
@@ -142,8 +262,8 @@ def rerank(hits: DataFrame, k: int, overlap: Column, semantic_weight: float = 0.
 
 def overlap_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, key, overlap of every document that shares a token with a query: ``lexical_overlap`` of the token
-    sets, by a join on tokens instead of a product of queries and documents."""
+    sets, by a join on tokens instead of a product of queries and documents. ``docs`` as for ``bm25``."""
     q = queries.select("query_id", F.array_distinct("tokens").alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
-    d = docs.select(key, F.array_distinct("tokens").alias("t")).select(key, F.size("t").alias("nd"), F.explode("t").alias("term"))
+    d = indexed(docs, key).select(key, F.size("terms").alias("nd"), F.inline("terms")).drop("tf")
     both = d.join(small(q), "term").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
     return both.select("query_id", key, (F.col("n") / F.sqrt(F.col("nq").cast("double") * F.col("nd"))).alias("overlap"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import tables
 from quillspark.config import Options
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
@@ -16,13 +17,15 @@ def with_tokens(df: DataFrame, compat: bool = False) -> DataFrame:
     return T.settled(df, "tokens", T.tokenize(F.col("text"), compat))
 
 
-def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fetch: int, options: Options, filters: dict) -> DataFrame:
-    """Ranked rows of chunk data: filters, cut, threshold, then rerank or the first k."""
+def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fetch: int, options: Options, filters: dict, scope: str) -> DataFrame:
+    """Ranked rows of chunk data: filters, cut, threshold, then rerank or the first k; with the ways they were found."""
     hits = fused.join(chunks.drop("tokens", "embedding"), "chunk_id")
     hits = R.metadata_filter(hits, **filters) if filters else hits
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), "sparse_rank")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(fetch, k))
     hits = R.min_score(hits, options.min_score)
+    hybrid = options.retrieval_mode == "hybrid"
+    hits = hits.withColumns({"retrieval": F.lit(f"hybrid-{scope}" if hybrid else "semantic"), "fusion": F.lit(options.fusion if hybrid else "none"), "reranked": F.lit(options.enable_rerank)})
     if not options.enable_rerank:
         # Ranks close up after the threshold.
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
@@ -31,8 +34,56 @@ def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fet
     return R.rerank(hits, k, R.lexical_overlap(F.col("_q"), T.rerank_tokens(F.col("text"))), options.rerank_semantic_weight, options.rerank_lexical_weight).drop("_q")
 
 
+def _corpus_fusion(dense: DataFrame, chunks: DataFrame, queries: DataFrame, fetch: int, options: Options, filters: dict) -> DataFrame:
+    """Fused scores of all chunks that can be among the first ``fetch``, as if every chunk stood in the second list:
+    by BM25, then ordinal and chunk_id, those without a shared term last.
+
+    Only chunks with a shared term are scored. A chunk's place in the second list is a count of what stands before it
+    (``count_before``), so neither a product of chunks and questions nor a sort of all chunks is made. What is neither in
+    the first list nor among the first 2 * fetch of the second cannot be among the first ``fetch`` of both."""
+    known = ["chunk_id", "ordinal"]
+    postings = R.indexed(chunks.select(*known, "tokens"), "chunk_id", "ordinal")
+    scored = tables.written(R.bm25(postings, queries, "chunk_id", options.bm25_k1, options.bm25_b, ("ordinal",)).withColumn("bm25", F.round("bm25", R.DIGITS)), "scored")
+    allowed = R.metadata_filter(chunks, **filters).select(*known) if filters else chunks.select(*known)
+    best = scored.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if filters else scored
+    by_score = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), *known)
+    first = best.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= 2 * fetch).select("query_id", *known)
+    # Questions with few scored chunks also need the first of the others; 4 * fetch chunks hold enough of them.
+    total = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"), F.min("bm25").alias("lo"), F.max("bm25").alias("hi"))
+    total = queries.select("query_id").join(total, "query_id", "left").select("query_id", F.coalesce("scored", F.lit(0)).alias("scored"), "lo", "hi")
+    others = allowed.orderBy("ordinal", "chunk_id").limit(4 * fetch).withColumn("_all", F.lit(0))
+    if filters:
+        short = total.join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").where(F.coalesce("_n", F.lit(0)) < 2 * fetch)
+    else:
+        short = total.where(F.col("scored") < 2 * fetch)
+    others = short.select("query_id", F.lit(0).alias("_all")).join(F.broadcast(others), "_all").select("query_id", *known)
+    near = dense.select("query_id", "chunk_id").join(chunks.select(*known), "chunk_id").select("query_id", *known)
+    candidates = near.unionByName(first).unionByName(others).distinct().join(scored.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "left")
+    candidates = tables.written(candidates, "candidates")
+
+    n = postings.count()
+    hit, rest = candidates.where("bm25 is not null"), candidates.where("bm25 is null")
+    by_place, by_score = F.struct("ordinal", "chunk_id"), F.struct((-F.col("bm25")).alias("s"), "ordinal", "chunk_id")
+    before = R.count_before(scored, hit, ["query_id"], by_score).select("query_id", F.col("mark.chunk_id").alias("chunk_id"), (F.col("before") + 1).alias("sparse_rank"))
+    ranked = hit.join(before, ["query_id", "chunk_id"])
+    # Of the others: all scored chunks, then the chunks before it that are not scored.
+    smaller = chunks.groupBy("ordinal").agg(F.count(F.lit(1)).alias("_n")).withColumn("_smaller", F.sum("_n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)))
+    same = R.count_before(chunks.select("ordinal", "chunk_id"), rest, ["ordinal"], F.col("chunk_id")).select("ordinal", F.col("mark").alias("chunk_id"), F.col("before").alias("_same"))
+    taken = R.count_before(scored, rest, ["query_id"], by_place).select("query_id", F.col("mark.chunk_id").alias("chunk_id"), F.col("before").alias("_taken"))
+    rest = rest.join(same, ["ordinal", "chunk_id"]).join(F.broadcast(smaller.select("ordinal", F.coalesce("_smaller", F.lit(0)).alias("_smaller"))), "ordinal").join(taken, ["query_id", "chunk_id"]).join(total.select("query_id", "scored"), "query_id")
+    rest = rest.select("query_id", "chunk_id", "bm25", (F.col("scored") + 1 + F.col("_smaller") + F.col("_same") - F.col("_taken")).alias("sparse_rank"))
+    sparse = ranked.select("query_id", "chunk_id", "bm25", "sparse_rank").unionByName(rest).join(dense.select("query_id", "chunk_id", "dense_rank", F.col("score").alias("dense")), ["query_id", "chunk_id"], "left")
+    if options.fusion == "rrf":
+        score = F.coalesce(1.0 / (options.rrf_k + F.col("dense_rank")), F.lit(0.0)) + 1.0 / (options.rrf_k + F.col("sparse_rank"))
+        return sparse.select("query_id", "chunk_id", score.alias("score"), "dense_rank", "sparse_rank")
+    lo, hi = F.when(F.col("scored") < n, 0.0).otherwise(F.col("lo")), F.coalesce("hi", F.lit(0.0))
+    scaled = F.when(hi - lo < 1e-12, 0.0).otherwise((F.coalesce("bm25", F.lit(0.0)) - lo) / (hi - lo))
+    score = options.semantic_weight * F.coalesce("dense", F.lit(0.0)) + options.bm25_weight * scaled
+    return sparse.join(total, "query_id").select("query_id", "chunk_id", score.alias("score"), "dense_rank", "sparse_rank")
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options(), k: int | None = None, scope: str = "corpus", **filters) -> DataFrame:
-    """query_id, rank, chunk data and score of the best k chunks.
+    """query_id, rank, chunk data and score of the best k chunks, with retrieval, fusion and reranked: how they were found.
 
     ``chunks``: chunk_id, ordinal, text, filename, page_start, page_end, tokens, embedding; ``queries``: query_id, text,
     tokens, embedding. ``scope="corpus"``: BM25 over every chunk, fused with the dense candidates; ``"candidates"``:
@@ -40,26 +91,19 @@ def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options()
     applied after fusion."""
     k = k or options.top_k
     fetch = max(k * options.candidate_multiplier, k)
-    dense = R.top_k(R.dense_scores(chunks.select("chunk_id", "embedding"), queries, "chunk_id"), "score", fetch, "chunk_id", rank="dense_rank")
+    dense = tables.written(R.dense_top_k(chunks.select("chunk_id", "embedding"), queries, fetch, "chunk_id", rank="dense_rank"), "dense")
     if options.retrieval_mode != "hybrid":
-        return _finish(dense.withColumn("sparse_rank", F.lit(0)), chunks, queries, k, fetch, options, filters)
-    if scope == "candidates":
-        candidates = dense.select("query_id", "chunk_id").join(chunks.select("chunk_id", "tokens"), "chunk_id")
-        sparse = R.bm25_of_candidates(candidates, queries, "chunk_id").join(dense.select("query_id", "chunk_id", "dense_rank"), ["query_id", "chunk_id"])
-        order = [F.col("bm25").desc(), F.col("dense_rank").asc()]
-    else:
-        # Every chunk has a place in the second list; those without a shared term follow in their own order.
-        scores = R.bm25(chunks.select("chunk_id", "tokens"), queries, "chunk_id")
-        every = chunks.select("chunk_id", "ordinal").crossJoin(F.broadcast(queries.select("query_id")))
-        sparse = every.join(scores, ["query_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-        order = [F.col("bm25").desc(), F.col("ordinal").asc(), F.col("chunk_id").asc()]
-    sparse = sparse.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        return _finish(dense.withColumn("sparse_rank", F.lit(0)), chunks, queries, k, fetch, options, filters, scope)
+    if scope != "candidates":
+        return _finish(_corpus_fusion(dense, chunks, queries, fetch, options, filters), chunks, queries, k, fetch, options, filters, scope)
+    candidates = dense.select("query_id", "chunk_id").join(chunks.select("chunk_id", "tokens"), "chunk_id")
+    sparse = R.bm25_of_candidates(candidates, queries, "chunk_id").join(dense.select("query_id", "chunk_id", "dense_rank"), ["query_id", "chunk_id"])
+    sparse = sparse.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "dense_rank")))
     if options.fusion == "rrf":
         fused = R.rrf([dense.withColumnRenamed("dense_rank", "rank"), sparse.withColumnRenamed("sparse_rank", "rank")], "chunk_id", options.rrf_k)
     else:
         fused = R.weighted_fusion(dense, sparse, "chunk_id", options.semantic_weight, options.bm25_weight)
-    ranks = sparse.select("query_id", "chunk_id", "sparse_rank").join(dense.select("query_id", "chunk_id", "dense_rank"), ["query_id", "chunk_id"], "left")
-    return _finish(fused.join(ranks, ["query_id", "chunk_id"]), chunks, queries, k, fetch, options, filters)
+    return _finish(fused.join(sparse.select("query_id", "chunk_id", "dense_rank", "sparse_rank"), ["query_id", "chunk_id"]), chunks, queries, k, fetch, options, filters, scope)
 
 
 def build_index(pages: DataFrame, options: Options = Options(), embed=None) -> DataFrame:

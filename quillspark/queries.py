@@ -123,7 +123,7 @@ def bm25_candidates_scope(spark, sf_dir):
 )
 def rrf_fuse_topk(spark, sf_dir):
     """The flagship: BM25 and lexical overlap for every benchmark passage, fused by reciprocal ranks."""
-    d, q = docs_tokens(spark, sf_dir), bench_queries(spark, sf_dir)
+    d, q = R.indexed(docs_tokens(spark, sf_dir)), bench_queries(spark, sf_dir)
     a = R.top_k(R.bm25(d, q).withColumn("bm25", F.round("bm25", 6)), "bm25", 120, "doc_id")
     b = R.top_k(R.overlap_scores(d, q).withColumn("overlap", F.round("overlap", 6)), "overlap", 120, "doc_id")
     fused = R.rrf([a, b]).withColumn("score", F.round("score", 9))
@@ -196,9 +196,9 @@ def anti_unseen(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(seen, "doc_id", "left_anti")
 
 
-@query("SELECT item_id AS qid FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, substr(b.text, 11, 40)))")
+@query("SELECT item_id AS qid FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def semi_grounded_cases(spark, sf_dir):
-    cases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.substring("text", 11, 40)).alias("expect_any"))
+    cases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("expect_any"))
     return evaluation.grounded(cases, read(spark, sf_dir, "documents")).select("qid")
 
 
@@ -206,28 +206,26 @@ def semi_grounded_cases(spark, sf_dir):
 _VQ = "WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS query_label FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, label, query_label, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q)"
 
 
-def _dense(spark, sf_dir, metric="cosine"):
+def _dense(spark, sf_dir, k, metric="cosine", by=None):
     """Every vector whose id is divisible by 20 is a query; all vectors are searched."""
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.dense_scores(e, q, metric=metric).withColumn("score", F.round("score", 6))
+    return R.dense_top_k(e, q, k, metric=metric, by=by)
 
 
 @query(f"{_VQ}, {_top('s', 'score', 8, 't', 'vec_id')} SELECT query_id, vec_id, score, rank::BIGINT AS rank FROM t")
 def cosine_topk(spark, sf_dir):
-    return R.top_k(_dense(spark, sf_dir), "score", 8, "vec_id").withColumn("rank", F.col("rank").cast("long"))
+    return _dense(spark, sf_dir, 8).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{_VQ.replace('list_cosine_similarity', 'list_inner_product')}, {_top('s', 'score', 8, 't', 'vec_id')} SELECT query_id, vec_id, score FROM t")
 def inner_product_topk(spark, sf_dir):
-    return R.top_k(_dense(spark, sf_dir, "dot"), "score", 8, "vec_id").select("query_id", "vec_id", "score")
+    return _dense(spark, sf_dir, 8, "dot").select("query_id", "vec_id", "score")
 
 
 @query(f"{_VQ}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, label, vec_id, score FROM t WHERE rank <= 3")
 def cosine_topk_per_label(spark, sf_dir):
-    s = _dense(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    w = Window.partitionBy("query_id", "label").orderBy(F.col("score").desc(), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "label", "vec_id", "score")
+    return _dense(spark, sf_dir, 3, by="label").select("query_id", "label", "vec_id", "score")
 
 
 @query("SELECT vec_id, i::INT AS i, round(embedding[i]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings, range(1, 65) r(i)")
@@ -238,7 +236,7 @@ def l2_normalize(spark, sf_dir):
 
 @query(f"{_VQ}, {_top('(SELECT * FROM s WHERE vec_id <> query_id)', 'score', 10, 't', 'vec_id')}, v AS (SELECT query_id, label, count(*) AS votes FROM t GROUP BY ALL) SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS n FROM v) WHERE n = 1")
 def knn_label_vote(spark, sf_dir):
-    near = R.top_k(_dense(spark, sf_dir).where("vec_id <> query_id"), "score", 10, "vec_id")
+    near = R.top_k(_dense(spark, sf_dir, 11).where("vec_id <> query_id").drop("rank"), "score", 10, "vec_id")
     votes = near.join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
     best = F.max_by(F.struct("label", "votes"), F.struct("votes", (-F.col("label")).alias("l")))
     return votes.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.label", "b.votes")
@@ -538,6 +536,48 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieve.retrieve(index, q, Options(), scope="candidates").select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "page_start", "page_end", "filename")
 
 
+_PLACES = "aeinrstu"
+_SHAPE = f"[{', '.join(f"length(lower(text)) - length(replace(lower(text), '{c}', ''))" for c in _PLACES)}]"
+
+
+def _shaped(spark, sf_dir, table, key):
+    """Texts with a vector of letter counts, which any engine can make."""
+    low = F.lower("text")
+    v = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _PLACES])
+    return T.settled(read(spark, sf_dir, table).select(F.col(key).alias("id"), "text", v.alias("embedding")), "tokens", T.tokenize(F.col("text"), compat=table == "benchmark"))
+
+
+def _corpus_hits(spark, sf_dir, options, **filters):
+    i = F.col("id")
+    chunks = _shaped(spark, sf_dir, "documents", "doc_id").select(i.cast("string").alias("chunk_id"), (i % 5).cast("int").alias("ordinal"), "text", F.concat(F.lit("file"), (i % 4).cast("string")).alias("filename"), (i % 7).cast("int").alias("page_start"), (i % 7).cast("int").alias("page_end"), "tokens", "embedding")
+    q = _shaped(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
+    hits = retrieve.retrieve(chunks, q, options, **filters)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "retrieval", "fusion")
+
+
+_RANKED = f"""{_BM25},
+    e AS (SELECT doc_id, {_SHAPE}::DOUBLE[] AS v FROM documents), qe AS (SELECT item_id AS query_id, {_SHAPE}::DOUBLE[] AS w FROM benchmark),
+    dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id::VARCHAR) AS dr FROM (SELECT query_id, doc_id, round(CASE WHEN list_inner_product(v, v) > 0 AND list_inner_product(w, w) > 0 THEN list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w))) ELSE 0 END, 6) AS dense FROM e, qe) QUALIFY dr <= 120),
+    al AS (SELECT query_id, doc_id, coalesce(bm25, 0) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(bm25, 0) DESC, doc_id % 5, doc_id::VARCHAR) AS sr, min(coalesce(bm25, 0)) OVER (PARTITION BY query_id) AS lo, max(coalesce(bm25, 0)) OVER (PARTITION BY query_id) AS hi FROM (SELECT query_id, doc_id FROM qe, documents) LEFT JOIN bm USING (query_id, doc_id)),
+    fu AS (SELECT query_id, doc_id, dr, sr, coalesce(1.0 / (60 + dr), 0) + 1.0 / (60 + sr) AS rrf, 0.7 * coalesce(dense, 0) + 0.3 * CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (bm25 - lo) / (hi - lo) END AS mix FROM al LEFT JOIN dn USING (query_id, doc_id))"""
+
+
+@query(f"WITH {_RANKED} SELECT query_id, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr NULLS LAST, sr) AS rank, round(rrf, 6) AS score, 'hybrid-corpus' AS retrieval, 'rrf' AS fusion FROM fu QUALIFY rank <= 8")
+def retrieve_corpus(spark, sf_dir):
+    """Hybrid retrieval over every document: each one has its place in both lists, though few are ranked."""
+    return _corpus_hits(spark, sf_dir, Options(enable_rerank=False))
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT * FROM fu WHERE doc_id % 4 = 1 AND (doc_id % 7 = 0 OR doc_id % 7 >= 2)) SELECT query_id, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr NULLS LAST, sr) AS rank, round(rrf, 6) AS score, 'hybrid-corpus' AS retrieval, 'rrf' AS fusion FROM f QUALIFY rank <= 8")
+def retrieve_corpus_filtered(spark, sf_dir):
+    return _corpus_hits(spark, sf_dir, Options(enable_rerank=False), filename="file1", page_from=2)
+
+
+@query(f"WITH {_RANKED} SELECT query_id, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mix, 9) DESC, dr NULLS LAST, sr) AS rank, round(mix, 6) AS score, 'hybrid-corpus' AS retrieval, 'weighted' AS fusion FROM fu QUALIFY rank <= 8")
+def retrieve_corpus_weighted(spark, sf_dir):
+    return _corpus_hits(spark, sf_dir, Options(enable_rerank=False, fusion="weighted"))
+
+
 # --- Evaluation -------------------------------------------------------------------------------------------------
 @query("SELECT coalesce(lang, 'overall') AS theme, count(*) FILTER (quality = 1) AS passed, count(*) AS total, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS score, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) >= 0.9 AS ok FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
 def eval_by_theme(spark, sf_dir):
