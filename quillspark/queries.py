@@ -17,6 +17,7 @@ from quillspark.operators.collections import latest
 from quillspark.plans import answers, planner, retrieve, routing
 from quillspark.sources import documents as S
 from quillspark.streaming import events as E
+from quillspark.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +38,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.settled(read(spark, sf_dir, "documents").select("doc_id", "text"), "tokens", T.tokenize(F.col("text"))).drop("text")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return T.settled(d, "tokens", T.tokenize(F.col("text"))).drop("text")
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,7 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as pages of files."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    p = chunking.split_pages(d)
+    p = chunking.split_pages(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return p.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("fingerprint"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "page_number", "text", F.lit("").alias("html"))
 
 
@@ -274,7 +275,7 @@ _CUT = r"""
 
 @query(f"WITH RECURSIVE {_CUT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS ordinal, p AS text FROM (SELECT doc_id, step, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS p FROM w WHERE step > 0) WHERE p <> ''")
 def recursive_chunks(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("ordinal", "text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("ordinal", "text"))
 
 
 @query()
@@ -447,7 +448,7 @@ def turn_intents(spark, sf_dir):
 def route_turns(spark, sf_dir):
     i = F.col("conv_id")
     r = routing.route(F.col("text"), has_document=i % 3 == 0, fresh=F.col("role") == "user", knowledge=i % 5 != 0, use_web=i % 7 == 0, use_knowledge=i % 11 == 0)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("route"))
+    return spread(read(spark, sf_dir, "conversations")).select("conv_id", "turn", r.alias("route"))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -544,7 +545,7 @@ def _shaped(spark, sf_dir, table, key):
     """Texts with a vector of letter counts, which any engine can make."""
     low = F.lower("text")
     v = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _PLACES])
-    return T.settled(read(spark, sf_dir, table).select(F.col(key).alias("id"), "text", v.alias("embedding")), "tokens", T.tokenize(F.col("text"), compat=table == "benchmark"))
+    return T.settled(spread(read(spark, sf_dir, table)).select(F.col(key).alias("id"), "text", v.alias("embedding")), "tokens", T.tokenize(F.col("text"), compat=table == "benchmark"))
 
 
 def _corpus_hits(spark, sf_dir, options, **filters):

@@ -26,3 +26,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (a small file, one row group) dealt out to all of them;
+    one with parts enough stays as it is, so nothing large is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
