@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quillspark.config import Options
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import ranking as R
+from quillspark.operators.collections import Collections
 from quillspark.plans import planner
 
 
@@ -116,6 +119,19 @@ def build_index(pages: DataFrame, options: Options = Options(), embed=None) -> D
     return with_tokens(rows).withColumn("embedding", embed(F.col("tokens")))
 
 
+def refreshed(store: Collections, name: str, pages: DataFrame, options: Options = Options(), embed=None, embedder: str = "hashed") -> DataFrame | None:
+    """The index of ``pages`` (files by fingerprint) in a collection that is kept: only files that it does not hold yet,
+    chunked and embedded the same way (``embedder`` names how), are worked on. The rows of these files; None if there are none."""
+    way = hashlib.sha256(f"{options.chunk_strategy}/{options.chunk_size}/{options.chunk_overlap}/{embedder}".encode()).hexdigest()[:16]
+    held = store.read(name)
+    new = pages if held is None else pages.join(held.where(F.col("index_way") == way).select("fingerprint").distinct(), "fingerprint", "left_anti")
+    if not new.isEmpty():
+        rows = build_index(new, options, embed).withColumns({"index_way": F.lit(way), "chunk_id": F.concat_ws("@", "chunk_id", F.lit(way))})
+        store.upsert(name, rows, store.generation(name)[1]["next"], stream=f"index-{way}")
+    held = store.read(name)
+    return None if held is None else held.where(F.col("index_way") == way).join(pages.select("fingerprint").distinct(), "fingerprint", "left_semi")
+
+
 def rewritten(c: Column, translate=None) -> Column:
     """A question for an Arabic corpus: Arabic or mixed text gives way to its Arabic form, other text is followed by it.
     ``translate`` is a column function; without it the text stays."""
