@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_name(c: Column) -> Column:
@@ -64,33 +65,70 @@ def progress(steps: DataFrame, relevant: int) -> DataFrame:
     return steps.groupBy("run_id").agg(F.when(busy > 0, F.least(raw, F.lit(99))).otherwise(F.least(raw, F.lit(100))).alias("percent"))
 
 
-STATE = "done array<string>, running array<string>"
-OUT = "run_id string, completed int, running int, last_ts timestamp"
+STEP = "node string, started_at timestamp, completed_at timestamp"
+STEPS = f"run_id string, {STEP}, status string"
+#: A run without events for so long is forgotten.
+FORGET_MS = 600_000
 
 
-def run_state(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Streaming fold of a run's events: how many steps are done and running after each micro-batch. State of a run is
-    dropped when the watermark passes ten minutes after its last event."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class RunFold(StatefulProcessor):
+    """Steps of a run: per node the earliest start and the latest end, whatever order events come in and however often.
+    A timer drops the run when the watermark has left its last event behind."""
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, running = (set(x) for x in (state.get if state.exists else ([], [])))
-        last = None
-        for b in batches:
-            b = b.sort_values("ts")
-            for r in b.itertuples():
-                if r.phase == "start" and r.node not in done:
-                    running.add(r.node)
-                elif r.phase == "end":
-                    running.discard(r.node)
-                    done.add(r.node)
-            last = b.ts.max() if last is None else max(last, b.ts.max())
-        state.update((sorted(done), sorted(running)))
-        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + 600_000)
-        yield pd.DataFrame({"run_id": [key[0]], "completed": [len(done)], "running": [len(running)], "last_ts": [last]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "node string", "started_at timestamp, completed_at timestamp")
+        self.last = handle.getValueState("last", "ms long")
+
+    def _merge(self, node: str, start, end) -> tuple:
+        at = self.steps.getValue((node,)) if self.steps.containsKey((node,)) else (None, None)
+        new = tuple(f((x for x in pair if x is not None), default=None) for f, pair in ((min, (at[0], start)), (max, (at[1], end))))
+        self.steps.updateValue((node,), new)
+        return new
 
+    def _wait(self, ms: int) -> None:
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is None or ms > before:
+            if before is not None:
+                self.handle.deleteTimer(before + FORGET_MS)
+            self.last.update((ms,))
+            self.handle.registerTimer(ms + FORGET_MS)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        """What is known of a run from elsewhere: a row a step."""
+        for b in initialState if hasattr(initialState, "__next__") else [initialState]:
+            for r in b.itertuples():
+                start, end = (None if pd.isna(x) else x.to_pydatetime() for x in (r.started_at, r.completed_at))
+                self._merge(r.node, start, end)
+                self._wait(int((end or start).timestamp() * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        changed, latest = {}, None
+        for b in rows:
+            d = b[b["phase"].isin(["start", "end"]) & b["node"].notna() & b["ts"].notna()]
+            for (node, phase), ts in d.groupby(["node", "phase"])["ts"]:
+                start, end = (ts.min().to_pydatetime(), None) if phase == "start" else (None, ts.max().to_pydatetime())
+                changed[node] = self._merge(node, start, end)
+            if len(d):
+                latest = d["ts"].max() if latest is None else max(latest, d["ts"].max())
+        if latest is not None:
+            self._wait(int(latest.timestamp() * 1000))
+            yield pd.DataFrame({"run_id": key[0], "node": list(changed), "started_at": [v[0] for v in changed.values()], "completed_at": [v[1] for v in changed.values()], "status": ["completed" if v[1] else "running" for v in changed.values()]}).astype({"started_at": "datetime64[ns]", "completed_at": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.steps.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def run_steps(events: DataFrame, delay: str = "10 minutes", known: DataFrame | None = None) -> DataFrame:
+    """Streaming ``step_state``: a row for each step that a micro-batch has changed. Events (run_id, node, phase, ts) may
+    repeat and come in any order within the watermark; later ones, and those without node or time, are left out. ``known``
+    (run_id, node, started_at, completed_at): steps from before, where a new checkpoint begins. Needs the RocksDB state
+    store (``session`` sets it)."""
     d = events.withWatermark("ts", delay).select("run_id", "node", "phase", "ts")
-    return d.groupBy("run_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    first = None if known is None else known.select("run_id", "node", "started_at", "completed_at").groupBy("run_id")
+    return d.groupBy("run_id").transformWithStateInPandas(RunFold(), STEPS, "Update", "EventTime", initialState=first)
