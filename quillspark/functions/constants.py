@@ -88,3 +88,6 @@ ROUTE_PLANS = {
     "call_model": "General conversation",
 }
 EMPTY_KNOWLEDGE_PLAN = "Database selected but knowledge base is empty — general chat"
+
+# How the headings of a footer with sources begin, in lower case.
+FOOTERS = ("source analysis (trust layer)", "sources:", "sources (top", "_sources:_")

@@ -91,12 +91,13 @@ def _collapsed(c: Column) -> Column:
 def shape_score(c: Column) -> Column:
     """How natural the Arabic words of a text look: the sum over its words of their affixes, fragments and pairs."""
     one = lambda cond, n: F.when(cond, F.lit(n)).otherwise(F.lit(0))
+    any_of = lambda words: f"(?:{'|'.join(words)})"  # noqa: E731  letters alone, which stand for themselves
 
     def score(t: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-        known = F.size(F.filter(pairs, lambda p: p.isin(C.BIGRAMS)))
-        fragments = reduce(lambda a, b: a + b, (one(F.contains(t, F.lit(x)), 1) for x in C.FRAGMENTS))
-        return one(starts_with_any(t, C.PREFIXES), 2) + one(ends_with_any(t, C.SUFFIXES), 2) + fragments + known - one(starts_with_any(t, C.ODD_STARTS), 2) - one(ends_with_any(t, C.ODD_ENDS) & (F.length(t) > 3), 1)
+        known = F.regexp_count(t, F.lit(f"(?={any_of(C.BIGRAMS)})"))
+        fragments = reduce(lambda a, b: a + b, (F.contains(t, F.lit(x)).cast("int") for x in C.FRAGMENTS))
+        good = one(t.rlike(f"^{any_of(C.PREFIXES)}"), 2) + one(t.rlike(f"{any_of(C.SUFFIXES)}$"), 2) + fragments + known
+        return good - one(t.rlike(f"^{any_of(C.ODD_STARTS)}"), 2) - one(t.rlike(f"{any_of(C.ODD_ENDS)}$") & (F.length(t) > 3), 1)
 
     tokens = F.filter(F.regexp_extract_all(c, F.lit(f"([{AR}]+)"), F.lit(1)), lambda t: F.length(t) >= 2)
     return F.aggregate(tokens, F.lit(0), lambda acc, t: acc + score(t))
@@ -111,7 +112,8 @@ def repair_visual_order(c: Column) -> Column:
         return F.array_join(F.transform(pieces, lambda t: F.when(t.rlike(rf"^[{AR}]+$") & (F.length(t) > 1), F.reverse(t)).otherwise(t)), "")
 
     def chosen(v: Column) -> Column:
-        return let(turned(v), lambda w: let(shape_score(w), lambda after: F.when((after >= 4) & (after >= shape_score(v) + 3), w).otherwise(v)))
+        both = F.transform(F.array(v, turned(v)), lambda t: F.struct(t.alias("t"), shape_score(t).alias("n")))
+        return let(both, lambda b: F.when((b[1]["n"] >= 4) & (b[1]["n"] >= b[0]["n"] + 3), b[1]["t"]).otherwise(b[0]["t"]))
 
     return let(c, lambda v: F.when(v.rlike(f"[{AR}]"), chosen(v)).otherwise(v))
 
@@ -294,7 +296,15 @@ def truncated(c: Column, most: int = 12_000, note: str = "\n… [truncated]") ->
 
 
 def strip_sources_footer(c: Column) -> Column:
-    return strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?is)\n*-{0,3}\s*\n?(?:Source analysis \(trust layer\):|Sources:|_Sources:_).*\z", ""))
+    """A text up to the first line that begins as one of the footer's headings does, without a rule above it."""
+    lines = F.split(strip(F.coalesce(c, F.lit(""))), "\n")
+
+    def cut(v: Column) -> Column:
+        heads = F.transform(v, lambda x: F.exists(F.array(*map(F.lit, C.FOOTERS)), lambda h: F.startswith(F.lower(F.ltrim(x)), h)))
+        at = F.array_position(heads, True)
+        return F.array_join(F.when(at > 0, F.slice(v, F.lit(1), (at - 1).cast("int"))).otherwise(v), "\n")
+
+    return strip(F.regexp_replace(strip(let(lines, cut)), r"\n-{1,3}\z", ""))
 
 
 def mid_fingerprint(c: Column) -> Column:

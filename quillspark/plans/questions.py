@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import tables
 from quillspark.config import Options
 from quillspark.functions import constants as C
 from quillspark.functions import text as T
@@ -25,7 +26,7 @@ Answer = Callable[[Column, Column, Column, Column], Column]
 def _offline_analysis(hits: DataFrame) -> DataFrame:
     verdict = F.concat(F.lit("### ["), F.col("rank").cast("string"), F.lit("]\nVerdict: "), F.when(F.col("used"), "RELEVANT").otherwise("NOT_RELEVANT"))
     rows = F.array_sort(F.collect_list(F.struct("rank", verdict.alias("v"))))
-    return answers.offline_trust(hits).groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["v"]), "\n\n").alias("analysis"))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["v"]), "\n\n").alias("analysis"))
 
 
 def answered(hits: DataFrame, questions: DataFrame, judge: Judge | None = None, answer: Answer | None = None, missing: dict = C.NOT_IN_DOCUMENTS, language: Column | None = None) -> DataFrame:
@@ -33,31 +34,33 @@ def answered(hits: DataFrame, questions: DataFrame, judge: Judge | None = None,
 
     ``hits``: query_id, rank, filename, page_start, page_end, score, text; ``questions``: query_id, question. A question
     without hits gets the message ``missing``, one without relevant hits the insufficient message."""
-    lang = T.response_language(language if language is not None else F.lit(None).cast("string"), F.col("question"))
-    # k rows a question, which several steps read: kept, so that retrieval runs once.
-    h = hits.select("query_id", "rank", "filename", "page_start", "page_end", "score", "text").join(R.small(questions.select("query_id", "question")), "query_id").persist()
-    context = answers.format_context(h)
+    asked = T.settled(questions.select("query_id", "question"), "lang", T.response_language(language if language is not None else F.lit(None).cast("string"), F.col("question")))
+    # k rows a question, which several steps read: a table, so that retrieval runs once.
+    h = hits.select("query_id", "rank", "filename", "page_start", "page_end", "score", "text").join(R.small(asked.select("query_id", "question")), "query_id")
+    h = tables.written(answers.offline_trust(h), "hits")
     place = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("filename", F.lit("")), F.lit(" p."), F.coalesce(F.col("page_start").cast("string"), F.lit("0")))
     places = F.array_sort(F.collect_list(F.struct("rank", place.alias("p"))))
     sizes = h.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_join(F.transform(places, lambda x: x["p"]), ", ").alias("index_map"))
-    q = questions.select("query_id", "question").join(context, "query_id", "left").join(sizes, "query_id", "left")
+    q = asked.join(sizes, "query_id", "left")
     if judge is None:
         q = q.join(_offline_analysis(h), "query_id", "left")
     else:
-        q = q.withColumn("analysis", F.when(F.col("n") > 0, T.strip(judge(F.col("question"), F.col("context")))))
-    q = q.withColumn("used", F.when(F.col("n") > 0, answers.relevant_indexes(F.col("analysis"), F.col("n"))).otherwise(F.array().cast("array<int>")))
-    marked = h.join(q.select("query_id", F.col("used").alias("_used")), "query_id").withColumn("used", F.array_contains("_used", F.col("rank").cast("int"))).drop("_used")
+        q = q.join(answers.format_context(h), "query_id", "left")
+        q = T.settled(q, "analysis", F.when(F.col("n") > 0, T.strip(judge(F.col("question"), F.col("context")))))
+    q = T.settled(q, "used", F.when(F.col("n") > 0, answers.relevant_indexes(F.col("analysis"), F.col("n"))).otherwise(F.array().cast("array<int>")))
+    q = tables.written(q, "judged")  # models are asked once
+    marked = h.drop("used").join(q.select("query_id", F.col("used").alias("_used")), "query_id").withColumn("used", F.array_contains("_used", F.col("rank").cast("int"))).drop("_used")
     q = q.join(answers.format_sources(marked, "used"), "query_id", "left")
     if answer is None:
-        q = q.join(answers.offline_answers(marked).withColumnRenamed("answer", "body"), "query_id", "left")
+        q = q.join(answers.best_sentences(marked), "query_id", "left")
     else:
-        q = q.withColumn("body", F.when(F.size("used") > 0, T.strip(answer(F.col("question"), F.col("analysis"), lang, F.col("index_map")))))
-    none = F.when(lang == "ar", missing["ar"]).when(lang == "mixed", f"{missing['en']} / {missing['ar']}").otherwise(missing["en"])
+        q = T.settled(q, "body", F.when(F.size("used") > 0, T.strip(answer(F.col("question"), F.col("analysis"), F.col("lang"), F.col("index_map")))))
+    none = F.when(F.col("lang") == "ar", missing["ar"]).when(F.col("lang") == "mixed", f"{missing['en']} / {missing['ar']}").otherwise(missing["en"])
     numbers = F.array_join(F.transform("used", lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]"))), ", ")
     whole = F.concat(T.strip_sources_footer(F.col("body")), F.lit("\n\n---\nSource analysis (trust layer) — used: "), numbers, F.lit(":\n"), T.truncated(F.col("analysis"), 3500, "\n…"), F.lit("\n\n"), F.col("sources"))
     text = (
         F.when(F.coalesce("n", F.lit(0)) == 0, F.concat(none, F.lit("\n\n" + C.NO_SOURCES)))
-        .when(F.size("used") == 0, answers.insufficient(F.col("question"), F.col("analysis"), F.col("sources"), language))
+        .when(F.size("used") == 0, answers.insufficient(F.col("lang"), F.col("analysis"), F.col("sources")))
         .otherwise(whole)
     )
     return q.select("query_id", "used", text.alias("answer"))
@@ -72,7 +75,7 @@ def document_questions(chunks: DataFrame, questions: DataFrame, options: Options
 def knowledge_questions(chunks: DataFrame | None, questions: DataFrame, options: Options = Options(), embed=None, judge: Judge | None = None, answer: Answer | None = None, reply=None, translate=None) -> DataFrame:
     """Answers to questions from a shared collection (None: there is none): every question is planned, its notes and
     keywords are part of the search text. ``reply`` is a column function from a question to a model's plan."""
-    planned = questions.withColumn("_p", planner.plan(F.col("question"), options.booster_min_words, reply, translate))
+    planned = T.settled(questions, "_p", planner.plan(F.col("question"), options.booster_min_words, reply, translate))
     search = F.when(F.col("_p.search_query") != "", F.col("_p.search_query")).otherwise(F.col("question"))
     text = F.concat_ws(" ", search, F.array_join("_p.keywords", " "))
     if chunks is None:

@@ -143,9 +143,9 @@ def rewritten(c: Column, translate=None) -> Column:
 
 
 def prepare_queries(queries: DataFrame, embed=None, translate=None) -> DataFrame:
-    """query_id, text, tokens, embedding of raw questions (query_id, text). Blank questions are left out: they find
-    nothing."""
+    """query_id, text, tokens, embedding of raw questions (query_id, text), as a table that retrieval reads several
+    times. Blank questions are left out: they find nothing."""
     embed = embed or V.hashed_embedding()
-    q = queries.select("query_id", rewritten(F.coalesce("text", F.lit("")), translate).alias("text"))
-    q = q.where(T.strip(T.normalize_arabic(F.col("text"))) != "")
-    return with_tokens(q, compat=True).withColumn("embedding", embed(F.col("tokens")))
+    q = T.settled(queries.select("query_id", "text"), "text", rewritten(F.coalesce("text", F.lit("")), translate))
+    q = T.settled(q, "_form", T.normalize_arabic(F.col("text"))).where(T.strip(F.col("_form")) != "").drop("_form")
+    return tables.written(with_tokens(q, compat=True).withColumn("embedding", embed(F.col("tokens"))), "questions")

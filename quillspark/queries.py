@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,11 +14,11 @@ from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, conversations, evaluation
 from quillspark.operators import ranking as R
-from quillspark.operators.collections import latest
-from quillspark.plans import answers, planner, retrieve, routing
+from quillspark.operators.collections import Collections, latest
+from quillspark.plans import answers, planner, questions, retrieve, routing
 from quillspark.sources import documents as S
 from quillspark.streaming import events as E
-from quillspark.tables import spread
+from quillspark.tables import shared_root, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -413,9 +414,9 @@ def search_query_strip(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.search_query(text).alias("q"))
 
 
-@query("SELECT doc_id, sha2_ok, n FROM (SELECT doc_id, length(text) > 12000 AS sha2_ok, length(CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000) || chr(10) || '… [truncated]' ELSE text END)::BIGINT AS n FROM documents)")
+@query("SELECT doc_id, sha256(CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000) || chr(10) || '… [truncated]' ELSE text END) AS text_sha256 FROM documents")
 def truncate_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 12000).alias("sha2_ok"), F.length(T.truncated(F.col("text"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.truncated(F.col("text")), 256).alias("text_sha256"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(t) >= 60 AND length(f) >= 24 THEN f END AS fingerprint FROM (SELECT doc_id, t, trim(substr(t, greatest(length(t) // 2 - 24, 0) + 1, 48)) AS f FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0085}\x{00A0}\x{0B}]+', ' ', 'g')) AS t FROM documents))")
@@ -481,19 +482,27 @@ def needs_boost(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", planner.needs_boost(F.col("text")).alias("boost"))
 
 
-@query("SELECT item_id, replace(text, 'the', 'scheherazade') AS corrected FROM (SELECT item_id, regexp_replace(' ' || text || ' ', '[^a-z ]|the', '', 'g') AS text FROM benchmark) WHERE false UNION ALL SELECT item_id, trim(regexp_replace('x' || item_id || ' scheherazade and shahryar and dunyazad', '\\s+', ' ', 'g')) FROM benchmark")
+@query("SELECT item_id, 'x' || item_id || ' scheherazade and shahryar and dunyazad' AS corrected FROM benchmark")
 def spelling_fix(spark, sf_dir):
     text = F.concat(F.lit("x"), F.col("item_id").cast("string"), F.lit(" Scheherazd and shahriyar and DUNYAZADE"))
     return read(spark, sf_dir, "benchmark").select("item_id", planner.fix_spelling(text)["text"].alias("corrected"))
 
 
 # --- Answers ----------------------------------------------------------------------------------------------------
-@query("SELECT item_id, (item_id % 5)::INT AS idx FROM benchmark WHERE item_id % 5 BETWEEN 1 AND 4 AND item_id % 2 = 0")
+_JUDGED = "SELECT event_id, user_id, ts, (1 + event_id % 5)::INT AS i, event_type IN ('click', 'view') AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
+
+
+@query(f"SELECT user_id, unnest(list_sort(list_distinct(list(i)))) AS idx FROM ({_JUDGED}) WHERE n <= 9 AND good AND i <= 4 GROUP BY 1")
 def trust_parse(spark, sf_dir):
-    i = F.col("item_id")
-    verdict = F.when(i % 2 == 0, "relevant").otherwise("NOT_RELEVANT")
-    text = F.concat(F.lit('```json\n{"sources": [{"index": "'), (i % 5).cast("string"), F.lit('", "verdict": "'), verdict, F.lit('"}, 7]}\n```'))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(answers.relevant_indexes(text, F.lit(4))).alias("idx"))
+    """Replies about the first events of a user, as a model may write them: an object, one in a fence, or sections."""
+    e = read(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("n <= 9")
+    i, good = (1 + F.col("event_id") % 5).cast("string"), F.col("event_type").isin("click", "view")
+    entry = F.concat(F.lit('{"index": "'), i, F.lit('", "verdict": "'), F.when(good, "relevant").otherwise("NOT_RELEVANT"), F.lit('"}'))
+    section = F.concat(F.lit("### ["), i, F.lit("] a page\nWhy: said so.\nVerdict: "), F.when(good, "RELEVANT").otherwise("NOT_RELEVANT"))
+    r = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("entries"), F.array_join(F.array_sort(F.collect_list(section)), "\n\n").alias("sections"))
+    body = F.concat(F.lit('{"sources": ['), "entries", F.lit(", 7]}"))
+    reply = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("Here it is: "), body)).when(F.col("user_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.col("sections"))
+    return T.settled(r, "reply", reply).select("user_id", F.explode(answers.relevant_indexes(F.col("reply"), F.lit(4))).alias("idx"))
 
 
 def _hits(spark, sf_dir):
@@ -579,6 +588,21 @@ def retrieve_corpus_weighted(spark, sf_dir):
     return _corpus_hits(spark, sf_dir, Options(enable_rerank=False, fusion="weighted"))
 
 
+_RTOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+'))"
+_ANSWERED = f"""{_HITS}, a AS (SELECT query_id, h.rank, h.text, {_RTOK.format('b.text')} AS q, {_RTOK.format('h.text')} AS p, b.text AS question FROM h JOIN benchmark b ON item_id = query_id),
+    o AS (SELECT *, len(list_intersect(q, p)) / sqrt(len(q)::DOUBLE * len(p)) >= 0.1 AS used FROM a),
+    se AS (SELECT query_id, rank, len(list_intersect(q, {_RTOK.format('s')})) AS n, s FROM (SELECT query_id, rank, q, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?؟۔])\\s+', '\\1' || chr(1), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS s FROM o WHERE used)),
+    be AS (SELECT query_id, string_agg(s || ' [' || rank || ']', chr(10) ORDER BY rank) AS body FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, s) AS i FROM se) WHERE i = 1 GROUP BY 1)"""
+
+
+@query(f"WITH {_ANSWERED} SELECT query_id, string_agg(CASE WHEN used THEN rank::VARCHAR END, ',' ORDER BY rank) AS used, any_value(coalesce(body, '{C.INSUFFICIENT['en']}')) AS body FROM o LEFT JOIN be USING (query_id) GROUP BY 1")
+def question_answers(spark, sf_dir):
+    """Every benchmark passage as a question: its hits are judged, the best sentence of each used one is cited."""
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    d = questions.answered(_hits(spark, sf_dir), q).where(F.size("used") >= 0)
+    return d.select("query_id", F.when(F.size("used") > 0, F.array_join("used", ",")).alias("used"), F.substring_index("answer", "\n\n---\nSource analysis", 1).alias("body"))
+
+
 # --- Evaluation -------------------------------------------------------------------------------------------------
 @query("SELECT coalesce(lang, 'overall') AS theme, count(*) FILTER (quality = 1) AS passed, count(*) AS total, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS score, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) >= 0.9 AS ok FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
 def eval_by_theme(spark, sf_dir):
@@ -609,9 +633,17 @@ def collection_count(spark, sf_dir):
     return latest(read(spark, sf_dir, "events"), "user_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, 'knowledge' AS collection, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 120")
+@query("SELECT doc_id::VARCHAR AS chunk_id, sha256(CASE WHEN doc_id % 3 = 0 THEN 'new: ' ELSE '' END || text) AS text_sha256 FROM documents WHERE length(text) >= 120")
 def copy_to_knowledge(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.length("text") >= 120).select("doc_id", F.lit("knowledge").alias("collection"), F.length("text").cast("long").alias("n"))
+    """Documents go to a shared collection in two batches; a third of them once more with another text, after compaction."""
+    d = read(spark, sf_dir, "documents").where(F.length("text") >= 120)
+    chunks = d.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    store = Collections(spark, f"{shared_root(spark)}/collections-{uuid.uuid4().hex}")
+    store.copy(chunks.where("doc_id % 2 = 0"), "knowledge", 0)
+    store.copy(chunks.where("doc_id % 2 = 1"), "knowledge", 1)
+    store.compact("knowledge")
+    store.copy(chunks.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("new: "), "text")), "knowledge", 2)
+    return store.scan("knowledge", 120).select("chunk_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 def _run_events(spark, sf_dir):
