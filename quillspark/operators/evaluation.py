@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -88,6 +88,30 @@ def report(results: DataFrame, theme: str = "theme", ok: str = "passed", thresho
     return results.rollup(theme).agg(good.alias("passed"), n.alias("total"), (good / n).alias("score"), ((good / n) >= threshold).alias("ok"))
 
 
+def stratified(cases: DataFrame, by: str, k: int, key: str = "qid", seed: int = 7) -> DataFrame:
+    """``k`` cases of each kind: those with the least hash of seed and key, so the same ones from any order of rows. A
+    task keeps k rows a kind before rows meet."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    w = Window.partitionBy(by).orderBy("_mark", key)
+    return cases.withColumn("_mark", mark).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_mark", "_n")
+
+
+def passage_cases(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """qid, kind, text, expect_any: questions made of the middle of each chunk (key: a number, text) that is long enough:
+    the passage itself, its words in reverse, with words before it, and its first half. The passage is what a hit must hold."""
+    d = T.settled(chunks.select(F.col(key).cast("long").alias("id"), "text"), "fp", T.mid_fingerprint(F.col("text"))).where("fp is not null")
+    kinds = [("phrase", F.col("fp")), ("reversed", F.array_join(F.reverse(F.split("fp", " ")), " ")), ("noisy", F.concat(F.lit("please find "), "fp")), ("half", F.left("fp", F.lit(24)))]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), t.alias("text")) for i, (k, t) in enumerate(kinds)]))
+    return d.select("id", "fp", rows.alias("k")).select((F.col("id") * 10 + F.col("k.i")).alias("qid"), "k.kind", "k.text", F.array("fp").alias("expect_any"))
+
+
+def retrieval_report(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame], by: str = "kind") -> DataFrame:
+    """``report`` of cases (qid, kind, text, expect_any) by kind: each is retrieved and passes if a hit's text, white
+    space aside, holds what it expects. ``retrieve``: from (query_id, text) to hits (query_id, rank, text)."""
+    hits = retrieve(cases.select(F.col("qid").alias("query_id"), "text")).select("query_id", "rank", T.squeeze(F.col("text")).alias("text"))
+    return report(evaluated(cases.withColumn("expect_any", F.transform("expect_any", T.squeeze)), hits), by)
+
+
 def challenge_cases(chunks: DataFrame, seed: int = 7, n: int = 100) -> DataFrame:
     """Question cases made from chunk texts: a token, a phrase or a fingerprint of a chunk, in a seeded order."""
     tokens = F.slice(F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) >= 4)), 1, 3)

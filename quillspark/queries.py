@@ -18,7 +18,7 @@ from quillspark.operators.collections import Collections, latest
 from quillspark.plans import answers, planner, questions, retrieve, routing
 from quillspark.sources import documents as S
 from quillspark.streaming import events as E
-from quillspark.tables import shared_root, spread
+from quillspark.tables import shared_root, spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -532,7 +532,14 @@ def format_sources(spark, sf_dir):
     return d.select("query_id", F.regexp_replace("sources", r"score=[0-9.]+, ", "").alias("sources"))
 
 
-@query()
+_RTOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+'))"
+_ANSWERED = f"""{_HITS}, a AS (SELECT query_id, h.rank, h.text, {_RTOK.format('b.text')} AS q, {_RTOK.format('h.text')} AS p, b.text AS question FROM h JOIN benchmark b ON item_id = query_id),
+    o AS (SELECT *, len(list_intersect(q, p)) / sqrt(len(q)::DOUBLE * len(p)) >= 0.1 AS used FROM a),
+    se AS (SELECT query_id, rank, len(list_intersect(q, {_RTOK.format('s')})) AS n, s FROM (SELECT query_id, rank, q, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?؟۔])\\s+', '\\1' || chr(1), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS s FROM o WHERE used)),
+    be AS (SELECT query_id, string_agg(s || ' [' || rank || ']', chr(10) ORDER BY rank) AS body FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, s) AS i FROM se) WHERE i = 1 GROUP BY 1)"""
+
+
+@query(f"WITH {_ANSWERED} SELECT query_id, any_value(coalesce(body, '{C.INSUFFICIENT['en']}')) AS answer FROM o LEFT JOIN be USING (query_id) GROUP BY 1")
 def offline_answers(spark, sf_dir):
     hits = _hits(spark, sf_dir).join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     return answers.offline_answers(answers.offline_trust(hits))
@@ -588,13 +595,6 @@ def retrieve_corpus_weighted(spark, sf_dir):
     return _corpus_hits(spark, sf_dir, Options(enable_rerank=False, fusion="weighted"))
 
 
-_RTOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+'))"
-_ANSWERED = f"""{_HITS}, a AS (SELECT query_id, h.rank, h.text, {_RTOK.format('b.text')} AS q, {_RTOK.format('h.text')} AS p, b.text AS question FROM h JOIN benchmark b ON item_id = query_id),
-    o AS (SELECT *, len(list_intersect(q, p)) / sqrt(len(q)::DOUBLE * len(p)) >= 0.1 AS used FROM a),
-    se AS (SELECT query_id, rank, len(list_intersect(q, {_RTOK.format('s')})) AS n, s FROM (SELECT query_id, rank, q, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?؟۔])\\s+', '\\1' || chr(1), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS s FROM o WHERE used)),
-    be AS (SELECT query_id, string_agg(s || ' [' || rank || ']', chr(10) ORDER BY rank) AS body FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, s) AS i FROM se) WHERE i = 1 GROUP BY 1)"""
-
-
 @query(f"WITH {_ANSWERED} SELECT query_id, string_agg(CASE WHEN used THEN rank::VARCHAR END, ',' ORDER BY rank) AS used, any_value(coalesce(body, '{C.INSUFFICIENT['en']}')) AS body FROM o LEFT JOIN be USING (query_id) GROUP BY 1")
 def question_answers(spark, sf_dir):
     """Every benchmark passage as a question: its hits are judged, the best sentence of each used one is cited."""
@@ -617,6 +617,30 @@ def eval_passes(spark, sf_dir):
     return b.join(blob, F.col("item_id") == F.col("query_id")).select("item_id", evaluation.passes(F.col("blob"), F.col("expect")).alias("passed"))
 
 
+_FP = r"fp AS (SELECT doc_id, CASE WHEN length(t) >= 60 AND length(f) >= 24 THEN f END AS fp FROM (SELECT doc_id, t, trim(substr(t, greatest(length(t) // 2 - 24, 0) + 1, 48)) AS f FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0085}\x{00A0}\x{0B}]+', ' ', 'g')) AS t FROM documents)))"
+_CASES = f"""{_FP}, g AS (SELECT doc_id * 10 + i AS qid, kind, CASE i WHEN 0 THEN fp WHEN 1 THEN array_to_string(list_reverse(string_split(fp, ' ')), ' ') WHEN 2 THEN 'please find ' || fp ELSE left(fp, 24) END AS text, fp AS expect FROM fp, (VALUES (0, 'phrase'), (1, 'reversed'), (2, 'noisy'), (3, 'half')) k(i, kind) WHERE fp IS NOT NULL),
+    cs AS (SELECT qid, kind, text, expect FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('7:' || qid), qid) AS n FROM g) WHERE n <= 25 UNION ALL SELECT -1 - item_id, 'fixed', text, trim(regexp_replace(text, '[\\s\\x{{0085}}\\x{{00A0}}\\x{{0B}}]+', ' ', 'g')) FROM benchmark)"""
+_CASE_BM25 = _BM25.replace("SELECT item_id AS query_id", "SELECT qid AS query_id").replace("FROM benchmark)", "FROM cs)")
+
+
+@query(
+    f"""WITH {_CASES}, {_CASE_BM25}, {_top('bm', 'bm25', 8, 't')}, b AS (SELECT query_id AS qid, string_agg(trim(regexp_replace(text, '[\\s\\x{{0085}}\\x{{00A0}}\\x{{0B}}]+', ' ', 'g')), chr(10) ORDER BY rank) AS blob FROM t JOIN documents USING (doc_id) GROUP BY 1),
+    r AS (SELECT kind, coalesce(contains(blob, expect), false) AS passed FROM cs LEFT JOIN b USING (qid))
+    SELECT coalesce(kind, 'overall') AS kind, count(*) FILTER (passed) AS passed, count(*) AS total, round(avg(passed::INT), 6) AS score, avg(passed::INT) >= 0.9 AS ok FROM r GROUP BY ROLLUP (kind)"""
+)
+def eval_retrieval(spark, sf_dir):
+    """Cases made from all documents, 25 of each kind, and the fixed ones: retrieved by BM25 over all documents, scored by kind."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fixed = read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("qid"), F.lit("fixed").alias("kind"), "text", F.array("text").alias("expect_any"))
+    cases = written(evaluation.stratified(evaluation.passage_cases(docs), "kind", 25).unionByName(fixed), "cases")
+
+    def hits(q):
+        d = T.settled(q, "tokens", T.tokenize(F.col("text"), compat=True))
+        return R.top_k(R.bm25(docs_tokens(spark, sf_dir), d).withColumn("bm25", F.round("bm25", 6)), "bm25", 8, "doc_id").join(docs, "doc_id")
+
+    return evaluation.retrieval_report(cases, hits).select(F.coalesce("kind", F.lit("overall")).alias("kind"), "passed", "total", F.round("score", 6).alias("score"), "ok")
+
+
 @query()
 def challenge_cases(spark, sf_dir):
     return evaluation.challenge_cases(chunking.page_aware(pages_of(spark, sf_dir)))
@@ -685,6 +709,36 @@ def mime_types(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", S.mime(name, head).alias("mime"))
 
 
+@query("SELECT doc_id, ['PNG', 'JPEG', 'GIF', 'BMP', 'TIFF', 'WEBP'][doc_id % 6 + 1] AS kind, 1 + n_chars % 4000 AS width, 1 + doc_id % 3000 AS height, ['RGBA', 'RGB', 'P', 'RGB', 'CMYK', 'RGB'][doc_id % 6 + 1] AS mode FROM documents")
+def image_headers(spark, sf_dir):
+    """Image files whose sizes come from the documents: a header, then the document's text as its data."""
+    w, h = 1 + F.col("n_chars") % 4000, 1 + F.col("doc_id") % 3000
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in reversed(range(n))])
+    entry = lambda tag, c: F.concat(F.lit(tag + "000400000001"), big(c, 4))
+    heads = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0806000000")),
+        F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB0005112233FFFFC2001108"), big(h, 2), big(w, 2), F.lit("03012200")),
+        F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("F70000")),
+        F.concat(F.lit("424D00000000000000003600000028000000"), little(w, 4), little(h, 4), F.lit("01001800")),
+        F.concat(F.lit("4D4D002A000000080003"), entry("0100", w), entry("0101", h), F.lit("01060003000000010005000000000000")),
+        F.concat(F.lit("52494646000000005745425056503820000000000000009D012A"), little(w, 2), little(h, 2)),
+    ]
+    content = F.concat(F.unhex(F.element_at(F.array(*heads), (F.col("doc_id") % 6 + 1).cast("int"))), F.encode("text", "UTF-8"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename"), content.alias("content"))
+    return S.images(d).select(F.col("filename").cast("long").alias("doc_id"), "kind", "width", "height", "mode")
+
+
+@query(f"WITH {_BM25}, {_top('bm', 'bm25', 5, 't')} SELECT query_id, string_agg(rank || '. doc-' || doc_id || chr(10) || text || chr(10) || 'https://example.org/' || doc_id, chr(10) || chr(10) ORDER BY rank) AS text FROM t JOIN documents USING (doc_id) GROUP BY 1")
+def search_results(spark, sf_dir):
+    """Stored results (the best documents of every passage) as a search source, put into text."""
+    top = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id")
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    name = F.col("doc_id").cast("string")
+    stored = top.join(q, "query_id").select(F.col("text").alias("query"), "rank", F.concat(F.lit("doc-"), name).alias("title"), "snippet", F.concat(F.lit("https://example.org/"), name).alias("link"))
+    return S.search_results_text(S.stored_search(q, stored.dropDuplicates(["query", "rank"])))
+
+
 @query("SELECT 'doc-' || doc_id || '.txt' AS filename, count(*) AS pages FROM (SELECT doc_id FROM documents, range(0, 200) r(i) WHERE i * 3500 < length(text) AND trim(substr(text, (i * 3500 + 1)::INT, 3500), ' ' || chr(10)) <> '') GROUP BY 1")
 def load_text_files(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import constants as C
 from quillspark.functions import text as T
+from quillspark.functions.images import image_header
 from quillspark.operators.chunking import split_pages
 
 PAGES = "fingerprint string, filename string, page_number int, text string, load_error string"
@@ -142,11 +144,56 @@ def find_files(spark: SparkSession, path: str, query: str, extensions: list[str]
     return d.where(ok).orderBy("path").limit(most)
 
 
+def images(files: DataFrame) -> DataFrame:
+    """fingerprint, filename, kind, width, height and mode of the image files among ``files`` (filename, content)."""
+    d = T.settled(files.select(F.col("filename"), "content"), "filename", T.sanitize_filename(F.col("filename")))
+    d = T.settled(d, "_kind", reader_kind(F.col("filename"), mime(F.col("filename"), F.col("content")))).where("_kind = 'image'")
+    return T.settled(d.withColumn("fingerprint", F.sha2("content", 256)), "image", image_header(F.col("content"))).select("fingerprint", "filename", "image.kind", "image.width", "image.height", "image.mode")
+
+
+#: Finds up to so many results (title, snippet, link) for a text.
+SearchProvider = Callable[[str, int], list[dict]]
+RESULTS = "rank int, title string, snippet string, link string, search_error string"
+
+
+def search(queries: DataFrame, provider: SearchProvider, most: int = 5, block: int = 100, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """query_id, rank, title, snippet, link, search_error: what a provider finds for each of ``queries`` (query_id, text).
+
+    The provider is called in tasks, ``block`` queries each. A query that fails ``attempts`` times is one row with rank 0
+    and its error; others are not disturbed. A blank query finds nothing."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    n = max(1, -(-queries.count() // block))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b["query_id"], b["text"], strict=True):
+                for left in range(attempts - 1, -1, -1):
+                    try:
+                        found = provider(t, most) if t and t.strip() else []
+                        rows += [(i, k, r.get("title"), r.get("snippet"), r.get("link"), None) for k, r in enumerate(found[:most], 1)]
+                        break
+                    except Exception as e:  # a query that cannot be answered is a row with its error
+                        if not left:
+                            rows.append((i, 0, None, None, None, f"{type(e).__name__}: {e}"))
+                        else:
+                            time.sleep(pause)
+            yield pd.DataFrame(rows, columns=["query_id", "rank", "title", "snippet", "link", "search_error"])
+
+    return queries.select("query_id", "text").repartition(n).mapInPandas(run, f"query_id {kind}, {RESULTS}")
+
+
+def stored_search(queries: DataFrame, results: DataFrame, most: int = 5) -> DataFrame:
+    """As ``search``, from stored results (query text, rank, title, snippet, link) of the same texts."""
+    r = results.where(F.col("rank").between(1, most)).select("query", F.col("rank").cast("int").alias("rank"), "title", "snippet", "link")
+    return queries.join(r, F.col("text") == F.col("query")).select("query_id", "rank", "title", "snippet", "link", F.lit(None).cast("string").alias("search_error"))
+
+
 def search_results_text(results: DataFrame, most: int = 5) -> DataFrame:
     """query_id, text: titles, snippets and links of the first ``most`` results (query_id, rank, title, snippet, link)."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("snippet", F.lit("")), F.lit("\n"), F.coalesce("link", F.lit("")))
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("p"))))
-    return results.where(F.col("rank") <= most).groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["p"]), "\n\n").alias("text"))
+    return results.where(F.col("rank").between(1, most)).groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["p"]), "\n\n").alias("text"))
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
