@@ -126,4 +126,4 @@ def challenge_cases(chunks: DataFrame, seed: int = 7, n: int = 100) -> DataFrame
     )
     rows = d.select("chunk_id", "page_hint", "fingerprint", F.col("tokens").alias("expect_any"), F.explode(kinds).alias("k"))
     rows = rows.select("chunk_id", "page_hint", "fingerprint", "expect_any", "k.challenge", "k.query")
-    return rows.orderBy(F.xxhash64(F.lit(seed), "chunk_id", "challenge"), "chunk_id", "challenge").limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chunk_id", "challenge")), "chunk_id", "challenge").limit(n)

@@ -263,28 +263,43 @@ def full_text_concat(spark, sf_dir):
     return chunking.full_text(chunking.split_pages(read(spark, sf_dir, "documents")), "doc_id")
 
 
-_CUT = r"""
-    t0 AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
-    w(doc_id, t, step, start, piece, stop) AS (
-      SELECT doc_id, t, 0, 0, '', 0 FROM t0 WHERE t <> ''
+def _cut(source: str, *keys: str) -> str:
+    """The steps of the chunker over ``source`` (keys, t): pieces of the text in w, from step 1 on."""
+    k = ", ".join(keys)
+    return rf"""
+    t0 AS (SELECT {k}, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM {source}),
+    w({k}, t, step, start, piece, stop) AS (
+      SELECT {k}, t, 0, 0, '', 0 FROM t0 WHERE t <> ''
       UNION ALL
-      SELECT doc_id, t, step + 1, CASE WHEN e >= length(t) THEN -1 ELSE greatest(0, e - 200) END, substr(t, start + 1, e - start), e
+      SELECT {k}, t, step + 1, CASE WHEN e >= length(t) THEN -1 ELSE greatest(0, e - 200) END, substr(t, start + 1, e - start), e
       FROM (SELECT *, CASE WHEN start + length(x) < length(t) AND brk > 600 THEN start + brk + 1 ELSE start + length(x) END AS e
             FROM (SELECT *, greatest(CASE WHEN contains(x, ' ') THEN length(x) - instr(reverse(x), ' ') ELSE -1 END, CASE WHEN contains(x, chr(10) || chr(10)) THEN length(x) - instr(reverse(x), chr(10) || chr(10)) - 1 ELSE -1 END) AS brk
-                  FROM (SELECT *, substr(t, start + 1, 1200) AS x FROM w WHERE start >= 0))))"""
+                  FROM (SELECT *, substr(t, start + 1, 1200) AS x FROM w WHERE start >= 0)))),
+    pieces AS (SELECT * FROM (SELECT {k}, step, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS p FROM w WHERE step > 0) WHERE p <> '')"""
 
 
-@query(f"WITH RECURSIVE {_CUT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS ordinal, p AS text FROM (SELECT doc_id, step, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS p FROM w WHERE step > 0) WHERE p <> ''")
+@query(f"WITH RECURSIVE {_cut('(SELECT doc_id, text AS t FROM documents)', 'doc_id')} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS ordinal, p AS text FROM pieces")
 def recursive_chunks(spark, sf_dir):
     return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("ordinal", "text"))
 
 
-@query()
+_MARKED = f"{_PAGES}, mk AS (SELECT doc_id, page_number, '[Page ' || page_number || ']' || chr(10) || text AS m FROM pg)"
+_CHUNK = "sha256(doc_id::VARCHAR) AS fingerprint, 'doc-' || doc_id || '.txt' AS filename, substr(sha256(doc_id::VARCHAR), 1, 16) || ':' || page_start || ':' || ordinal || ':' || substr(sha256(p), 1, 8) AS chunk_id, ordinal::INT AS ordinal, page_start, page_end, p AS text"
+_PAGE_CHUNKS = f"""{_MARKED}, {_cut("(SELECT doc_id, page_number, m AS t FROM mk WHERE length(m) > 1200)", 'doc_id', 'page_number')},
+    every AS (SELECT doc_id, page_number, step, p FROM pieces UNION ALL SELECT doc_id, page_number, 1, m FROM mk WHERE length(m) <= 1200),
+    ch AS (SELECT doc_id, page_number AS page_start, page_number AS page_end, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, step) - 1 AS ordinal, p FROM every)"""
+
+
+@query(f"WITH RECURSIVE {_PAGE_CHUNKS} SELECT {_CHUNK}, 'page_aware' AS strategy FROM ch")
 def page_aware_chunks(spark, sf_dir):
     return chunking.page_aware(pages_of(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_MARKED}, ft AS (SELECT doc_id, string_agg(m, chr(10) || chr(10) ORDER BY page_number) AS t FROM mk GROUP BY 1), {_cut('ft', 'doc_id')},
+    ch AS (SELECT *, coalesce(list_min(f), 0) AS page_start, coalesce(list_max(f), 0) AS page_end FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS ordinal, list_transform(regexp_extract_all(p, '\[Page\s+(\d+)\]', 1), lambda x: x::INT) AS f FROM pieces))
+    SELECT {_CHUNK}, 'recursive' AS strategy FROM ch"""
+)
 def document_recursive_chunks(spark, sf_dir):
     return chunking.recursive(pages_of(spark, sf_dir))
 
@@ -641,9 +656,19 @@ def eval_retrieval(spark, sf_dir):
     return evaluation.retrieval_report(cases, hits).select(F.coalesce("kind", F.lit("overall")).alias("kind"), "passed", "total", F.round("score", 6).alias("score"), "ok")
 
 
-@query()
+_CHUNK_TOKENS = _TOK.replace("coalesce(text, '')", "p")
+_CHUNK_FP = r"(SELECT CASE WHEN length(t) >= 60 AND length(f) >= 24 THEN f END FROM (SELECT t, trim(substr(t, greatest(length(t) // 2 - 24, 0) + 1, 48)) AS f FROM (SELECT trim(regexp_replace(p, '[\s\x{0085}\x{00A0}\x{0B}]+', ' ', 'g')) AS t)))"
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGE_CHUNKS}, c AS (SELECT {_CHUNK}, list_filter({_CHUNK_TOKENS}, lambda x: length(x) >= 4) AS long, {_CHUNK_FP} AS fingerprint_ FROM ch),
+    u AS (SELECT chunk_id, page_start, fingerprint_ AS fp, list_slice(list_filter(long, lambda x, i: list_position(long, x) = i), 1, 3) AS t FROM c),
+    k AS (SELECT chunk_id, page_start AS page_hint, fp AS fingerprint, array_to_string(t, ',') AS expect_any, kind AS challenge, CASE kind WHEN 'keyword' THEN t[1] WHEN 'keywords' THEN array_to_string(t, ' ') WHEN 'question' THEN 'what is said about ' || t[2] || '?' WHEN 'reversed' THEN array_to_string(list_reverse(t), ' ') WHEN 'phrase' THEN left(fp, 30) ELSE 'please find ' || t[3] END AS query
+          FROM u, (VALUES ('keyword'), ('keywords'), ('question'), ('reversed'), ('phrase'), ('noisy')) n(kind) WHERE len(t) = 3 AND fp IS NOT NULL)
+    SELECT * FROM k ORDER BY md5('7:' || chunk_id || ':' || challenge), chunk_id, challenge LIMIT 100"""
+)
 def challenge_cases(spark, sf_dir):
-    return evaluation.challenge_cases(chunking.page_aware(pages_of(spark, sf_dir)))
+    return evaluation.challenge_cases(chunking.page_aware(pages_of(spark, sf_dir))).withColumn("expect_any", F.array_join("expect_any", ","))
 
 
 # --- Collections and events -------------------------------------------------------------------------------------
@@ -709,6 +734,17 @@ def mime_types(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", S.mime(name, head).alias("mime"))
 
 
+@query("SELECT doc_id, unnest([1, 2])::INT AS page_number, unnest(['Document ' || doc_id, trim(regexp_replace(text, '[^ -~]+', ' ', 'g'))]) AS text FROM documents")
+def pdf_files(spark, sf_dir):
+    """Documents as PDF files of two pages: a title, and the text's ASCII characters."""
+    ascii_ = F.regexp_replace(F.regexp_replace("text", "[^ -~]+", " "), r"([\\()])", r"\\$1")
+    name = F.col("doc_id").cast("string")
+    page = lambda number, shown: F.concat(F.lit(f"{number} 0 obj << >>\nstream\nBT /F1 12 Tf 72 700 Td ("), shown, F.lit(f") Tj ET\nendstream endobj\n{number + 1} 0 obj << /Type /Page /Contents {number} 0 R >> endobj\n"))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Count 2 /Kids [4 0 R 6 0 R] >> endobj\n"), page(3, F.concat(F.lit("Document "), name)), page(5, ascii_), F.lit("trailer << /Root 1 0 R >>"))
+    d = S.load(spread(read(spark, sf_dir, "documents")).select(F.concat(name, F.lit(".pdf")).alias("filename"), F.encode(body, "UTF-8").alias("content")))
+    return d.where("load_error is null").select(F.split_part("filename", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "page_number", "text")
+
+
 @query("SELECT doc_id, ['PNG', 'JPEG', 'GIF', 'BMP', 'TIFF', 'WEBP'][doc_id % 6 + 1] AS kind, 1 + n_chars % 4000 AS width, 1 + doc_id % 3000 AS height, ['RGBA', 'RGB', 'P', 'RGB', 'CMYK', 'RGB'][doc_id % 6 + 1] AS mode FROM documents")
 def image_headers(spark, sf_dir):
     """Image files whose sizes come from the documents: a header, then the document's text as its data."""

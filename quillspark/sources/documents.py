@@ -16,6 +16,7 @@ from quillspark.functions import constants as C
 from quillspark.functions import text as T
 from quillspark.functions.images import image_header
 from quillspark.operators.chunking import split_pages
+from quillspark.sources.pdf import pdf_pages
 
 PAGES = "fingerprint string, filename string, page_number int, text string, load_error string"
 
@@ -70,24 +71,6 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Page texts by the optional pypdf library; a page that cannot be read is empty."""
-    import pypdf
-
-    reader = pypdf.PdfReader(io.BytesIO(data))
-    if reader.is_encrypted:
-        raise ValueError("the document is encrypted")
-    out = []
-    for page in reader.pages:
-        try:
-            out.append(page.extract_text() or "")
-        except Exception:
-            out.append("")
-    if not out:
-        raise ValueError("the document has no pages")
-    return out
-
-
 def _binary_pages(read: Callable[[bytes], list[str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,16 +85,15 @@ def _binary_pages(read: Callable[[bytes], list[str]]):
     return run
 
 
-def load(files: DataFrame, max_pages: int = 120, page_chars: int = 3500, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+def load(files: DataFrame, max_pages: int = 120, page_chars: int = 3500, pdf: Callable[[bytes, int], list[str]] = pdf_pages) -> DataFrame:
     """Pages (fingerprint, filename, page_number, text, load_error) of files (filename, content, optional error).
-    Images have no text layer and are rejected; every rejected file is one row with page_number 0 and its error."""
+    ``pdf``: from a PDF file and the most pages to the page texts. Images have no text layer and are rejected; every
+    rejected file is one row with page_number 0 and its error."""
     d = files.select(T.sanitize_filename(F.col("filename")).alias("filename"), "content", (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("error"))
     d = d.withColumns({"fingerprint": F.sha2("content", 256), "kind": F.when(F.col("error").isNotNull(), "bad").otherwise(reader_kind(F.col("filename"), mime(F.col("filename"), F.col("content"))))})
     text = d.where("kind = 'text'").withColumn("text", decode_text(F.col("content"))).withColumn("key", F.struct("fingerprint", "filename"))
     text_pages = split_pages(text, page_chars, key="key").select("key.fingerprint", "key.filename", "page_number", "text", F.lit(None).cast("string").alias("load_error"))
-    pdfs = d.where("kind = 'pdf'").select("fingerprint", "filename", "content").mapInPandas(_binary_pages(pdf), PAGES)
-    too_long = F.max("page_number").over(Window.partitionBy("fingerprint", "filename")) > max_pages
-    pdfs = pdfs.withColumn("long", too_long).select("fingerprint", "filename", F.when(F.col("long"), 0).otherwise(F.col("page_number")).alias("page_number"), F.when(~F.col("long"), F.col("text")).alias("text"), F.when(F.col("long"), f"more than {max_pages} pages").otherwise(F.col("load_error")).alias("load_error")).distinct()
+    pdfs = d.where("kind = 'pdf'").select("fingerprint", "filename", "content").mapInPandas(_binary_pages(lambda data: pdf(data, max_pages)), PAGES)
     docx = d.where("kind = 'docx'").select("fingerprint", "filename", "content").mapInPandas(_binary_pages(lambda data: [docx_text(data)]), PAGES)
     docx_ok = docx.where("load_error is null").withColumn("key", F.struct("fingerprint", "filename"))
     docx_pages = split_pages(docx_ok, page_chars, key="key").select("key.fingerprint", "key.filename", "page_number", "text", F.lit(None).cast("string").alias("load_error"))
