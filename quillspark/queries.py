@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import Options
 from quillspark.functions import constants as C
+from quillspark.functions import sql
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, conversations, evaluation
@@ -24,11 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return add
@@ -439,6 +440,31 @@ def mid_fingerprints(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.mid_fingerprint(F.col("text")).alias("fingerprint"))
 
 
+_SQL_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?؟۔])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(
+    f"""WITH {_COUNTS} SELECT doc_id, CASE WHEN trim(text) = '' THEN 'en' WHEN ar >= 3 AND la >= 3 THEN 'mixed' WHEN ar > 0 AND la > 0 THEN CASE WHEN ar >= la THEN 'ar' ELSE 'en' END WHEN ar > 0 THEN 'ar' ELSE 'en' END AS lang,
+    CASE WHEN n > 0 AND ar / n > 0.3 THEN 'rtl' ELSE 'ltr' END AS direction, sha256(trim(regexp_replace(text, '[\\s\\x{{0085}}\\x{{00A0}}\\x{{0B}}]+', ' ', 'g'))) AS squeezed, length(CASE WHEN n > 500 THEN left(text, 500) || chr(10) || '… [truncated]' ELSE text END)::BIGINT AS cut,
+    round(ln(1 + greatest(0, (1000 - doc_id % 1000 + 0.5) / (doc_id % 1000 + 0.5))), 6) AS idf, round((1 + doc_id % 9) * 2.5 / (1 + doc_id % 9 + 1.5 * (0.25 + 0.75 * greatest(n, 1) / 900)), 6) AS saturation, round(1 / (60 + doc_id), 9) AS rrf,
+    CASE doc_id % 4 WHEN 0 THEN 'Page ?' ELSE CASE WHEN doc_id % 2 = 1 THEN 'Pages ' || doc_id % 4 || '-' || (doc_id % 4 + 1) ELSE 'Page ' || doc_id % 4 END END AS label FROM c"""
+)
+def sql_scalars(spark, sf_dir):
+    """The registered SQL functions, in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT doc_id, quill_language(text) AS lang, quill_direction(text) AS direction, sha2(quill_squeeze(text), 256) AS squeezed, CAST(length(quill_truncated(text, 500)) AS BIGINT) AS cut, round(quill_idf(1000, doc_id % 1000), 6) AS idf,
+        round(quill_saturation(1 + doc_id % 9, length(text), 900), 6) AS saturation, round(quill_rrf(doc_id), 9) AS rrf, quill_page_label(CAST(doc_id % 4 AS INT), CAST(doc_id % 4 + doc_id % 2 AS INT)) AS label FROM {docs}""",
+        docs=_mixed_docs(spark, sf_dir),
+    )
+
+
+@query(f"SELECT doc_id, s.pos::INT AS pos, sentence FROM (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_SQL_SENTENCES} AS l FROM documents)) s")
+def sql_sentences(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, pos, sentence FROM {docs}, LATERAL quill_sentences(text)", docs=read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- Turns ------------------------------------------------------------------------------------------------------
 def _any(col: str, markers) -> str:
     return "(" + " OR ".join(f"contains({col}, '{m}')" for m in markers) + ")"
