@@ -35,12 +35,15 @@ class Options:
     page_chars: int = 3500
     summary_chars: int = 48_000
     knowledge_collection: str = "knowledge"
+    text_engine: str = "digital"
 
     def __post_init__(self) -> None:
         if not 0 <= self.chunk_overlap <= self.chunk_size // 2:
             raise ValueError("chunk_overlap must lie between 0 and half of chunk_size")
         if self.fusion not in ("rrf", "weighted"):
             raise ValueError(f"unknown fusion: {self.fusion}")
+        if self.text_engine.lower() not in ("digital", "digital_text", "none", ""):
+            raise ValueError(f"unknown text engine: {self.text_engine}; only text layers are read")
         if self.chunk_strategy not in ("recursive", "page_aware", "layout_aware", "semantic"):
             raise ValueError(f"unknown chunk strategy: {self.chunk_strategy}")
 

@@ -105,6 +105,11 @@ def passage_cases(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return d.select("id", "fp", rows.alias("k")).select((F.col("id") * 10 + F.col("k.i")).alias("qid"), "k.kind", "k.text", F.array("fp").alias("expect_any"))
 
 
+def boosted_count(cases: DataFrame, boosted: Column) -> int:
+    """How many cases have a query that was boosted."""
+    return cases.agg(F.count_if(F.coalesce(boosted, F.lit(False))).alias("n")).first().n
+
+
 def retrieval_report(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame], by: str = "kind") -> DataFrame:
     """``report`` of cases (qid, kind, text, expect_any) by kind: each is retrieved and passes if a hit's text, white
     space aside, holds what it expects. ``retrieve``: from (query_id, text) to hits (query_id, rank, text)."""

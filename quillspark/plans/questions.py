@@ -66,6 +66,12 @@ def answered(hits: DataFrame, questions: DataFrame, judge: Judge | None = None,
     return q.select("query_id", "used", text.alias("answer"))
 
 
+def none_found(questions: DataFrame, missing: dict = C.NOT_IN_DOCUMENTS) -> DataFrame:
+    """What ``answered`` gives for questions without hits."""
+    nothing = questions.sparkSession.createDataFrame([], "query_id long, rank int, filename string, page_start int, page_end int, score double, text string")
+    return answered(nothing.withColumn("query_id", F.col("query_id").cast(questions.schema["query_id"].dataType)), questions, missing=missing)
+
+
 def document_questions(chunks: DataFrame, questions: DataFrame, options: Options = Options(), embed=None, judge: Judge | None = None, answer: Answer | None = None, translate=None, **filters) -> DataFrame:
     """Answers (``answered``) to questions (query_id, question) from the chunks of documents."""
     q = retrieve.prepare_queries(questions.select("query_id", F.col("question").alias("text")), embed, translate)
@@ -79,10 +85,8 @@ def knowledge_questions(chunks: DataFrame | None, questions: DataFrame, options:
     search = F.when(F.col("_p.search_query") != "", F.col("_p.search_query")).otherwise(F.col("question"))
     text = F.concat_ws(" ", search, F.array_join("_p.keywords", " "))
     if chunks is None:
-        nothing = questions.sparkSession.createDataFrame([], "query_id long, rank int, filename string, page_start int, page_end int, score double, text string")
-        hits = nothing.withColumn("query_id", F.col("query_id").cast(questions.schema["query_id"].dataType))
-    else:
-        hits = retrieve.retrieve(chunks, retrieve.prepare_queries(planned.select("query_id", text.alias("text")), embed), options, scope="candidates")
+        return none_found(questions, C.NOT_IN_KNOWLEDGE)
+    hits = retrieve.retrieve(chunks, retrieve.prepare_queries(planned.select("query_id", text.alias("text")), embed), options, scope="candidates")
     return answered(hits, questions, judge, answer, C.NOT_IN_KNOWLEDGE)
 
 

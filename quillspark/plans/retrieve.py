@@ -20,7 +20,7 @@ def with_tokens(df: DataFrame, compat: bool = False) -> DataFrame:
     return T.settled(df, "tokens", T.tokenize(F.col("text"), compat))
 
 
-def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fetch: int, options: Options, filters: dict, scope: str) -> DataFrame:
+def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fetch: int, options: Options, filters: dict, scope: str, reranker=None) -> DataFrame:
     """Ranked rows of chunk data: filters, cut, threshold, then rerank or the first k; with the ways they were found."""
     hits = fused.join(chunks.drop("tokens", "embedding"), "chunk_id")
     hits = R.metadata_filter(hits, **filters) if filters else hits
@@ -29,6 +29,11 @@ def _finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, fet
     hits = R.min_score(hits, options.min_score)
     hybrid = options.retrieval_mode == "hybrid"
     hits = hits.withColumns({"retrieval": F.lit(f"hybrid-{scope}" if hybrid else "semantic"), "fusion": F.lit(options.fusion if hybrid else "none"), "reranked": F.lit(options.enable_rerank)})
+    if reranker is not None:
+        asked = queries.select("query_id", F.col("text").alias("_q"))
+        hits = T.settled(hits.join(R.small(asked), "query_id"), "_by", reranker(F.col("_q"), F.col("text")).cast("double"))
+        judged = hits.withColumns({"prior_rank": F.col("rank"), "score": F.coalesce("_by", F.lit(float("-inf"))), "reranked": F.lit(True)}).drop("rank", "_q", "_by")
+        return R.top_k(judged, "score", k, "prior_rank").drop("prior_rank")
     if not options.enable_rerank:
         # Ranks close up after the threshold.
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
@@ -85,20 +90,21 @@ def _corpus_fusion(dense: DataFrame, chunks: DataFrame, queries: DataFrame, fetc
     return sparse.join(total, "query_id").select("query_id", "chunk_id", score.alias("score"), "dense_rank", "sparse_rank")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options(), k: int | None = None, scope: str = "corpus", **filters) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options(), k: int | None = None, scope: str = "corpus", reranker=None, **filters) -> DataFrame:
     """query_id, rank, chunk data and score of the best k chunks, with retrieval, fusion and reranked: how they were found.
 
     ``chunks``: chunk_id, ordinal, text, filename, page_start, page_end, tokens, embedding; ``queries``: query_id, text,
     tokens, embedding. ``scope="corpus"``: BM25 over every chunk, fused with the dense candidates; ``"candidates"``:
     BM25 with the statistics of each query's dense candidates alone. ``filters``: filename, page_from, page_to,
-    applied after fusion."""
+    applied after fusion. ``reranker``: a column function (question, text) whose scores take the place of the others, as a
+    model's do; those without one come last."""
     k = k or options.top_k
     fetch = max(k * options.candidate_multiplier, k)
     dense = tables.written(R.dense_top_k(chunks.select("chunk_id", "embedding"), queries, fetch, "chunk_id", rank="dense_rank"), "dense")
     if options.retrieval_mode != "hybrid":
-        return _finish(dense.withColumn("sparse_rank", F.lit(0)), chunks, queries, k, fetch, options, filters, scope)
+        return _finish(dense.withColumn("sparse_rank", F.lit(0)), chunks, queries, k, fetch, options, filters, scope, reranker)
     if scope != "candidates":
-        return _finish(_corpus_fusion(dense, chunks, queries, fetch, options, filters), chunks, queries, k, fetch, options, filters, scope)
+        return _finish(_corpus_fusion(dense, chunks, queries, fetch, options, filters), chunks, queries, k, fetch, options, filters, scope, reranker)
     candidates = dense.select("query_id", "chunk_id").join(chunks.select("chunk_id", "tokens"), "chunk_id")
     sparse = R.bm25_of_candidates(candidates, queries, "chunk_id").join(dense.select("query_id", "chunk_id", "dense_rank"), ["query_id", "chunk_id"])
     sparse = sparse.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "dense_rank")))
@@ -106,7 +112,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options()
         fused = R.rrf([dense.withColumnRenamed("dense_rank", "rank"), sparse.withColumnRenamed("sparse_rank", "rank")], "chunk_id", options.rrf_k)
     else:
         fused = R.weighted_fusion(dense, sparse, "chunk_id", options.semantic_weight, options.bm25_weight)
-    return _finish(fused.join(sparse.select("query_id", "chunk_id", "dense_rank", "sparse_rank"), ["query_id", "chunk_id"]), chunks, queries, k, fetch, options, filters, scope)
+    return _finish(fused.join(sparse.select("query_id", "chunk_id", "dense_rank", "sparse_rank"), ["query_id", "chunk_id"]), chunks, queries, k, fetch, options, filters, scope, reranker)
 
 
 def build_index(pages: DataFrame, options: Options = Options(), embed=None) -> DataFrame:

@@ -23,6 +23,12 @@ def event_node(c: Column) -> Column:
     return F.coalesce(*[F.when(F.get_json_object(c, p) != "", F.get_json_object(c, p)) for p in ("$.metadata.langgraph_node", "$.name")])
 
 
+def step_of(node: Column, steps: dict[str, list[str]]) -> Column:
+    """The step that a node belongs to (``steps``: step to its nodes, the last one counts); null for others."""
+    pairs = {n: step for step, nodes in steps.items() for n in nodes}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), node) if pairs else F.lit(None).cast("string")
+
+
 def event_output(c: Column) -> Column:
     """The output object of an event's data (JSON), else the data; an empty object without either."""
     is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{"))

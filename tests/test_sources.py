@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import Options
+from quillspark.functions import sql
 from quillspark.functions.images import image_header
 from quillspark.operators import evaluation
 from quillspark.operators import ranking as R
-from quillspark.plans import answers, questions, retrieve
+from quillspark.plans import answers, graph, planner, questions, retrieve
 from quillspark.sources import documents as S
+from quillspark.streaming import events
 
 
 def segment(mark, data):
@@ -165,3 +167,46 @@ def test_whole_questions(spark):
     told = {r.query_id: r for r in questions.knowledge_questions(index, q).collect()}
     assert "cargo of spices. [1]" in told[1].answer and told[2].answer
     assert {r.used == [] for r in questions.knowledge_questions(None, q).collect()} == {True}
+
+
+def test_turns_take_their_routes(spark):
+    page = lambda i, name, text: (f"{i:064x}", name, 1, text, "")
+    pages = spark.createDataFrame([page(1, "ships.txt", "A ship crossed the ocean. It had a cargo of spices. It came back. Then it sank.")], "fingerprint string, filename string, page_number int, text string, html string")
+    index = retrieve.build_index(pages)
+    rows = [(1, "Which cargo had the ship?", "eA==", f"{1:064x}", False), (2, "please summarize this", "eA==", f"{1:064x}", False), (3, "search the web for silk roads", "", None, False), (4, "hello", "", None, False), (5, "what was the cargo of spices?", "", None, True)]
+    turns = spark.createDataFrame(rows, "query_id long, text string, pdf_data_base64 string, fingerprint string, use_knowledge_base boolean").withColumn("knowledge_available", F.col("query_id") == 5)
+    found = lambda q: S.search(q, lambda text, most: [{"title": text, "snippet": "s", "link": "l"}])
+    got = {r.query_id: (r.agent_route, r.answer) for r in graph.answer_turns(turns, pages, index, index, found, lambda t: F.concat(F.lit("you said "), t)).collect()}
+    assert got[1][0] == "query_documents" and "cargo" in got[1][1]
+    assert got[2] == ("summarize_document", "[Page 1]\nA ship crossed the ocean. It had a cargo of spices. It came back.")
+    assert got[3] == ("web_search", "1. silk roads\ns\nl")
+    assert got[4] == ("call_model", "you said hello")
+    assert got[5][0] == "query_knowledge_base" and "spices" in got[5][1]
+    bare = {r.query_id: r.answer for r in graph.answer_turns(turns).collect()}
+    assert bare[3] == graph.NO_RESULTS and bare[4] is None and bare[1] and bare[2]
+
+
+def test_a_reranker_has_the_last_word(spark):
+    c = spark.createDataFrame([(f"c{i}", i, f"text {i}", "f", 1, 1, ["text"], [1.0, float(i)]) for i in range(6)], "chunk_id string, ordinal int, text string, filename string, page_start int, page_end int, tokens array<string>, embedding array<double>")
+    q = spark.createDataFrame([(1, "text", ["text"], [1.0, 0.0])], "query_id long, text string, tokens array<string>, embedding array<double>")
+    by_number = lambda question, text: F.when(text != "text 5", F.regexp_extract(text, r"(\d)", 1).cast("int"))
+    got = retrieve.retrieve(c, q, k=6, reranker=by_number).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["c4", "c3", "c2", "c1", "c0", "c5"] and got[0].reranked
+
+
+def test_sql_functions(spark):
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS) == len(sql.register(spark))
+    r = spark.sql("SELECT quill_overlap(array('a', 'b'), array('b')) AS o, quill_overlap(array(), array('b')) AS z, quill_dot(array(1.0D, 2.0D), array(3.0D, 4.0D)) AS d, quill_language(NULL) AS l").first()
+    assert (round(r.o, 6), r.z, r.d, r.l) == (0.707107, 0.0, 11.0, "en")
+    assert [tuple(x) for x in spark.sql("SELECT page, content FROM quill_pages('abcdefg', 3)").collect()] == [(1, "abc"), (2, "def"), (3, "g")]
+    assert spark.sql("SELECT * FROM quill_pages('', 3)").count() == 0 and spark.sql("SELECT * FROM quill_sentences(' ')").count() == 0
+
+
+def test_steps_counts_and_engines(spark):
+    d = spark.createDataFrame([("plan",), ("x",), (None,)], "n string")
+    assert [r.s for r in d.select(events.step_of(F.col("n"), {"one": ["plan", "route"], "two": []}).alias("s")).collect()] == ["one", None, None]
+    cases = spark.createDataFrame([("who is this",), ("a longer question about the trade routes of that century",), (None,)], "text string")
+    assert evaluation.boosted_count(cases, planner.needs_boost(F.col("text"))) == 1
+    assert Options(text_engine="DIGITAL").text_engine == "DIGITAL"
+    with pytest.raises(ValueError, match="text engine"):
+        Options(text_engine="ocr")
