@@ -10,7 +10,7 @@ no long conversation is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import removed, written
@@ -108,28 +108,45 @@ def roots(links: DataFrame) -> DataFrame:
             return links.join(now.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
 
 
+def ranked(messages: DataFrame, block: int = 256) -> DataFrame:
+    """Adds rank: the place (from 0) of a message in its conversation in reply order (root_turn, turn, then its text).
+
+    No task sorts a conversation. Messages are counted by thread and stretch of ``block`` turns; what stands before a
+    stretch is a sum of counts: of earlier blocks of threads, of earlier threads of the block, of earlier stretches of the
+    thread. Only the messages of one stretch are ordered together."""
+    key = ["conv_id", "root_turn", "_stretch"]
+    m = messages.withColumn("_stretch", F.floor(F.col("turn") / block))
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = lambda d, *by: d.groupBy(*by).agg(F.sum("_n").alias("_n"))
+    stretches = m.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    threads = counted(stretches, "conv_id", "root_turn").withColumn("_block", F.floor(F.col("root_turn") / block))
+    blocks = counted(threads, "conv_id", "_block").select("conv_id", "_block", before(["conv_id"], "_block").alias("_a"))
+    threads = threads.select("conv_id", "_block", "root_turn", before(["conv_id", "_block"], "root_turn").alias("_b")).join(blocks, ["conv_id", "_block"])
+    stretches = stretches.select(*key, before(["conv_id", "root_turn"], "_stretch").alias("_c")).join(threads, ["conv_id", "root_turn"])
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("turn", "formatted")) - 1
+    placed = m.withColumn("_d", place).join(stretches.select(*key, (F.col("_a") + F.col("_b") + F.col("_c")).alias("_before")), key)
+    return placed.withColumn("rank", F.col("_before") + F.col("_d")).drop("_stretch", "_d", "_before")
+
+
 def conversations(messages: DataFrame, most: int = 256) -> DataFrame:
     """Conversations without quotes, from the rows of ``chat_format``: conv_id, root_turn, part, n_messages, n_linked,
     conversation (the formatted messages in reply order, a blank line between them), messages (turn, role, parent_turn,
     root_turn, depth, n_quotes, n_linked of each, in that order).
 
-    Reply order is by root_turn, then turn; without quotes that is the order of turns. A conversation of at most ``most``
-    messages is one row (root_turn and part are null); a longer one has a row for every thread and ``most`` turns in
-    it, and its rows in the order of root_turn and part make the whole. Rows with a null conv_id or turn are a
-    conversation each; repeated rows (same conv_id and turn) all stay, in the order of their text. An empty table gives no
-    rows.
+    Reply order is by root_turn, then turn; without quotes that is the order of turns. A conversation is a row for every
+    ``most`` of its messages in that order: part 0 holds the first, and parts one after the other make the whole;
+    root_turn is that of a part's first message. Rows with a null conv_id or turn are a conversation each; repeated rows
+    (same conv_id and turn) all stay, in the order of their text. An empty table gives no rows.
     """
     item = F.struct("root_turn", "turn", "formatted", "role", "parent_turn", "depth", "n_quotes", "n_linked")
     complete = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    sizes = messages.where(complete).groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
-    long = F.col("size") > most
-    none = F.lit(None).cast("long")
-    m = messages.where(complete).join(sizes, "conv_id").withColumns({"_root": F.when(long, F.col("root_turn")).otherwise(none), "_part": F.when(long, F.floor(F.col("turn") / most)).otherwise(none)})
-    rows = m.groupBy("conv_id", "_root", "_part").agg(F.array_sort(F.collect_list(item)).alias("m"))
-    single = messages.where(~complete).select("conv_id", none.alias("_root"), none.alias("_part"), F.array(item).alias("m"))
+    whole = written(messages, "formatted")
+    m = ranked(whole.where(complete)).withColumn("_part", F.floor(F.col("rank") / most))
+    rows = m.groupBy("conv_id", "_part").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda x: x.x).alias("m"))
+    single = whole.where(~complete).select("conv_id", F.lit(0).cast("long").alias("_part"), F.array(item).alias("m"))
     lean = lambda x: F.struct(x.turn.alias("turn"), x.role.alias("role"), x.parent_turn.alias("parent_turn"), x.root_turn.alias("root_turn"), x.depth.alias("depth"), x.n_quotes.alias("n_quotes"), x.n_linked.alias("n_linked"))
     return rows.unionByName(single).select(
-        "conv_id", F.col("_root").alias("root_turn"), F.col("_part").alias("part"), F.size("m").cast("long").alias("n_messages"),
+        "conv_id", F.get("m", F.lit(0)).root_turn.alias("root_turn"), F.col("_part").alias("part"), F.size("m").cast("long").alias("n_messages"),
         F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x.n_linked).alias("n_linked"),
         F.array_join(F.transform("m", lambda x: x.formatted), "\n\n").alias("conversation"), F.transform("m", lean).alias("messages"),
     )

@@ -414,8 +414,27 @@ def test_conversations(spark):
     short = sorted(((r.conv_id or 0, r.n_messages, r.n_linked, r.conversation) for r in conversations(d).collect()))
     lost = (0, 1, 0, "<|unknown|>\nlost")
     assert short == [lost, lost, (1, 4, 2, "<|user|>\nFirst one here\n\n<|bot|>\nTo the first\n\n<|bot|>\nTo the first\n\n<|user|>\nSecond one here"), (2, 1, 0, "<|user|>\n")]
-    parts = sorted((r.root_turn, r.part, [m.turn for m in r.messages]) for r in conversations(d, 2).where("conv_id = 1").collect())
-    assert parts == [(0, 0, [0]), (0, 1, [2, 2]), (1, 0, [1])]
+    parts = sorted((r.part, r.root_turn, [m.turn for m in r.messages]) for r in conversations(d, 2).where("conv_id = 1").collect())
+    assert parts == [(0, 0, [0, 2]), (1, 0, [2, 1])]
+
+
+def test_long_conversations(spark):
+    """Parts of one size, whatever threads, stretches of turns and repeated turns a conversation has."""
+    plain = [(1, i, "user", f"message {i}") for i in range(257)]
+    same = [(2, 7, "user", f"text {i:04}") for i in range(900)]
+    r = random.Random(8)
+    threads = [(3, i, "bot", "topic zero of all" if i == 0 else f"> topic zero of all\nanswer {i}" if r.random() < 0.5 else f"remark {i}") for i in range(1500)]
+    d = chat_format(spark.createDataFrame(plain + same + threads, "conv_id long, turn long, role string, text string"))
+    order = {}
+    for x in d.collect():
+        order.setdefault(x.conv_id, []).append((x.root_turn, x.turn, x.formatted))
+    got = {}
+    for x in conversations(d).collect():
+        got.setdefault(x.conv_id, {})[x.part] = x
+    for c, parts in got.items():
+        assert sorted(parts) == list(range(-(-len(order[c]) // 256))) and all(parts[p].n_messages == 256 for p in range(len(parts) - 1))
+        assert "\n\n".join(parts[p].conversation for p in sorted(parts)) == "\n\n".join(t for *_, t in sorted(order[c]))
+    assert len(got[1]) == 2 and len({x[0] for x in order[3]}) > 300
 
 
 def test_chat(spark):
