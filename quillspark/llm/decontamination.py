@@ -46,6 +46,10 @@ def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[mask], count[at]
 
 
+#: Segments that may hold a q-gram before it counts as frequent, and pairs of hits and segments that are held at once.
+FREQUENT, PAIRS = 256, 1 << 20
+
+
 class Index:
     """The q-grams of the segments of benchmark items."""
 
@@ -83,9 +87,23 @@ class Index:
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash, self.seg, self.pos = h[order], np.array(seg, int)[order], np.array(pos, int)[order]
+        self._without_frequent()
+        h = self.hash
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    def _without_frequent(self) -> None:
+        """Leave out q-grams that more than FREQUENT segments hold (a template that many items share), and lower a
+        segment's bound by as many: of the q-grams that a match keeps, at most these are not counted. Segments whose
+        bound would fall to 0 keep theirs. Entries of a q-gram stand in the order of segments."""
+        self.group = np.cumsum(np.concatenate([[0], self.hash[1:] != self.hash[:-1]])) if len(self.hash) else np.zeros(0, int)
+        often = np.bincount(self.group)[self.group] > FREQUENT if len(self.hash) else np.zeros(0, bool)
+        lower = self.bound - np.bincount(self.seg[often], minlength=len(self.size))
+        drop = often & (lower > 0)[self.seg] if len(self.hash) else often
+        self.bound = np.where(lower > 0, lower, self.bound)
+        self.hash, self.seg, self.pos, self.group = (x[~drop] for x in (self.hash, self.seg, self.pos, self.group))
+        self.place = self.group * (len(self.size) + 1) + self.seg  # ascending, so the entries of a q-gram can be cut by segments
+
     def found(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
         """Distinct (text, item id) pairs."""
         pairs = self.matches(data, off)
@@ -142,8 +160,19 @@ class Index:
             end = min(len(at), bounds[-1] + step)
             bounds.append(int(np.searchsorted(doc, doc[end - 1], side="right")))
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            found.append(self._bands(data, off, at[x:y], lo[x:y], copies[x:y], doc[x:y]))
-        return np.unique(np.concatenate(found), axis=0)
+            parts = -(-int(copies[x:y].sum()) // PAIRS)
+            if parts <= 1:
+                found.append(self._bands(data, off, at[x:y], lo[x:y], copies[x:y], doc[x:y]))
+                continue
+            # Counts are by segment: with very many hits, some segments at a time.
+            first = self.group[lo[x:y]] * (len(self.size) + 1)
+            cuts = np.unique(np.linspace(0, len(self.size), parts + 1).astype(int))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                low, high = np.searchsorted(self.place, first + a), np.searchsorted(self.place, first + b)
+                some = high > low
+                if some.any():
+                    found.append(self._bands(data, off, at[x:y][some], low[some], (high - low)[some], doc[x:y][some]))
+        return np.unique(np.concatenate([none, *found]), axis=0)
 
     def _bands(self, data, off, at, lo, copies, doc) -> np.ndarray:
         i = np.arange(copies.sum()) + np.repeat(lo - (np.cumsum(copies) - copies), copies)

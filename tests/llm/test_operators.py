@@ -418,6 +418,24 @@ def test_conversations(spark):
     assert parts == [(0, 0, [0, 2]), (1, 0, [2, 1])]
 
 
+def test_frequent_grams(monkeypatch):
+    """A template that all items share: the same pairs as without any q-gram left out, in bounded pieces."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    phrase = "please choose the right answer of the four options"
+    items = [(i, f"{phrase} {' '.join(word() for _ in range(r.choice([1, 12])))}") for i in range(600)]
+    texts = [" ".join([phrase] * 40), *(f"{word()} {t.replace('right', 'rigth', 1)} {word()}" for _, t in items[::60]), "nothing of it"]
+    data, off = normal(*utf8(pa.array(texts)))
+    many = Index(items, 0.08)
+    got = many.found(data, off)
+    monkeypatch.setattr("quillspark.llm.decontamination.PAIRS", 1000)
+    assert many.found(data, off) == got
+    monkeypatch.setattr("quillspark.llm.decontamination.FREQUENT", 10**9)
+    plain = Index(items, 0.08)
+    assert plain.found(data, off) == got and len(many.hash) < len(plain.hash)
+    assert {(k, i) for k, i in enumerate(range(0, 600, 60), 1)} <= set(got)
+
+
 def test_long_conversations(spark):
     """Parts of one size, whatever threads, stretches of turns and repeated turns a conversation has."""
     plain = [(1, i, "user", f"message {i}") for i in range(257)]
