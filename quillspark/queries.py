@@ -297,7 +297,7 @@ def page_aware_chunks(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {_MARKED}, ft AS (SELECT doc_id, string_agg(m, chr(10) || chr(10) ORDER BY page_number) AS t FROM mk GROUP BY 1), {_cut('ft', 'doc_id')},
+    rf"""WITH RECURSIVE {_MARKED}, ft AS (SELECT doc_id, string_agg(m, chr(10) || chr(10) ORDER BY page_number) AS t FROM mk GROUP BY 1), {_cut('ft', 'doc_id')},
     ch AS (SELECT *, coalesce(list_min(f), 0) AS page_start, coalesce(list_max(f), 0) AS page_end FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS ordinal, list_transform(regexp_extract_all(p, '\[Page\s+(\d+)\]', 1), lambda x: x::INT) AS f FROM pieces))
     SELECT {_CHUNK}, 'recursive' AS strategy FROM ch"""
 )
