@@ -3,7 +3,7 @@
 A text region within k edits of a pattern of m bytes shares at least m - q + 1 - k*q of its q-grams, all within k of
 one diagonal. Items are cut into segments of at most ``SEGMENT`` bytes. Shared q-grams are counted in overlapping
 diagonal bands; bands that meet a segment's bound are verified by banded alignment. Items of less than ``SHORTEST``
-bytes allow no edit and are found exactly, as whole words. The items are a query set: blocks of at most ``block_bytes``
+bytes allow no edit and are found exactly, as whole words (in scripts without spaces: at every character). The items are a query set: blocks of at most ``block_bytes``
 of them are sent to the tasks one block after the other, and what one block has found is written before the next.
 """
 
@@ -22,8 +22,29 @@ from .common import slices, texts, written
 Q, SEGMENT, SHORTEST = 8, 160, 30
 BITS = 20
 _B = np.arange(256)
-#: Bytes of words: ASCII letters and digits, and whatever is beyond ASCII.
-WORD = ((_B >= 48) & (_B < 58)) | ((_B >= 65) & (_B < 91)) | ((_B >= 97) & (_B < 123)) | (_B >= 128)
+#: ASCII letters and digits.
+WORD = ((_B >= 48) & (_B < 58)) | ((_B >= 65) & (_B < 91)) | ((_B >= 97) & (_B < 123))
+#: Fixed values, first two bytes of UTF-8: scripts without spaces between words (kana, Han, Thai, Lao, Myanmar, Khmer) and
+#: punctuation beyond ASCII.
+UNSPACED = [(0xE381, 0xE383), (0xE390, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3), (0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F)]
+MARKS = [(0xC2A0, 0xC2A9), (0xC2AB, 0xC2B4), (0xC2B6, 0xC2B9), (0xC2BB, 0xC2BF), (0xE280, 0xE281), (0xE380, 0xE380), (0xEFBC, 0xEFBC)]
+
+
+def edges(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether no word goes on at a place (as many as bytes, and the end): between characters of which one at least is no
+    letter or of a script without spaces, and at either end of a text."""
+    starts = (data & 0xC0) != 0x80
+    second = np.append(data[1:], 0).astype(np.int32)
+    two = data.astype(np.int32) << 8 | second
+    letter = WORD[data] | (data >= 128)
+    for low, high in UNSPACED + MARKS:
+        letter &= (two < low) | (two > high)
+    # Of each byte whether its character is a letter that words go on with.
+    letter = letter[np.maximum.accumulate(np.where(starts, np.arange(len(data)), 0))]
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = starts[1:] & ~(letter[1:] & letter[:-1])
+    edge[off] = True
+    return edge
 
 
 def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +86,12 @@ class Index:
             elif hi > lo:
                 brief.setdefault(int(hi - lo), []).append(i)
         ids = np.array([x for x, _ in items], np.int64)
-        # Of each short length: the items' identifiers in order, and their ids.
+        # Of each short length: the items' hashes in order, their ids and bytes.
         self.brief = {}
         for size, own in brief.items():
             h = whole.of(off[own], off[own] + size)
             order = np.argsort(h, kind="stable")
-            self.brief[size] = h[order], ids[own][order]
+            self.brief[size] = h[order], ids[own][order], data[off[own][order][:, None] + np.arange(size)]
         self.items = np.array([x for x, _ in items])[np.array(owner, int)] if owner else np.zeros(0, int)
         self.size = np.array([b - a for a, b in segments], int)
         self.bytes = np.zeros((len(segments), max(self.size, default=0)), np.uint8)
@@ -109,19 +130,18 @@ class Index:
         pairs = self.matches(data, off)
         out = {(d, int(self.items[s])) for d, s in pairs.tolist()}
         if self.brief and len(data):
-            edge = np.ones(len(data) + 1, bool)  # places between which no word goes on
-            edge[1:-1] = ~(WORD[data[1:]] & WORD[data[:-1]])
-            edge[off] = True
+            edge = edges(data, off)
             start, hashes = np.flatnonzero(edge[:-1]), Hashes(data)
             end = off[np.searchsorted(off, start, side="right")]
-            for size, (h, ids) in self.brief.items():
+            for size, (h, ids, whole) in self.brief.items():
                 at = start[start + size <= end]
                 at = at[edge[at + size]]
                 own = hashes.of(at, at + size)
                 lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
                 for i in np.flatnonzero(hi > lo).tolist():
                     d = int(np.searchsorted(off, at[i], side="right")) - 1
-                    out |= {(d, int(x)) for x in ids[lo[i] : hi[i]]}
+                    same = (whole[lo[i] : hi[i]] == data[at[i] : at[i] + size]).all(axis=1)
+                    out |= {(d, int(x)) for x in ids[lo[i] : hi[i]][same]}
         return sorted(out)
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -235,7 +255,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, blo
 
     A document holds an item if a region of its normalised text is within ``rate`` edits a byte of a segment of the
     item (an item of up to 160 bytes is one segment; a longer one has segments of 80 bytes at least); of an item of less
-    than 30 bytes, if it stands there exactly, between ends of words. A null or empty text holds nothing. Items that are
+    than 30 bytes, if it stands there exactly, between ends of words (Han, kana, Thai, Lao, Myanmar and Khmer letters are
+    words of their own). A null or empty text holds nothing. Items that are
     null or blank are never found; with no items nothing is. Repeated rows are judged alike; an empty table gives no
     rows. Other columns are ignored.
     """
