@@ -108,25 +108,30 @@ def columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 class Blocks:
-    """Numbers the blocks of a task's rows. Both passes read the same table in the same tasks, so they agree; a
-    shard's answer tells how many identifiers it is for, and a block that differs fails loudly."""
+    """Numbers the blocks of a task's rows, row by row: whatever batches they come in (their size is a setting, and need
+    not be the same when a table is read again), the same rows make the same blocks. Both passes read the same table in
+    the same tasks, so they agree; a shard's answer tells how many identifiers it is for, and a block that differs
+    fails loudly."""
 
     def __init__(self):
         self.part, self.seq, self.size = TaskContext.get().partitionId(), 0, 0
 
-    def add(self, size: int) -> tuple[int, int]:
-        """Block of the next rows and a number that spreads blocks evenly."""
-        if self.size and self.size + size > BLOCK:
-            self.seq, self.size = self.seq + 1, 0
-        self.size += size
+    def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[int, int]]]:
+        """Slices of bounded size, each within one block: its number, and one that spreads blocks evenly."""
+        for b in slices(batches, most=BLOCK // 4):
+            lo = 0
+            for i, size in enumerate(pc_.fill_null(pc_.binary_length(b.column("text")), 0).to_pylist()):
+                if self.size and self.size + size > BLOCK:
+                    if i > lo:
+                        yield b.slice(lo, i - lo), self._now()
+                    self.seq, self.size, lo = self.seq + 1, 0, i
+                self.size += size
+            yield b.slice(lo), self._now()
+
+    def _now(self) -> tuple[int, int]:
         return self.part << 24 | self.seq, self.part + 7919 * self.seq
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
-    for b in slices(batches, most=BLOCK // 4):
-        yield b, int(utf8(b.column("text"))[1][-1])
-
-
 ASK = "shard int, block long, spread long, words binary, word_counts binary, grams binary, gram_counts binary, starts long"
 
 
@@ -146,8 +151,7 @@ def _ask(shards: int):
                 starts = 0
             return columns(rows, ASK)
 
-        for b, size in _sized(batches):
-            block = blocks.add(size)
+        for b, block in blocks.cut(batches):
             if now and now != block:
                 yield flush()
             now = block
@@ -312,8 +316,7 @@ def _walk(shards: int, stats: dict, mu: float):
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks = Blocks()
-    for b, size in _sized(batches):
-        block, spread = blocks.add(size)
+    for b, (block, spread) in blocks.cut(batches):
         n = b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, spread)), *b.select(["doc_id", "train", "text"]).columns], ["block", "spread", "doc_id", "train", "text"])
 

@@ -226,6 +226,23 @@ def test_language_model(docs, rows):
         assert np.isclose(r.base_score, base) and np.isclose(r.score, score)
 
 
+def test_language_model_in_batches_of_any_size(spark, tmp_path):
+    """Nine megabytes in one partition: the second reading gets its rows in other batches than the first."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(1, 400)))) for i in range(7500)], "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        scores = language_model_scores(d)  # its first pass has run
+        spark.conf.set(key, "700")
+        got = {x.doc_id: (x.n_tokens, x.n_known) for x in scores.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {x.doc_id: (len(x.text.split()) + 1,) * 2 for x in d.collect()}
+
+
 def test_automaton_walked_token_by_token():
     """The state that is carried from token to token gives the same weights as the walk of all places at once."""
     texts = ["a b a b c", "b a b", "", "a b c d a b", "x a b"]
