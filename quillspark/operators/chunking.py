@@ -135,11 +135,16 @@ def merged_sentences(sentences: Column, dots: Column, size: int, threshold: floa
 
 
 def semantic(pages: DataFrame, embed, size: int = 1200, threshold: float = 0.55) -> DataFrame:
-    """Sentences merged while neighbouring embeddings agree. ``embed``: Column of tokens to Column of unit vectors. A
-    page that fits or has one sentence is one chunk."""
-    body = T.strip(F.col("text"))
-    d = pages.where(~T.blank(F.col("text"))).select("fingerprint", "filename", "page_number", body.alias("body"), T.sentences(body).alias("sentences"))
+    """Sentences merged while neighbouring embeddings agree. ``embed``: Column of tokens to Column of unit vectors; with
+    an ``agreement`` of its own a page stays one row and no vector is shuffled. A page that fits or has one sentence is
+    one chunk."""
+    d = T.settled(pages.select("fingerprint", "filename", "page_number", "text"), "body", T.strip(F.col("text"))).where("body <> ''").drop("text")
+    d = T.settled(d, "sentences", T.sentences(F.col("body")))
     whole = (F.size("sentences") <= 1) | (F.length("body") <= size)
+    if hasattr(embed, "agreement"):
+        d = T.settled(d, "tokens", F.when(~whole, F.transform("sentences", lambda s: T.tokenize(s)))).withColumn("dots", embed.agreement(F.col("tokens")))
+        pieces = F.when(F.col("dots").isNull(), F.array("body")).otherwise(merged_sentences(F.col("sentences"), F.col("dots"), size, threshold))
+        return _numbered(d.select("fingerprint", "filename", "page_number", F.posexplode(pieces).alias("pos", "body")).withColumn("text", _labelled(F.col("body"))), "semantic")
     one = d.where(whole).select("fingerprint", "filename", "page_number", F.lit(0).alias("pos"), "body")
     rows = d.where(~whole).select("fingerprint", "filename", "page_number", F.posexplode("sentences").alias("i", "s"))
     rows = T.settled(rows, "tokens", T.tokenize(F.col("s"))).withColumn("v", embed(F.col("tokens")))

@@ -1,3 +1,5 @@
+import random
+import re
 import uuid
 
 import pytest
@@ -137,3 +139,32 @@ def test_plain_latin_texts_are_normalised_as_all_others(spark):
     d = spark.createDataFrame([(i, t, t.rstrip() + " ‡") for i, t in enumerate(texts)], "i long, plain string, marked string")
     both = d.select("plain", T.normalize_arabic(F.col("plain"), diacritics=True).alias("a"), T.normalize_arabic(F.col("marked"), diacritics=True).alias("b")).collect()
     assert all(r.a == r.b.removesuffix("‡").rstrip() for r in both)
+
+
+def test_unreliable_extraction_needs_lengths_alone(spark):
+    """The same verdicts as over cleaned texts, without turning a word round."""
+    r = random.Random(8)
+    parts = ["ا", "ة", "لل", "المدرسة", "ةسردملا", "ـ", "كـ", "ت", " ", " ", " ", "\n\n\n\n", "\t", "‏", "ﻻ", "٣", "x", "é", "إ", "ً", " "]
+    texts = [None, "", "ا ل ت ع", "م ن", *("".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(1500))]
+    d = T.settled(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "w", F.regexp_extract_all(T.clean_text(F.col("t")), F.lit(f"([{T.AR}]+)"), F.lit(1)))
+    rows = d.select("t", "w", T.unreliable_extraction(F.col("t")).alias("bad")).collect()
+    spaced = re.compile(rf"(?:[{T.AR}][\s]+){{2,}}[{T.AR}]")
+    for t, w, bad in rows:
+        arabic = re.search(f"[{T.AR}]", t or "")
+        assert bad == bool(arabic and (spaced.search(t) or not w or sum(len(x) == 1 for x in w) / len(w) > 0.35 or sum(map(len, w)) / len(w) < 2.2)), (t, w, bad)
+    assert 100 < sum(x.bad for x in rows) < 1400
+    plan = spark.range(1).select(T.unreliable_extraction(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "reverse(" not in plan
+
+
+def test_semantic_chunks_move_no_vectors(spark):
+    """Pages that stay whole rows give the chunks that rows of sentences do; one shuffle is left, of the pieces."""
+    r = random.Random(2)
+    sentence = lambda: " ".join(r.choices(["tree", "river", "الكتاب", "stone", "wind", "a"], k=r.randint(0, 9))) + r.choice([". ", "! ", "\n\n"])
+    pages = spark.createDataFrame([(f"f{i % 5}", f"f{i % 5}.txt", i, "".join(sentence() for _ in range(r.randint(0, 30)))) for i in range(40)] + [("f9", "f9.txt", 1, None)], "fingerprint string, filename string, page_number int, text string")
+    embed = V.hashed_embedding(16)
+    got = chunking.semantic(pages, embed, 200, 0.5)
+    key = lambda d: sorted((x.chunk_id, x.text) for x in d.collect())
+    assert key(got) == key(chunking.semantic(pages, lambda t: embed(t), 200, 0.5))
+    assert got.groupBy("fingerprint").count().where("count > 8").count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
