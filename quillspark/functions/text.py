@@ -195,11 +195,15 @@ def unreliable_extraction(c: Column) -> Column:
     def bad(tokens: Column) -> Column:
         n = F.size(tokens)
         single = F.size(F.filter(tokens, lambda t: F.length(t) == 1)) / n
-        mean = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)) / n
+        mean = F.length(F.array_join(tokens, "")) / n
         return (n == 0) | (single > 0.35) | (mean < 2.2)
 
     v = F.coalesce(c, F.lit(""))
-    tokens = F.regexp_extract_all(clean_text(v), F.lit(f"([{AR}]+)"), F.lit(1))
+    # Lengths of Arabic words as ``clean_text`` leaves them: turning words round, letters that give way one for one and
+    # spacing change none of them, so these steps are left out.
+    joined = collapse_spaced_letters(F.regexp_replace(nfkc(v), C.INVISIBLE, ""))
+    joined = collapse_spaced_letters(F.translate(joined, C.TATWEEL, ""))
+    tokens = F.regexp_extract_all(joined, F.lit(f"([{AR}]+)"), F.lit(1))
     return F.when(has_arabic(v), v.rlike(rf"(?U)(?:[{AR}]\s+){{2,}}[{AR}]") | let(tokens, bad)).otherwise(F.lit(False))
 
 
