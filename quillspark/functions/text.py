@@ -213,13 +213,18 @@ def plain_latin(v: Column) -> Column:
     return (F.octet_length(v) == F.length(v)) | ~v.rlike(BEYOND_LATIN)
 
 
+def folded(c: Column, compat: bool = False) -> Column:
+    """Text beyond plain Latin letters as its tokens are found in it, before small letters."""
+    return F.translate(normalize_arabic(c, diacritics=True, compat=compat), C.DIGITS_FROM, C.DIGITS_TO)
+
+
 def tokenize(c: Column, compat: bool = False) -> Column:
     """Ranking tokens: letters and digits of Latin and Arabic script, article stripped, stop words and single
     characters left out. ``compat`` for text that has not been cleaned."""
     found = lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"([A-Za-z0-9{AR}]+)"), F.lit(1))
     bare = lambda t: F.when((F.length(t) > 3) & F.startswith(t, F.lit("ال")), F.substring(t, F.lit(3), F.length(t))).otherwise(t)
     # In plain Latin text normalisation changes spacing alone, which is no part of a token.
-    whole = lambda t: F.transform(found(F.translate(normalize_arabic(t, diacritics=True, compat=compat), C.DIGITS_FROM, C.DIGITS_TO)), bare)
+    whole = lambda t: F.transform(found(folded(t, compat)), bare)
     v = F.coalesce(c, F.lit(""))
     raw = F.when(plain_latin(v), found(v)).otherwise(whole(v))
     return F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(C.STOPWORDS))

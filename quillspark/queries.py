@@ -44,6 +44,11 @@ def docs_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.settled(d, "tokens", T.tokenize(F.col("text"))).drop("text")
 
 
+def docs_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of ``documents``, made once for all scores of a query."""
+    return written(R.text_postings(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))), "postings")
+
+
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.settled(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "tokens", T.tokenize(F.col("text"), compat=True))
 
@@ -92,17 +97,24 @@ def corpus_stats(spark, sf_dir):
     return R.corpus_stats(docs_tokens(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _bm25(spark, sf_dir):
-    return R.bm25(docs_tokens(spark, sf_dir), bench_queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+def _bm25(spark, sf_dir, keep=None, d=None):
+    return R.bm25(d or docs_postings(spark, sf_dir), bench_queries(spark, sf_dir), keep=keep).withColumn("bm25", F.round("bm25", 6))
 
 
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 8, 't')} SELECT query_id, doc_id, bm25, rank::BIGINT AS rank FROM t")
 def bm25_topk(spark, sf_dir):
-    return R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    return R.top_k(_bm25(spark, sf_dir, 8), "bm25", 8, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+def _overlap(spark, sf_dir, keep=None, d=None):
+    return R.overlap_scores(d or docs_postings(spark, sf_dir), bench_queries(spark, sf_dir), keep=keep).withColumn("overlap", F.round("overlap", 6))
 
 
-def _overlap(spark, sf_dir):
-    return R.overlap_scores(docs_tokens(spark, sf_dir), bench_queries(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
+def _sparse_and_overlap(spark, sf_dir):
+    """The best 120 by BM25 as a written table, and their overlaps, from one index."""
+    d = docs_postings(spark, sf_dir)
+    hits = written(R.top_k(_bm25(spark, sf_dir, 120, d), "bm25", 120, "doc_id"), "hits")
+    return hits, _overlap(spark, sf_dir, d=d).join(R.small(hits.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
 
 
 @query(
@@ -113,8 +125,9 @@ def _overlap(spark, sf_dir):
     SELECT query_id, doc_id, round(coalesce(v, 0), 6) AS bm25 FROM cd LEFT JOIN b USING (query_id, doc_id)"""
 )
 def bm25_candidates_scope(spark, sf_dir):
-    d = docs_tokens(spark, sf_dir)
-    cand = R.top_k(_overlap(spark, sf_dir), "overlap", 120, "doc_id").select("query_id", "doc_id").join(d, "doc_id")
+    cand = written(R.top_k(_overlap(spark, sf_dir, 120), "overlap", 120, "doc_id").select("query_id", "doc_id"), "candidates")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text").join(R.small(cand.select("doc_id").distinct()), "doc_id", "left_semi")
+    cand = cand.join(T.settled(d, "tokens", T.tokenize(F.col("text"))).drop("text"), "doc_id")
     return R.bm25_of_candidates(cand, bench_queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
 
 
@@ -126,9 +139,9 @@ def bm25_candidates_scope(spark, sf_dir):
 )
 def rrf_fuse_topk(spark, sf_dir):
     """The flagship: BM25 and lexical overlap for every benchmark passage, fused by reciprocal ranks."""
-    d, q = R.indexed(docs_tokens(spark, sf_dir)), bench_queries(spark, sf_dir)
-    a = R.top_k(R.bm25(d, q).withColumn("bm25", F.round("bm25", 6)), "bm25", 120, "doc_id")
-    b = R.top_k(R.overlap_scores(d, q).withColumn("overlap", F.round("overlap", 6)), "overlap", 120, "doc_id")
+    d = docs_postings(spark, sf_dir)
+    a = R.top_k(_bm25(spark, sf_dir, 120, d), "bm25", 120, "doc_id")
+    b = R.top_k(_overlap(spark, sf_dir, 120, d), "overlap", 120, "doc_id")
     fused = R.rrf([a, b]).withColumn("score", F.round("score", 9))
     return R.top_k(fused, "score", 8, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
@@ -139,9 +152,8 @@ def rrf_fuse_topk(spark, sf_dir):
     SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM t"""
 )
 def weighted_fuse_topk(spark, sf_dir):
-    sparse = R.top_k(_bm25(spark, sf_dir), "bm25", 120, "doc_id")
-    dense = _overlap(spark, sf_dir).withColumnRenamed("overlap", "score")
-    f = R.weighted_fusion(dense, sparse).withColumn("score", F.round("score", 6))
+    sparse, overlap = _sparse_and_overlap(spark, sf_dir)
+    f = R.weighted_fusion(overlap.withColumnRenamed("overlap", "score"), sparse).withColumn("score", F.round("score", 6))
     return R.top_k(f, "score", 8, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -157,8 +169,8 @@ def minmax_scores(spark, sf_dir):
     SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM t""".replace(f"{_top('a', 'bm25', 40, 'a2')}, ", "")
 )
 def lexical_rerank(spark, sf_dir):
-    hits = R.top_k(_bm25(spark, sf_dir), "bm25", 120, "doc_id").withColumnRenamed("bm25", "score")
-    hits = hits.join(_overlap(spark, sf_dir), ["query_id", "doc_id"], "left")
+    hits, overlap = _sparse_and_overlap(spark, sf_dir)
+    hits = hits.withColumnRenamed("bm25", "score").join(overlap, ["query_id", "doc_id"], "left")
     # Scores are rounded before they are ranked, so equal scores tie in every engine.
     blended = hits.select("query_id", "doc_id", F.col("rank").alias("prior"), F.round(0.3 * F.col("score") + 0.7 * F.coalesce("overlap", F.lit(0.0)), 6).alias("score"))
     return R.top_k(blended, "score", 8, "prior").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -169,7 +181,7 @@ def lexical_rerank(spark, sf_dir):
     SELECT query_id, doc_id, bm25, rank::BIGINT AS rank FROM h WHERE (filename = '' OR filename = 'file1') AND (page_end = 0 OR page_end >= 2) AND (page_start = 0 OR page_start <= 4)"""
 )
 def metadata_filter(spark, sf_dir):
-    a = R.top_k(_bm25(spark, sf_dir), "bm25", 120, "doc_id")
+    a = R.top_k(_bm25(spark, sf_dir, 120), "bm25", 120, "doc_id")
     i = F.col("doc_id")
     h = a.withColumns({"page_start": (i % 7).cast("int"), "page_end": (i % 7 + i % 3).cast("int"), "filename": F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("file"), (i % 4).cast("string")))})
     return R.metadata_filter(h, "file1", 2, 4).select("query_id", "doc_id", "bm25", F.col("rank").cast("long").alias("rank"))
@@ -177,25 +189,25 @@ def metadata_filter(spark, sf_dir):
 
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 120, 'a')} SELECT query_id, doc_id, bm25 FROM a WHERE bm25 >= 20")
 def min_score_filter(spark, sf_dir):
-    return R.min_score(R.top_k(_bm25(spark, sf_dir), "bm25", 120, "doc_id"), 20, "bm25").select("query_id", "doc_id", "bm25")
+    return R.min_score(R.top_k(_bm25(spark, sf_dir, 120), "bm25", 120, "doc_id"), 20, "bm25").select("query_id", "doc_id", "bm25")
 
 
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 120, 'a')} SELECT query_id, doc_id, rank::BIGINT AS rank FROM a JOIN documents USING (doc_id) WHERE lang = 'en' AND rank <= 120")
 def overfetch_then_filter(spark, sf_dir):
-    a = R.top_k(_bm25(spark, sf_dir), "bm25", 120, "doc_id")
+    a = R.top_k(_bm25(spark, sf_dir, 120), "bm25", 120, "doc_id")
     return a.join(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 # --- Joins of the retrieval path --------------------------------------------------------------------------------
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 8, 'a')}, b AS (SELECT doc_id, max(bm25) AS best FROM a GROUP BY 1) SELECT doc_id, coalesce(best, 0.0) AS best FROM documents LEFT JOIN b USING (doc_id)")
 def left_default_zero(spark, sf_dir):
-    best = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").groupBy("doc_id").agg(F.max("bm25").alias("best"))
+    best = R.top_k(_bm25(spark, sf_dir, 8), "bm25", 8, "doc_id").groupBy("doc_id").agg(F.max("bm25").alias("best"))
     return read(spark, sf_dir, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 8, 'a')} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a)")
 def anti_unseen(spark, sf_dir):
-    seen = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").select("doc_id").distinct()
+    seen = R.top_k(_bm25(spark, sf_dir, 8), "bm25", 8, "doc_id").select("doc_id").distinct()
     return read(spark, sf_dir, "documents").select("doc_id").join(seen, "doc_id", "left_anti")
 
 
@@ -548,7 +560,7 @@ def trust_parse(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     """The top 8 documents of every query, with their whole texts."""
-    top = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").withColumnRenamed("bm25", "score")
+    top = R.top_k(_bm25(spark, sf_dir, 8), "bm25", 8, "doc_id").withColumnRenamed("bm25", "score")
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     return top.join(d, "doc_id").withColumns({"filename": F.concat(F.lit("doc-"), i.cast("string")), "page_start": (i % 4).cast("int"), "page_end": (i % 4 + i % 2).cast("int")})
@@ -677,7 +689,7 @@ def eval_retrieval(spark, sf_dir):
 
     def hits(q):
         d = T.settled(q, "tokens", T.tokenize(F.col("text"), compat=True))
-        return R.top_k(R.bm25(docs_tokens(spark, sf_dir), d).withColumn("bm25", F.round("bm25", 6)), "bm25", 8, "doc_id").join(docs, "doc_id")
+        return R.top_k(R.bm25(docs_postings(spark, sf_dir), d, keep=8).withColumn("bm25", F.round("bm25", 6)), "bm25", 8, "doc_id").join(docs, "doc_id")
 
     return evaluation.retrieval_report(cases, hits).select(F.coalesce("kind", F.lit("overall")).alias("kind"), "passed", "total", F.round("score", 6).alias("score"), "ok")
 
@@ -794,7 +806,7 @@ def image_headers(spark, sf_dir):
 @query(f"WITH {_BM25}, {_top('bm', 'bm25', 5, 't')} SELECT query_id, string_agg(rank || '. doc-' || doc_id || chr(10) || text || chr(10) || 'https://example.org/' || doc_id, chr(10) || chr(10) ORDER BY rank) AS text FROM t JOIN documents USING (doc_id) GROUP BY 1")
 def search_results(spark, sf_dir):
     """Stored results (the best documents of every passage) as a search source, put into text."""
-    top = R.top_k(_bm25(spark, sf_dir), "bm25", 8, "doc_id").join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id")
+    top = R.top_k(_bm25(spark, sf_dir, 8), "bm25", 8, "doc_id").join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id")
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     name = F.col("doc_id").cast("string")
     stored = top.join(q, "query_id").select(F.col("text").alias("query"), "rank", F.concat(F.lit("doc-"), name).alias("title"), "snippet", F.concat(F.lit("https://example.org/"), name).alias("link"))

@@ -1,6 +1,7 @@
 import random
 import re
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,34 @@ def test_semantic_chunks_move_no_vectors(spark):
     assert key(got) == key(chunking.semantic(pages, lambda t: embed(t), 200, 0.5))
     assert got.groupBy("fingerprint").count().where("count > 8").count()
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_text_postings_are_counts_of_tokens(spark):
+    """Words cut over bytes are those of ``tokenize``, in any script, at every edge of a text."""
+    r = random.Random(5)
+    parts = ["the", "The", "a", "x", "Tree", "STONE", "é", "Übung", "ي", "ال", "الكتاب", "المدرسة", "من", "٣٤", "7", "42", " ", " ", " ", "-", "_", "'", "\n", "Ж", "中", "😀", "ﻻ", "ڀ", "܀", "İ"]
+    texts = [None, "", " ", "a", "tree", "من", "الكتاب", *("".join(r.choices(parts, k=r.randint(1, 25))) for _ in range(800))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = T.settled(d, "tokens", T.tokenize(F.col("text")))
+    want = {x.doc_id: (len(x.tokens), Counter(x.tokens)) for x in rows.collect()}
+    for made in (R.text_postings(d), R.postings(rows)):
+        assert {x.doc_id: (x.dl, {t.term: t.tf for t in x.terms}) for x in made.collect()} == want
+
+
+def test_scores_within_rows_keep_the_best(spark, monkeypatch):
+    """Scores without a join are those of the join, and ``keep`` loses none of the best, in blocks of any size."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    d = spark.createDataFrame([(i, r.choices(words, range(30, 0, -1), k=r.randint(0, 12))) for i in range(300)], "doc_id long, tokens array<string>").coalesce(2)
+    q = spark.createDataFrame([(i, r.choices([*words, "none"], k=r.randint(0, 6))) for i in range(9)], "query_id long, tokens array<string>")
+    best = lambda df, c: {(x.query_id, x.doc_id, x[c], x["rank"]) for x in R.top_k(df.withColumn(c, F.round(c, 6)), c, 5, "doc_id").collect()}
+    every = {c: make(d, q) for c, make in (("bm25", R.bm25), ("overlap", R.overlap_scores))}
+    rows = {c: df.count() for c, df in every.items()}
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in every.values())
+    got = {c: best(df, c) for c, df in every.items()}
+    monkeypatch.setattr(R, "CELLS", 450)
+    assert got == {"bm25": best(R.bm25(d, q, keep=5), "bm25"), "overlap": best(R.overlap_scores(d, q, keep=5), "overlap")}
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 3)
+    for c, make in (("bm25", R.bm25), ("overlap", R.overlap_scores)):
+        joined = make(d, q)
+        assert joined.count() == rows[c] and best(joined, c) == got[c]
