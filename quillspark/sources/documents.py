@@ -89,7 +89,8 @@ def load(files: DataFrame, max_pages: int = 120, page_chars: int = 3500, pdf: Ca
     """Pages (fingerprint, filename, page_number, text, load_error) of files (filename, content, optional error).
     ``pdf``: from a PDF file and the most pages to the page texts. Images have no text layer and are rejected; every
     rejected file is one row with page_number 0 and its error."""
-    d = files.select(T.sanitize_filename(F.col("filename")).alias("filename"), "content", (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("error"))
+    named = T.settled(files, "filename", T.sanitize_filename(F.col("filename")))  # named by every branch
+    d = named.select("filename", "content", (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("error"))
     d = d.withColumns({"fingerprint": F.sha2("content", 256), "kind": F.when(F.col("error").isNotNull(), "bad").otherwise(reader_kind(F.col("filename"), mime(F.col("filename"), F.col("content"))))})
     text = d.where("kind = 'text'").withColumn("text", decode_text(F.col("content"))).withColumn("key", F.struct("fingerprint", "filename"))
     text_pages = split_pages(text, page_chars, key="key").select("key.fingerprint", "key.filename", "page_number", "text", F.lit(None).cast("string").alias("load_error"))

@@ -1,6 +1,7 @@
 """PDF files made here: plain, packed, with a map to Unicode, in object streams, encrypted, broken, too long."""
 
 import base64
+import time
 import zlib
 
 import pytest
@@ -85,3 +86,13 @@ def test_seeding_from_one_pdf(spark, tmp_path):
     files = spark.createDataFrame([("book.pdf", pdf([text, LINES]))], "filename string, content binary")
     ingest.ingest_batch(files, store, "book", 0)
     assert sorted((r.page_start, "caravan" in r.text) for r in store.read("book").collect()) == [(1, True), (2, False)]
+
+
+def test_long_strings_are_read_in_runs():
+    """Escapes, brackets and line ends between long runs of ordinary bytes; a run is one step, whatever its length."""
+    run = b"x" * 3_000_000
+    data = b"(" + run + b"\\)\\n(" + run + b")\\\r\ny\\053)z"
+    began = time.process_time()
+    text, at = P.read_object(data)
+    assert time.process_time() - began < 0.5
+    assert bytes(text) == run + b")\n(" + run + b")y+" and data[at:] == b"z"
