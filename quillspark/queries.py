@@ -601,7 +601,7 @@ def offline_answers(spark, sf_dir):
 @query()
 def hybrid_retrieve(spark, sf_dir):
     """The whole path: chunks of all documents, hashed vectors, BM25, fusion and rerank for every benchmark passage."""
-    index = retrieve.build_index(pages_of(spark, sf_dir))
+    index = written(retrieve.build_index(pages_of(spark, sf_dir)), "index")  # retrieval reads it several times
     q = retrieve.prepare_queries(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     return retrieve.retrieve(index, q, Options(), scope="candidates").select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "page_start", "page_end", "filename")
 
@@ -620,7 +620,8 @@ def _shaped(spark, sf_dir, table, key):
 def _corpus_hits(spark, sf_dir, options, **filters):
     i = F.col("id")
     chunks = _shaped(spark, sf_dir, "documents", "doc_id").select(i.cast("string").alias("chunk_id"), (i % 5).cast("int").alias("ordinal"), "text", F.concat(F.lit("file"), (i % 4).cast("string")).alias("filename"), (i % 7).cast("int").alias("page_start"), (i % 7).cast("int").alias("page_end"), "tokens", "embedding")
-    q = _shaped(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
+    chunks = written(chunks, "chunks")  # retrieval reads them several times
+    q = written(_shaped(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id"), "questions")
     hits = retrieve.retrieve(chunks, q, options, **filters)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "retrieval", "fusion")
 
