@@ -43,17 +43,18 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Trim Unicode white space. A text is searched only if its first or last character is one."""
+    ends = lambda v: F.concat(F.left(v, F.lit(1)), F.right(v, F.lit(1)))
+    return let(c, lambda v: F.when(ends(v).rlike(r"(?U)\s"), F.regexp_replace(v, r"(?U)^\s+|\s+\z", "")).otherwise(v))
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(F.length(strip(c)), F.lit(0)) == 0
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(c, SPACES, " "))
+    """Runs of white space to one space, trimmed. Single spaces, as most are, are no match."""
+    return F.trim(F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def contains_any(c: Column, markers: list[str]) -> Column:
@@ -209,8 +210,9 @@ def unreliable_extraction(c: Column) -> Column:
 
 # --- Tokens -----------------------------------------------------------------------------------------------------
 def plain_latin(v: Column) -> Column:
-    """Whether a text has no more than ASCII and accented Latin letters; ASCII alone shows in its size."""
-    return (F.octet_length(v) == F.length(v)) | ~v.rlike(BEYOND_LATIN)
+    """Whether a text has no more than ASCII and accented Latin letters; ASCII alone shows in its size,
+    and the rest of a text is searched without it."""
+    return (F.octet_length(v) == F.length(v)) | ~F.regexp_replace(v, r"[\x00-\x7F]+", "").rlike(BEYOND_LATIN)
 
 
 def folded(c: Column, compat: bool = False) -> Column:
@@ -230,6 +232,18 @@ def tokenize(c: Column, compat: bool = False) -> Column:
     return F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(C.STOPWORDS))
 
 
+def leading_tokens(c: Column, n: int, least: int, head: int = 256) -> Column:
+    """The first ``n`` distinct tokens (``tokenize``) of ``least`` characters or more."""
+    wanted = lambda tokens: F.slice(F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= least) & (F.length(t) > 1) & ~t.isin(C.STOPWORDS))), 1, n)
+    # Normalisation changes spacing alone in a head of plain Latin letters, whatever comes behind it, so the whole tokens
+    # of such a head come first. Where they are too few, or the head is another, all of the text is cut.
+    token = "[A-Za-z0-9]+"
+    begin = lambda v: F.regexp_replace(F.lower(v), rf"{token}\z", "")
+    first = lambda v: F.when(plain_latin(v), wanted(F.regexp_extract_all(begin(v), F.lit(f"({token})"), F.lit(1))))
+    whole = lambda v: let(let(F.left(v, F.lit(head)), first), lambda t: F.when(F.size(t) == n, t).otherwise(wanted(tokenize(v))))
+    return let(F.coalesce(c, F.lit("")), whole)
+
+
 def rerank_tokens(c: Column) -> Column:
     v = F.lower(normalize_arabic(c, diacritics=True, compat=False))
     return F.array_distinct(F.regexp_extract_all(v, F.lit(rf"([\p{{L}}\p{{N}}_{AR}]+)"), F.lit(1)))
@@ -318,9 +332,9 @@ def strip_sources_footer(c: Column) -> Column:
 
 def mid_fingerprint(c: Column) -> Column:
     """A window of 48 characters around the middle of a text of 60 or more; null where it is too thin."""
-    t = squeeze(c)
-    window = F.trim(F.substring(t, F.greatest(F.floor(F.length(t) / 2).cast("int") - 24, F.lit(0)) + 1, F.lit(48)))
-    return F.when((F.length(t) >= 60) & (F.length(window) >= 24), window)
+    window = lambda t: F.trim(F.substring(t, F.greatest(F.floor(F.length(t) / 2).cast("int") - 24, F.lit(0)) + 1, F.lit(48)))
+    thick = lambda t: let(F.when(F.length(t) >= 60, window(t)), lambda w: F.when(F.length(w) >= 24, w))
+    return let(squeeze(c), thick)
 
 
 def json_object(c: Column) -> Column:

@@ -118,17 +118,20 @@ def retrieval_report(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame
 
 
 def challenge_cases(chunks: DataFrame, seed: int = 7, n: int = 100) -> DataFrame:
-    """Question cases made from chunk texts: a token, a phrase or a fingerprint of a chunk, in a seeded order."""
-    tokens = F.slice(F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) >= 4)), 1, 3)
-    d = chunks.select("chunk_id", F.col("page_start").alias("page_hint"), tokens.alias("tokens"), T.mid_fingerprint(F.col("text")).alias("fingerprint")).where((F.size("tokens") == 3) & F.col("fingerprint").isNotNull())
-    kinds = F.array(
-        F.struct(F.lit("keyword").alias("challenge"), F.element_at("tokens", 1).alias("query")),
-        F.struct(F.lit("keywords").alias("challenge"), F.array_join("tokens", " ").alias("query")),
-        F.struct(F.lit("question").alias("challenge"), F.concat(F.lit("what is said about "), F.element_at("tokens", 2), F.lit("?")).alias("query")),
-        F.struct(F.lit("reversed").alias("challenge"), F.array_join(F.reverse("tokens"), " ").alias("query")),
-        F.struct(F.lit("phrase").alias("challenge"), F.left("fingerprint", F.lit(30)).alias("query")),
-        F.struct(F.lit("noisy").alias("challenge"), F.concat_ws(" ", F.lit("please find"), F.element_at("tokens", 3)).alias("query")),
+    """Question cases made from chunk texts: a token, a phrase or a fingerprint of a chunk, in a seeded order. What a case
+    asks is spelled out for the ``n`` cases that are left."""
+    d = T.settled(chunks.select("chunk_id", F.col("page_start").alias("page_hint"), "text"), "fingerprint", T.mid_fingerprint(F.col("text"))).where("fingerprint is not null")
+    d = T.settled(d, "expect_any", T.leading_tokens(F.col("text"), 3, 4)).where(F.size("expect_any") == 3).drop("text")
+    tokens, kind = F.col("expect_any"), F.col("challenge")
+    asked = (
+        F.when(kind == "keyword", F.element_at(tokens, 1))
+        .when(kind == "keywords", F.array_join(tokens, " "))
+        .when(kind == "question", F.concat(F.lit("what is said about "), F.element_at(tokens, 2), F.lit("?")))
+        .when(kind == "reversed", F.array_join(F.reverse(tokens), " "))
+        .when(kind == "phrase", F.left("fingerprint", F.lit(30)))
+        .otherwise(F.concat_ws(" ", F.lit("please find"), F.element_at(tokens, 3)))
     )
-    rows = d.select("chunk_id", "page_hint", "fingerprint", F.col("tokens").alias("expect_any"), F.explode(kinds).alias("k"))
-    rows = rows.select("chunk_id", "page_hint", "fingerprint", "expect_any", "k.challenge", "k.query")
-    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chunk_id", "challenge")), "chunk_id", "challenge").limit(n)
+    kinds = F.array(*map(F.lit, ("keyword", "keywords", "question", "reversed", "phrase", "noisy")))
+    rows = d.select("chunk_id", "page_hint", "fingerprint", "expect_any", F.explode(kinds).alias("challenge"))
+    best = rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chunk_id", "challenge")), "chunk_id", "challenge").limit(n)
+    return best.withColumn("query", asked)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.config import Options, from_env
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import chunking
+from quillspark.operators import chunking, evaluation
 from quillspark.operators import ranking as R
 from quillspark.plans import answers, planner, routing
 
@@ -200,3 +200,25 @@ def test_scores_within_rows_keep_the_best(spark, monkeypatch):
     for c, make in (("bm25", R.bm25), ("overlap", R.overlap_scores)):
         joined = make(d, q)
         assert joined.count() == rows[c] and best(joined, c) == got[c]
+
+
+def test_leading_tokens_are_the_first_of_all(spark):
+    texts = [None, "", "the abc", "One two three THREE four five", "x" * 300 + " alpha beta gamma delta", "İstanbul Été Größe naïve words", "word " * 80 + "other third", "plain letters first " * 14 + "zero​width", "plain letters zero​width joined", "السلام عليكم plain word again", "alpha beta " + "ab " * 100 + "مرحبا gamma", "a1b2 c3d4مرحبا e5f6 g7h8", "KKelvin ﬁne ligature token word"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    whole = F.slice(F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) >= 4)), 1, 3)
+    for head in (8, 20, 256):
+        assert [r for r in d.select("i", T.leading_tokens(F.col("text"), 3, 4, head).alias("a"), whole.alias("b")).collect() if r.a != r.b] == []
+
+
+def test_trimming_and_squeezing(spark):
+    texts = ["", " ", "a", " a", "a ", " a　", "a  b", "a \n b\tc", "\x85a  b ", "a b c", "\x1ca\x1c", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = [F.regexp_replace("text", r"(?U)^\s+|\s+\z", ""), F.trim(F.regexp_replace("text", r"(?U)\s+", " "))]
+    for r in d.select("text", T.strip(F.col("text")).alias("a"), old[0].alias("b"), T.squeeze(F.col("text")).alias("c"), old[1].alias("d"), T.blank(F.col("text")).alias("e")).collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, not r.b), r.text
+
+
+def test_challenge_cases_cut_a_text_once(spark):
+    chunks = spark.createDataFrame([("c", 1, "text of some chunk")], "chunk_id string, page_start int, text string").repartition(1)
+    plan = evaluation.challenge_cases(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter (" in line and "regexp_extract_all" in line]
